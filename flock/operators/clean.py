@@ -143,10 +143,11 @@ def _levels(df: DataFrame, col: str) -> DataFrame:
                      .cast("double").alias("_level"))
 
 
-def simplify_people(people: DataFrame) -> DataFrame:
+def simplify_people(people: DataFrame, keep_id: bool = False) -> DataFrame:
     """Clustering input: ids and dates dropped, age NA -> 0,
-    days-to-activate NA -> 1000 (numeric columns only, S34)."""
-    df = people.drop("id", *DATE_COLUMNS)
+    days-to-activate NA -> 1000 (numeric columns only, S34).  ``keep_id``
+    carries the row key along (never used as a feature)."""
+    df = people.drop(*DATE_COLUMNS) if keep_id else people.drop("id", *DATE_COLUMNS)
     df = df.withColumn("age", F.coalesce(F.col("age"), F.lit(0))).withColumn(
         "time_to_activate", F.coalesce(F.col("time_to_activate"), F.lit(1000)))
     return keep_numeric(df)

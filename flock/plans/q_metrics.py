@@ -106,3 +106,59 @@ SELECT bin, count / (CAST(sum(count) OVER () AS DOUBLE) * 7) AS density FROM (
 def retention_density(spark, sf_dir):
     """The same bins scaled to a density."""
     return m.retention_hist(_retention(spark, sf_dir), density=True)
+
+
+# --- loess of the WAU and stickiness series (L22/L23) --------------------------------
+
+SERIES_SQL = f"""
+series AS (
+  SELECT 'wau' AS key, CAST(week_number - DATE '1970-01-01' AS DOUBLE) AS x,
+         CAST(sum(active_users_week) AS DOUBLE) AS y
+  FROM ({STATS_SINCE}) s WHERE week_number IS NOT NULL GROUP BY week_number
+  UNION ALL
+  SELECT 'stickiness', CAST(mo - DATE '1970-01-01' AS DOUBLE), avg(active_users_week) / active_users_month
+  FROM ({STATS_SINCE}) s GROUP BY mo, active_users_month),
+series_ok AS (SELECT * FROM series WHERE x IS NOT NULL AND y IS NOT NULL),
+sn AS (SELECT key, count(*) AS n FROM series_ok GROUP BY key),
+pairs AS (SELECT a.key, a.x AS x0, b.x, b.y, abs(b.x - a.x) AS d
+          FROM series_ok a JOIN series_ok b ON a.key = b.key),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY key, x0 ORDER BY d) AS r FROM pairs),
+bw AS (SELECT r.key, r.x0, max(CASE WHEN r.r = greatest(floor(sn.n * 0.75), 1) THEN r.d END) AS h
+       FROM ranked r JOIN sn ON sn.key = r.key GROUP BY r.key, r.x0),
+wt AS (SELECT p.key, p.x0, (p.x - p.x0) / bw.h AS u, p.y,
+              CASE WHEN p.d / bw.h < 1 THEN pow(1 - pow(p.d / bw.h, 3), 3) ELSE 0 END AS w
+       FROM pairs p JOIN bw ON bw.key = p.key AND bw.x0 = p.x0),
+mom AS (SELECT key, x0, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u * u * u) AS s3,
+               sum(w * u * u * u * u) AS s4, sum(w * y) AS t0, sum(w * u * y) AS t1, sum(w * u * u * y) AS t2
+        FROM wt GROUP BY key, x0)"""
+
+
+def _series(spark, sf_dir):
+    from pyspark.sql import functions as F
+    stats = _stats(spark, sf_dir)
+    w = m.wau(stats, SINCE).where(F.col("week_number").isNotNull()).select(
+        F.lit("wau").alias("key"), F.unix_date("week_number").alias("x"), F.col("total_active_users").alias("y"))
+    s = m.stickiness(stats, SINCE).select(F.lit("stickiness").alias("key"), F.unix_date("mo").alias("x"),
+                                          F.col("stickiness").alias("y"))
+    return w.unionByName(s)
+
+
+@register("loess_series", sql=q.with_adapter(ACCOUNTS_SQL, SERIES_SQL, select="""
+SELECT mom.key, mom.x0 AS x, so.y,
+       round((t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2))
+             / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)), 6) AS fit
+FROM mom JOIN series_ok so ON so.key = mom.key AND so.x = mom.x0"""))
+def loess_series(spark, sf_dir):
+    """Loess (span 0.75, degree 2) of the WAU and stickiness series."""
+    from pyspark.sql import functions as F
+
+    from ..operators.smooth import loess
+    fit = loess(_series(spark, sf_dir), "x", "y", key="key")
+    return fit.withColumn("fit", F.round("fit", 6))
+
+
+@register("loess_band")
+def loess_band(spark, sf_dir):
+    """The 95 % confidence band of the same fits (exact smoother matrix)."""
+    from ..operators.smooth import loess
+    return loess(_series(spark, sf_dir), "x", "y", key="key", level=0.95)
