@@ -166,7 +166,7 @@ def kde(long: DataFrame, n_points: int = 512, key: str = "key", value: str = "va
     q = quantiles7(long, probs=(0.25, 0.75), key=key, value=value, names=("q1", "q3"))
     if bw is None:
         spread = F.least(F.col("sd"), (F.col("q3") - F.col("q1")) / 1.34)
-        spread = F.when(spread > 0, spread).otherwise(F.coalesce(F.col("sd"), F.lit(1.0)))
+        spread = F.when(spread > 0, spread).when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))
         bw_col = 0.9 * spread * F.pow(F.col("n"), -0.2)
     else:
         bw_col = F.lit(float(bw))
@@ -186,8 +186,11 @@ def kde(long: DataFrame, n_points: int = 512, key: str = "key", value: str = "va
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """L20 check: Pearson correlation of every column pair (one aggregate pass)."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}")
-                   for a, b in pairs])
+    def corr(a, b):  # null for a constant column (ANSI division by zero otherwise fails)
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+    agg = df.agg(*[corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = agg.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "corr")
     return long.select(F.split("pair", r"\|").getItem(0).alias("col_a"),
                        F.split("pair", r"\|").getItem(1).alias("col_b"), "corr")

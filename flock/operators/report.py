@@ -28,13 +28,14 @@ def classification_report(df: DataFrame, actual: str, predicted: str, positive)
         cnt((a == pos) & (p != pos)).alias("fn"), cnt((a != pos) & (p != pos)).alias("tn"))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     n = tp + fp + fn + tn
-    acc = (tp + tn) / n
-    pe = ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n)
-    sens, spec = tp / (tp + fn), tn / (tn + fp)
+    div = F.try_divide  # a zero denominator gives null (ANSI division would fail)
+    acc = div(tp + tn, n)
+    pe = div((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn), n * n)
+    sens, spec = div(tp, tp + fn), div(tn, tn + fp)
     return agg.select(
-        n.cast("long").alias("n"), acc.alias("accuracy"), ((acc - pe) / (1 - pe)).alias("kappa"),
+        n.cast("long").alias("n"), acc.alias("accuracy"), div(acc - pe, 1 - pe).alias("kappa"),
         sens.alias("sensitivity"), spec.alias("specificity"),
-        (tp / (tp + fp)).alias("ppv"), (tn / (tn + fn)).alias("npv"),
-        ((tp + fn) / n).alias("prevalence"), (tp / n).alias("detection_rate"),
-        ((tp + fp) / n).alias("detection_prevalence"), ((sens + spec) / 2).alias("balanced_accuracy"),
-        (F.greatest(tp + fn, fp + tn) / n).alias("no_information_rate"))
+        div(tp, tp + fp).alias("ppv"), div(tn, tn + fn).alias("npv"),
+        div(tp + fn, n).alias("prevalence"), div(tp, n).alias("detection_rate"),
+        div(tp + fp, n).alias("detection_prevalence"), ((sens + spec) / 2).alias("balanced_accuracy"),
+        div(F.greatest(tp + fn, fp + tn), n).alias("no_information_rate"))

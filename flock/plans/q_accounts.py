@@ -160,12 +160,14 @@ def person_events(spark, sf_dir):
 
 @register("active_users_month", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT * FROM pes"))
 def active_users_month(spark, sf_dir):
+    """Distinct active aliases per month."""
     d = _d(spark, sf_dir)
     return acc.active_users_month(acc.person_events(d["attendance"], d["gift"]))
 
 
 @register("active_users_week", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT * FROM pew"))
 def active_users_week(spark, sf_dir):
+    """Distinct active aliases per (month, week label)."""
     d = _d(spark, sf_dir)
     return acc.active_users_week(acc.person_events(d["attendance"], d["gift"]))
 
@@ -179,11 +181,13 @@ def accounts_q(spark, sf_dir):
 
 @register("first_checkins", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT * FROM first_att"))
 def first_checkins(spark, sf_dir):
+    """People whose first check-in falls in each month."""
     return acc.first_last_checkins(PersonParts(_d(spark, sf_dir)).attendance)[0]
 
 
 @register("last_checkins", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT * FROM last_att"))
 def last_checkins(spark, sf_dir):
+    """People whose last check-in falls in each month."""
     return acc.first_last_checkins(PersonParts(_d(spark, sf_dir)).attendance)[1]
 
 

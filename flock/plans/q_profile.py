@@ -333,12 +333,14 @@ WITH c AS (
          CAST(sum(CASE WHEN actual <> 0 AND predicted <> 0 THEN 1 ELSE 0 END) AS DOUBLE) AS tn
   FROM ({LABELS_CM}) t),
 d AS (SELECT *, tp + fp + fn + tn AS n FROM c),
-e AS (SELECT *, (tp + tn) / n AS acc, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n) AS pe,
-             tp / (tp + fn) AS sens, tn / (tn + fp) AS spec FROM d)
-SELECT CAST(n AS BIGINT) AS n, acc AS accuracy, (acc - pe) / (1 - pe) AS kappa, sens AS sensitivity,
-       spec AS specificity, tp / (tp + fp) AS ppv, tn / (tn + fn) AS npv, (tp + fn) / n AS prevalence,
-       tp / n AS detection_rate, (tp + fp) / n AS detection_prevalence, (sens + spec) / 2 AS balanced_accuracy,
-       greatest(tp + fn, fp + tn) / n AS no_information_rate
+e AS (SELECT *, (tp + tn) / NULLIF(n, 0) AS acc,
+             ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / NULLIF(n * n, 0) AS pe,
+             tp / NULLIF(tp + fn, 0) AS sens, tn / NULLIF(tn + fp, 0) AS spec FROM d)
+SELECT CAST(n AS BIGINT) AS n, acc AS accuracy, (acc - pe) / NULLIF(1 - pe, 0) AS kappa, sens AS sensitivity,
+       spec AS specificity, tp / NULLIF(tp + fp, 0) AS ppv, tn / NULLIF(tn + fn, 0) AS npv,
+       (tp + fn) / NULLIF(n, 0) AS prevalence, tp / NULLIF(n, 0) AS detection_rate,
+       (tp + fp) / NULLIF(n, 0) AS detection_prevalence, (sens + spec) / 2 AS balanced_accuracy,
+       greatest(tp + fn, fp + tn) / NULLIF(n, 0) AS no_information_rate
 FROM e""")
 def classification_report_q(spark, sf_dir):
     """Confusion-matrix statistics (positive class = first level, 0)."""
@@ -348,7 +350,7 @@ def classification_report_q(spark, sf_dir):
 @register("correlation_matrix", sql=q.with_adapter(FEATURES_SQL, f"""
 s AS (SELECT * REPLACE (coalesce(age, 0) AS age, coalesce(time_to_activate, 1000) AS time_to_activate)
       FROM features)""", select="\nUNION ALL ".join(
-    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 9) AS corr FROM s"
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(covar_samp(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) / NULLIF(stddev_samp(CAST({a} AS DOUBLE)) * stddev_samp(CAST({b} AS DOUBLE)), 0), 9) AS corr FROM s"
     for i, a in enumerate(PCA_COLUMNS) for b in PCA_COLUMNS[i + 1:])))
 def correlation_matrix(spark, sf_dir):
     """L20 check: pairwise correlations of the PCA input columns."""
@@ -363,7 +365,7 @@ st AS (SELECT key, min(value) AS lo, max(value) AS hi, stddev_samp(value) AS sd,
               quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM v GROUP BY key),
 p AS (SELECT key, lo, hi, n,
              0.9 * (CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34)
-                         ELSE coalesce(sd, 1.0) END) * pow(n, -0.2) AS bw FROM st),
+                         WHEN sd > 0 THEN sd ELSE 1.0 END) * pow(n, -0.2) AS bw FROM st),
 c AS (SELECT key, value, count(*) AS cnt FROM v GROUP BY 1, 2),
 g AS (SELECT p.*, CAST(i AS INTEGER) AS i, lo + (hi - lo) * i / 511 AS x FROM p, range(0, 512) t(i))"""
 
