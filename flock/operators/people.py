@@ -59,37 +59,51 @@ def person_attendance(attendance: DataFrame, person_alias: DataFrame, person: Da
         F.col("person_id").alias("id"), "first_attendance", "last_attendance", "total_check_ins")
 
 
+def _restrict(df: DataFrame, person_att: DataFrame | None, col: str) -> DataFrame:
+    """Keep rows of attending people only (the reference's CTEs join the
+    attendance table); ``None`` leaves the restriction to the caller's final
+    left join, which saves one shuffle per part."""
+    if person_att is None:
+        return df
+    return df.join(person_att.select(F.col("id").alias(col)), col, "left_semi")
+
+
+def family_sizes(persons: DataFrame, group: DataFrame, group_member: DataFrame) -> DataFrame:
+    """``(group_id, people_in_family)`` for the family groups that ``persons``
+    (id, primary_family_id) point at: one distinct count per family group."""
+    fam_groups = persons.select(F.col("primary_family_id").alias("group_id")).distinct().join(
+        group.select(F.col("id").alias("group_id")), "group_id", "left_semi")
+    return (group_member.join(fam_groups, "group_id", "left_semi")
+            .groupBy("group_id").agg(F.count_distinct("person_id").alias("people_in_family")))
+
+
 def family_size(person_att: DataFrame, person: DataFrame, group: DataFrame,
                 group_member: DataFrame) -> DataFrame:
     """K8: distinct members of each attending person's primary family group."""
     fam = person_att.select("id").join(person.select("id", "primary_family_id"), "id")
-    fam_groups = fam.select(F.col("primary_family_id").alias("group_id")).distinct().join(
-        group.select(F.col("id").alias("group_id")), "group_id", "left_semi")
-    sizes = (group_member.join(fam_groups, "group_id", "left_semi")
-             .groupBy("group_id").agg(F.count_distinct("person_id").alias("people_in_family")))
+    sizes = family_sizes(fam, group, group_member)
     return fam.join(sizes, fam.primary_family_id == sizes.group_id).select("id", "people_in_family")
 
 
 def person_giving(gift: DataFrame, person_alias: DataFrame, person: DataFrame,
-                  person_att: DataFrame) -> DataFrame:
-    """K9: gift count, first and last gift of attending people, primary alias only."""
+                  person_att: DataFrame | None) -> DataFrame:
+    """K9: gift count, first and last gift via the primary alias (of attending
+    people when ``person_att`` is given)."""
     per_alias = gift.groupBy("person_alias_id").agg(
         F.count("id").alias("number_of_transactions"),
         F.min("created_ts").alias("first_gift"),
         F.max("created_ts").alias("last_gift"))
-    pa = primary_alias(person_alias, person).join(
-        person_att.select(F.col("id").alias("person_id")), "person_id", "left_semi")
+    pa = _restrict(primary_alias(person_alias, person), person_att, "person_id")
     return pa.join(per_alias, pa.alias_id == per_alias.person_alias_id).select(
         F.col("person_id").alias("id"), "number_of_transactions", "first_gift", "last_gift")
 
 
-def group_count(person_att: DataFrame, group_member: DataFrame, group: DataFrame,
+def group_count(person_att: DataFrame | None, group_member: DataFrame, group: DataFrame,
                 group_type: DataFrame, purpose: int, name: str) -> DataFrame:
-    """Distinct groups of a purpose per attending person."""
+    """Distinct groups of a purpose per (attending) person."""
     types = group_type.where(F.col("purpose_value_id") == purpose).select(F.col("id").alias("group_type_id"))
     gids = group.join(types, "group_type_id", "left_semi").select(F.col("id").alias("group_id"))
-    members = (group_member.join(gids, "group_id", "left_semi")
-               .join(person_att.select(F.col("id").alias("person_id")), "person_id", "left_semi"))
+    members = _restrict(group_member.join(gids, "group_id", "left_semi"), person_att, "person_id")
     return members.groupBy(F.col("person_id").alias("id")).agg(F.count_distinct("group_id").alias(name))
 
 
@@ -101,9 +115,9 @@ def small_groups(person_att, group_member, group, group_type, purpose=SMALL_GROU
     return group_count(person_att, group_member, group, group_type, purpose, "small_group_count")
 
 
-def next_steps_long(connection_request: DataFrame, person_alias: DataFrame, person_att: DataFrame,
+def next_steps_long(connection_request: DataFrame, person_alias: DataFrame, person_att: DataFrame | None,
                     connection_opportunity: DataFrame, opportunities=tuple(NEXT_STEP_COLUMNS)) -> DataFrame:
-    """K12 (long): request count per (attending person, opportunity).
+    """K12 (long): request count per ((attending) person, opportunity).
 
     Requests are counted per (alias, opportunity) before the alias join and the
     per-alias counts summed per person."""
@@ -113,8 +127,7 @@ def next_steps_long(connection_request: DataFrame, person_alias: DataFrame, pers
                  .join(valid, "opportunity_id", "left_semi")
                  .groupBy("person_alias_id", "opportunity_id").agg(F.count("id").alias("n")))
     alias = person_alias.select(F.col("id").alias("person_alias_id"), F.col("person_id").alias("id"))
-    return (per_alias.join(alias, "person_alias_id")
-            .join(person_att.select("id"), "id", "left_semi")
+    return (_restrict(per_alias.join(alias, "person_alias_id"), person_att, "id")
             .groupBy("id", F.col("opportunity_id").alias("connection_opportunity"))
             .agg(F.sum("n").cast("long").alias("next_step_count")))
 
@@ -150,10 +163,19 @@ def churn_label(df: DataFrame, as_of, months: int = CHURN_MONTHS) -> DataFrame:
 
 
 class PersonParts:
-    """The shared intermediate tables of one feature build (built lazily)."""
+    """The shared intermediate tables of one feature build (built lazily).
+
+    ``restrict=True`` gives each part exactly as the reference's CTE (attending
+    people only).  The feature table uses ``restrict=False``: its final left
+    join from the attendance table does that filtering, so each part skips a
+    semi join.  ``shared=True`` checkpoints the person-attendance table, which
+    the feature build reads six times: one aggregation of all check-ins
+    instead of six."""
 
-    def __init__(self, d):
+    def __init__(self, d, restrict: bool = True, shared: bool = False):
         self.d = d
+        self.restrict = restrict
+        self.shared = shared
         self._cache = {}
 
     def _get(self, key, fn):
@@ -164,12 +186,23 @@ class PersonParts:
     @property
     def attendance(self):
         d = self.d
-        return self._get("pa", lambda: person_attendance(d["attendance"], d["person_alias"], d["person"]))
+
+        def build():
+            pa = person_attendance(d["attendance"], d["person_alias"], d["person"])
+            if self.shared:
+                from ..session import materialize
+                pa = materialize(pa)
+            return pa
+        return self._get("pa", build)
+
+    @property
+    def _att(self):
+        return self.attendance if self.restrict else None
 
     @property
     def giving(self):
         d = self.d
-        return self._get("pg", lambda: person_giving(d["gift"], d["person_alias"], d["person"], self.attendance))
+        return self._get("pg", lambda: person_giving(d["gift"], d["person_alias"], d["person"], self._att))
 
     @property
     def family(self):
@@ -179,14 +212,14 @@ class PersonParts:
     @property
     def serving(self):
         d = self.d
-        return self._get("sg", lambda: serving_groups(self.attendance, d["group_member"], d["group"],
+        return self._get("sg", lambda: serving_groups(self._att, d["group_member"], d["group"],
                                                       d["group_type"]))
 
     @property
     def next_steps_long(self):
         d = self.d
         return self._get("nsl", lambda: next_steps_long(d["connection_request"], d["person_alias"],
-                                                        self.attendance, d["connection_opportunity"]))
+                                                        self._att, d["connection_opportunity"]))
 
     @property
     def next_steps(self):
@@ -200,16 +233,22 @@ class PersonParts:
             d["attendance"], d["person_alias"], d["person"], d["attendance_occurrence"], d["group"])))
 
 
-def person_features(d, as_of, parts: PersonParts | None = None) -> DataFrame:
-    """One row per attending person, 34 columns (reference v2)."""
-    parts = parts or PersonParts(d)
-    pa, p = parts.attendance, d["person"]
-    j = (pa.join(p, "id")
-         .join(parts.family, "id", "left")
+def _feature_base(d, parts: PersonParts, with_streaks: bool) -> DataFrame:
+    """Attendance x person, then every part by a left join on the person id;
+    family size is looked up by the family group id."""
+    base = parts.attendance.join(d["person"], "id")
+    sizes = family_sizes(base, d["group"], d["group_member"])
+    j = (base.join(sizes, base.primary_family_id == sizes.group_id, "left").drop("group_id")
          .join(parts.giving, "id", "left")
          .join(parts.serving, "id", "left")
-         .join(parts.next_steps, "id", "left")
-         .join(parts.streaks, "id", "left"))
+         .join(parts.next_steps, "id", "left"))
+    return j.join(parts.streaks, "id", "left") if with_streaks else j
+
+
+def person_features(d, as_of, parts: PersonParts | None = None) -> DataFrame:
+    """One row per attending person, 34 columns (reference v2)."""
+    parts = parts or PersonParts(d, restrict=False, shared=True)
+    j = _feature_base(d, parts, with_streaks=True)
     act = activation_date(F.col("first_attendance"), F.col("first_gift"))
     c = F.col
     cols = [
@@ -249,13 +288,8 @@ def person_features(d, as_of, parts: PersonParts | None = None) -> DataFrame:
 def person_features_v1(d, as_of, parts: PersonParts | None = None) -> DataFrame:
     """The first script's 23-column table (no null defaults, no streak
     or activation)."""
-    parts = parts or PersonParts(d)
-    pa, p = parts.attendance, d["person"]
-    j = (pa.join(p, "id")
-         .join(parts.family, "id", "left")
-         .join(parts.giving, "id", "left")
-         .join(parts.serving, "id", "left")
-         .join(parts.next_steps, "id", "left"))
+    parts = parts or PersonParts(d, restrict=False, shared=True)
+    j = _feature_base(d, parts, with_streaks=False)
     c = F.col
     return j.select(
         c("id"), c("total_check_ins"),

@@ -18,7 +18,7 @@ STATS_SINCE = f"SELECT * FROM account_stats WHERE mo >= {SINCE_DATE}"
 
 def _people(spark, sf_dir):
     d, parts = _parts(spark, sf_dir)
-    return pp.person_features(d, q.AS_OF, parts)
+    return pp.person_features(d, q.AS_OF)
 
 
 def _retention(spark, sf_dir):
