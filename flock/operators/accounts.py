@@ -106,9 +106,11 @@ def account_stats_v1(person: DataFrame, person_att: DataFrame, as_of) -> DataFra
     """K4 of the first script: no activity columns, imported people counted."""
     acc = monthly_accounts(person, exclude_imported=False)
     first, last = first_last_checkins(person_att)
+    first = first.withColumn("first_mo", F.col("mo"))
     stats = acc.join(first, "mo", "left").join(last, "mo", "left")
-    return _closed(stats, as_of, "literal").select(
-        "mo", "new_accounts", "total_accounts", "total_new_check_ins", "total_last_check_ins")
+    # ORDER BY the joined (nullable) first-check-in month, descending, nulls last
+    return (_closed(stats, as_of, "literal").orderBy(F.col("first_mo").desc_nulls_last(), "mo")
+            .select("mo", "new_accounts", "total_accounts", "total_new_check_ins", "total_last_check_ins"))
 
 
 def account_stats_long(stats: DataFrame) -> DataFrame:

@@ -397,3 +397,11 @@ def null_sentinel_q(spark, sf_dir):
     """A2: a whole-table text sentinel read as null (here 'error' marks a missing type)."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
     return cl.null_sentinel(e, "error")
+
+
+@register("null_totals", sql=q.with_adapter(FEATURES_SQL, select="\nUNION ALL ".join(
+    f"SELECT '{c}' AS key, CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls FROM features"
+    for c in FEATURE_COLUMNS)))
+def null_totals(spark, sf_dir):
+    """D21 margin: missing values per column of the person table (one pass)."""
+    return pr.null_totals(_people(spark, sf_dir))

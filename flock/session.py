@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,8 +69,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint: cuts lineage so a lost executor does not
-    replay the whole upstream plan, and lets several consumers share one
-    computation of an expensive table."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage through a table written in the shared checkpoint folder.
+
+    The plan runs once, its result is written as parquet under
+    ``spark.checkpoint.dir`` and read back: later consumers scan files
+    (with column pruning, filter pushdown and real size statistics for AQE)
+    instead of replaying the upstream plan, and a lost executor only re-reads
+    the files.  (An eager ``Dataset.checkpoint`` would compute the plan twice:
+    once for its count and once more to write the checkpoint.)"""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
