@@ -102,9 +102,10 @@ def hist_by_key(long: DataFrame, bins: int = 30, key: str = "key", value: str =
     """ggplot's default 30 bins per key: width = range / (bins - 1),
     bins centred on multiples of the width, right-closed."""
     v = long.where(F.col(value).isNotNull())
-    w = Window.partitionBy(key)
-    width = (F.max(value).over(w) - F.min(value).over(w)) / (bins - 1)
-    v = v.withColumn("_w", width)
+    # per-key range by a (partially aggregated) grouped min/max - one row per key,
+    # joined back - never a window holding every row of a column in one task
+    ranges = v.groupBy(key).agg(((F.max(value) - F.min(value)) / (bins - 1)).alias("_w"))
+    v = v.join(ranges, key)
     b = F.when(F.col("_w") > 0, hist_bin(F.col(value), F.col("_w"))).otherwise(F.col(value))
     return v.groupBy(key, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
