@@ -168,9 +168,9 @@ class PersonParts:
     ``restrict=True`` gives each part exactly as the reference's CTE (attending
     people only).  The feature table uses ``restrict=False``: its final left
     join from the attendance table does that filtering, so each part skips a
-    semi join.  ``shared=True`` checkpoints the person-attendance table, which
-    the feature build reads six times: one aggregation of all check-ins
-    instead of six."""
+    semi join and the attendance aggregate has a single reader.  ``shared=True``
+    materializes the person-attendance table for callers that read it several
+    times (the restricted parts each semi-join it)."""
 
     def __init__(self, d, restrict: bool = True, shared: bool = False):
         self.d = d
@@ -237,7 +237,9 @@ def _feature_base(d, parts: PersonParts, with_streaks: bool) -> DataFrame:
     """Attendance x person, then every part by a left join on the person id;
     family size is looked up by the family group id."""
     base = parts.attendance.join(d["person"], "id")
-    sizes = family_sizes(base, d["group"], d["group_member"])
+    # sizes of every family a person points at (a superset of the attending
+    # people's families); keeps the attendance aggregate to a single reader
+    sizes = family_sizes(d["person"], d["group"], d["group_member"])
     j = (base.join(sizes, base.primary_family_id == sizes.group_id, "left").drop("group_id")
          .join(parts.giving, "id", "left")
          .join(parts.serving, "id", "left")
@@ -247,7 +249,7 @@ def _feature_base(d, parts: PersonParts, with_streaks: bool) -> DataFrame:
 
 def person_features(d, as_of, parts: PersonParts | None = None) -> DataFrame:
     """One row per attending person, 34 columns (reference v2)."""
-    parts = parts or PersonParts(d, restrict=False, shared=True)
+    parts = parts or PersonParts(d, restrict=False)
     j = _feature_base(d, parts, with_streaks=True)
     act = activation_date(F.col("first_attendance"), F.col("first_gift"))
     c = F.col
@@ -288,7 +290,7 @@ def person_features(d, as_of, parts: PersonParts | None = None) -> DataFrame:
 def person_features_v1(d, as_of, parts: PersonParts | None = None) -> DataFrame:
     """The first script's 23-column table (no null defaults, no streak
     or activation)."""
-    parts = parts or PersonParts(d, restrict=False, shared=True)
+    parts = parts or PersonParts(d, restrict=False)
     j = _feature_base(d, parts, with_streaks=False)
     c = F.col
     return j.select(

@@ -1,11 +1,13 @@
 """D12, D17, D19-D21, L1, L2, L24, L20's correlation check: profiling.
 
-Exact order statistics without a global sort: values are first counted per
-(column, value) with map-side partial aggregation, then a running count over
-the *distinct* values of each column gives every value's rank range, and the
-value at rank ``r`` is ``min(value where cum >= r)``.  The sort inside each
-column sees distinct values only (bounded by the column's value domain, not by
-the row count), and different columns sort in parallel.
+Exact order statistics without sorting a whole column in one task
+(``value_counts``).  Values are counted per (column, value) with map-side
+partial aggregation.  Each distinct value falls in a *magnitude bucket*
+(64 per doubling, monotone in the value), bucket totals give every bucket's
+offset through a window over the buckets of a column (a few hundred rows),
+and running counts are then taken inside each (column, bucket) partition.
+The value at rank r is ``min(value where cum >= r)``.  A single pass over the
+data; no window ever holds a whole column.
 """
 
 from __future__ import annotations
@@ -16,6 +18,20 @@ from pyspark.sql.types import NumericType
 
 from ..functions.numeric import hist_bin
 
+BUCKETS_PER_DOUBLING = 64
+
+
+def magnitude_bucket(v: Column) -> Column:
+    """Monotone non-decreasing integer of a double: sign x (64 * log2|v| + offset);
+    v1 < v2 implies bucket(v1) <= bucket(v2), so (bucket, value) order = value order."""
+    a = F.abs(v)
+    inf = F.lit(float("inf"))
+    mag = F.floor(F.log2(a) * BUCKETS_PER_DOUBLING) + 70000  # > 0 for every finite non-zero double
+    # Spark orders NaN above +inf, and both above every finite value
+    return (F.when(F.isnan(v), F.lit(10 ** 9 + 1)).when(v == inf, F.lit(10 ** 9))
+            .when(v == -inf, F.lit(-10 ** 9)).when(v > 0, mag).when(v < 0, -mag)
+            .otherwise(F.lit(0)).cast("long"))
+
 
 def gather(df: DataFrame, cols: list[str] | None = None, key: str = "key", value: str = "value") -> DataFrame:
     """All (or the given) columns to (key, value) rows, value as double, nulls kept."""
@@ -25,12 +41,19 @@ def gather(df: DataFrame, cols: list[str] | None = None, key: str = "key", value
 
 
 def value_counts(long: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
-    """(key, value, cnt, cum, n): counts of non-null values with running totals."""
-    vc = long.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("cnt"))
-    ordered = (Window.partitionBy(key).orderBy(value)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (vc.withColumn("cum", F.sum("cnt").over(ordered))
-            .withColumn("n", F.sum("cnt").over(Window.partitionBy(key))))
+    """(key, value, cnt, cum, n): counts of non-null values with running totals
+    in value order, computed per (key, magnitude bucket)."""
+    vc = (long.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("cnt"))
+          .withColumn("_b", magnitude_bucket(F.col(value))))
+    per_bucket = vc.groupBy(key, "_b").agg(F.sum("cnt").alias("_bc"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (per_bucket.withColumn("_off", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
+               .withColumn("n", F.sum("_bc").over(Window.partitionBy(key))).drop("_bc"))
+    inside = (Window.partitionBy(key, "_b").orderBy(value)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (vc.join(offsets, [key, "_b"])
+            .withColumn("cum", F.col("_off") + F.sum("cnt").over(inside))
+            .select(key, value, "cnt", "cum", "n"))
 
 
 def value_at(rank: Column, value: str = "value") -> Column:
@@ -51,20 +74,20 @@ def fivenum(long: DataFrame, key: str = "key", value: str = "value") -> DataFram
     def at(pos):
         return (value_at(F.floor(pos), value) + value_at(F.ceil(pos), value)) / 2
 
-    agg = vc.groupBy(key).agg(
+    return vc.groupBy(key).agg(
         F.min(value).alias("min"),
         at(n4).alias("lower_hinge"),
         at(med).alias("median"),
         at(n + 1 - n4).alias("upper_hinge"),
         F.max(value).alias("max"),
         F.max("n").alias("n"))
-    return agg
 
 
 def quantiles7(long: DataFrame, probs=(0.25, 0.5, 0.75), key: str = "key", value: str = "value",
                names=("q1", "median", "q3")) -> DataFrame:
     """Type-7 (linear) quantiles per key, as R ``quantile``/``summary`` and
-    Spark ``percentile`` compute them, via the value-count ranks."""
+    Spark ``percentile`` compute them: h = (n-1)p + 1, interpolated between
+    the values of ranks floor(h) and ceil(h)."""
     vc = value_counts(long, key, value)
     n = F.col("n")
     cols = []
@@ -161,10 +184,10 @@ def kde(long: DataFrame, n_points: int = 512, key: str = "key", value: str = "va
     grid through a generated index (``sequence``), and contributions are
     summed per grid point with partial aggregation - work is O(distinct values
     x grid) and spread over all tasks."""
-    v = long.where(F.col(value).isNotNull())
+    v = long.where(F.col(value).isNotNull()).select(key, value)
     stats = v.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"),
                                F.stddev_samp(value).alias("sd"), F.count(F.lit(1)).alias("n"))
-    q = quantiles7(long, probs=(0.25, 0.75), key=key, value=value, names=("q1", "q3"))
+    q = quantiles7(v, probs=(0.25, 0.75), key=key, value=value, names=("q1", "q3"))
     if bw is None:
         spread = F.least(F.col("sd"), (F.col("q3") - F.col("q1")) / 1.34)
         spread = F.when(spread > 0, spread).when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))
