@@ -84,3 +84,17 @@ def test_mau_at_least_any_week_part(spark):
     d = load_domain(spark, "/root/testdata/sf0.01")
     a = accounts(d["person"], d["attendance"], d["gift"]).toPandas().dropna()
     assert (a.active_users_month >= a.active_users_week).all()
+
+
+def test_bucketed_ranks_exact_on_mixed_signs(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1000, 3000), rng.integers(-5, 5, 2000).astype(float),
+                        [0.0, 1e-300, -1e300, 1e300, 7.5, 7.5]])
+    long = spark.createDataFrame([("k", float(v)) for v in x], "key string, value double")
+    q = profile.quantiles7(long).collect()[0]
+    assert np.allclose([q.q1, q.median, q.q3], np.percentile(x, [25, 50, 75]), rtol=0, atol=1e-9)
+    vc = profile.value_counts(long).toPandas().sort_values("value")
+    assert (np.diff(vc.cum.to_numpy()) > 0).all() and vc.cum.iloc[-1] == len(x)
+    # monotone buckets: value order equals (bucket, value) order
+    b = long.select("value", profile.magnitude_bucket(F.col("value")).alias("b")).toPandas().sort_values("value")
+    assert (np.diff(b.b.to_numpy()) >= 0).all()
