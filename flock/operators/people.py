@@ -240,11 +240,14 @@ def _feature_base(d, parts: PersonParts, with_streaks: bool) -> DataFrame:
     # sizes of every family a person points at (a superset of the attending
     # people's families); keeps the attendance aggregate to a single reader
     sizes = family_sizes(d["person"], d["group"], d["group_member"])
-    j = (base.join(sizes, base.primary_family_id == sizes.group_id, "left").drop("group_id")
-         .join(parts.giving, "id", "left")
+    # every id-keyed part first (they share the id partitioning), the family
+    # lookup - keyed by the family id - last, so the per-person table is
+    # re-partitioned at most once more
+    j = (base.join(parts.giving, "id", "left")
          .join(parts.serving, "id", "left")
          .join(parts.next_steps, "id", "left"))
-    return j.join(parts.streaks, "id", "left") if with_streaks else j
+    j = j.join(parts.streaks, "id", "left") if with_streaks else j
+    return j.join(sizes, j.primary_family_id == sizes.group_id, "left").drop("group_id")
 
 
 def person_features(d, as_of, parts: PersonParts | None = None) -> DataFrame:
