@@ -58,6 +58,11 @@ def raw_outliers(people: DataFrame, cols=OUTLIER_COLUMNS, coef: float = 1.5) ->
 
 
 def _exclude_all(df: DataFrame, outliers: DataFrame, cols) -> DataFrame:
+    """One anti join per column against the same (key, value) set; the set is
+    materialized once (it has one consumer per column) - it is small, bounded
+    by the distinct outlying values."""
+    from ..session import materialize
+    outliers = materialize(outliers)
     return reduce(lambda acc, c: exclude_values(acc, c, outliers, key=c), cols, df)
 
 

@@ -151,7 +151,7 @@ WHERE {' AND '.join(not_outlier(c) for c in cl.OUTLIER_COLUMNS)}"""))
 def exclude_outliers(spark, sf_dir):
     """Null-keeping value-set exclusion of every outlier column."""
     people = _people_shared(spark, sf_dir)
-    out = cl.raw_outliers(people)
+    out = materialize(cl.raw_outliers(people))  # one consumer per column
     df = people.select("id", *cl.OUTLIER_COLUMNS)
     for c in cl.OUTLIER_COLUMNS:
         df = pr.exclude_values(df, c, out, key=c)
