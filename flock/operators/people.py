@@ -314,8 +314,8 @@ def person_features_v1(d, as_of, parts: PersonParts | None = None) -> DataFrame:
 
 def retention_days(person: DataFrame, attendance: DataFrame, person_alias: DataFrame) -> DataFrame:
     """Days from account creation to the first attended check-in on a
-    later day, through any alias.  Check-ins are reduced to the first day per
-    alias after ... (per person) with a grouped min, no sort."""
+    later day, through any alias.  Check-ins are first reduced to distinct
+    (alias, day) pairs; the first later day per person is a grouped min."""
     days = attendance.where(F.col("did_attend") == 1).select(
         "person_alias_id", as_date("start_ts").alias("day")).distinct()
     alias = person_alias.select(F.col("id").alias("person_alias_id"), F.col("person_id").alias("id"))

@@ -42,13 +42,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load():
-    from . import q_accounts, q_people  # noqa: F401
-    for mod in ("q_metrics", "q_profile", "q_models"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # modules are added step by step
-            if mod not in str(e):
-                raise
+    from . import q_accounts, q_metrics, q_models, q_people, q_profile  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

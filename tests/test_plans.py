@@ -39,3 +39,10 @@ def test_metric_queries_stay_in_the_jvm(spark):
     for name in names:
         text = _plan(queries()[name](spark, SF_SMALL))
         assert not any(n in text for n in PY_NODES), name
+
+
+def test_cleaning_plan_reads_outlier_set_once(spark):
+    # the outlier (key, value) set is materialized once for its per-column anti
+    # joins; the cleaning plan itself then needs only a handful of exchanges
+    df = queries()["clean_people_literal"](spark, SF_SMALL)
+    assert _plan(df).count("Exchange") <= 20
