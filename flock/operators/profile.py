@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.numeric import hist_bin
+from ..session import materialize
 
 BUCKETS_PER_DOUBLING = 64
 
@@ -102,6 +103,7 @@ def quantiles7(long: DataFrame, probs=(0.25, 0.5, 0.75), key: str = "key", value
 def outlier_values(long: DataFrame, coef: float = 1.5, key: str = "key", value: str = "value") -> DataFrame:
     """L1: ``boxplot.stats(x)$out`` as a distinct (key, value) set: values beyond
     the hinges by more than ``coef`` hinge spreads."""
+    long = materialize(long.where(F.col(value).isNotNull()).select(key, value))  # read twice
     fn = fivenum(long, key, value)
     spread = F.col("upper_hinge") - F.col("lower_hinge")
     bounds = fn.select(key, (F.col("lower_hinge") - coef * spread).alias("lo"),
@@ -142,7 +144,7 @@ def keep_numeric(df: DataFrame, exclude: set[str] = frozenset()) -> DataFrame:
 def profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per numeric column min, quartiles (type 7), median, mean, max, null count."""
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
-    long = gather(df, cols)
+    long = materialize(gather(df, cols))  # read twice: quartiles and the plain aggregates
     q = quantiles7(long)
     base = long.groupBy("key").agg(
         F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max"),
@@ -184,7 +186,7 @@ def kde(long: DataFrame, n_points: int = 512, key: str = "key", value: str = "va
     grid through a generated index (``sequence``), and contributions are
     summed per grid point with partial aggregation - work is O(distinct values
     x grid) and spread over all tasks."""
-    v = long.where(F.col(value).isNotNull()).select(key, value)
+    v = materialize(long.where(F.col(value).isNotNull()).select(key, value))  # read three times
     stats = v.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"),
                                F.stddev_samp(value).alias("sd"), F.count(F.lit(1)).alias("n"))
     q = quantiles7(v, probs=(0.25, 0.75), key=key, value=value, names=("q1", "q3"))
