@@ -126,7 +126,11 @@ def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             lines = line_ends(data, starts, ends, first)
             tail = data[ends - 1]
             stop = _STOP[tail] | (_CLOSE[tail] & _STOP[data[np.maximum(ends - 2, starts)]])
-            bounds, owner = _parts(lines | stop, first)
+            # a full stop ends a sentence unless another stands in the four words before it:
+            # a rule that looks at near words only cuts a passage alike wherever it stands
+            at = np.arange(len(starts))
+            before = np.concatenate([[-SENTENCE_WORDS], np.maximum.accumulate(np.where(lines | stop, at, -SENTENCE_WORDS))[:-1]])
+            bounds, owner = _parts(lines | (stop & (at - before >= SENTENCE_WORDS)), first)
             line = np.concatenate([[0], np.cumsum(lines)])[bounds[:-1]]
             line = line - line[np.searchsorted(owner, owner)]
             n = np.diff(bounds)
