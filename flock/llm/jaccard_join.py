@@ -196,12 +196,14 @@ def resolve(met: DataFrame, arrays_of, percent: int) -> DataFrame:
     arrays = materialize(arrays.withColumn("bytes", F.length("members").cast("long") + 300))
     total = arrays.groupBy("cluster").agg(F.sum("bytes").alias("total"), F.max("bytes").alias("most"))
     chunks = F.ceil(F.col("total") / F.greatest(F.lit(CHUNK_BYTES // 2), F.col("most"))).cast("int")
-    dealt = arrays.join(total.select("cluster", chunks.alias("chunks")), "cluster")
+    large = materialize(total.select("cluster", chunks.alias("chunks")).where("chunks > 1"))
+    dealt = arrays.join(hint_if_small(large, 40), "cluster", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))
     with_each = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(
         F.least("chunk", c).alias("i"), F.greatest("chunk", c).alias("j"), (F.col("chunk") > c).cast("int").alias("side")))
     dealt = dealt.select("cluster", "k1", "k2", "members", F.explode(with_each).alias("with"))
     dealt = dealt.select("cluster", "with.i", "with.j", "with.side", "k1", "k2", "members")
+    dealt = dealt.repartition("cluster", "i", "j")  # else the chunks of a cluster follow one another in one task
     links = dealt.groupBy("cluster", "i", "j").applyInArrow(_compare(percent), "a1 long, a2 long, b1 long, b2 long")
     key = lambda x, y: F.struct(F.col(x).alias("k1"), F.col(y).alias("k2"))
     found = components(materialize(links).select(key("a1", "a2").alias("a"), key("b1", "b2").alias("b")))
