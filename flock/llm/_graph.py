@@ -6,29 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from ._util import BROADCAST_BYTES
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of ``links``; the component is its smallest node.
+    """(node, component) for every node that links with another; the component is
+    the smallest node that links reach.
 
-    Each round gives a node the smallest label among its neighbours, then the
-    label of that label (pointer jumping), until no label changes.  Labels and
-    links are tables; the driver sees one count a round.  Every round is
-    written to the checkpoint folder, so a lost executor costs one round.
+    Each round gives a node the smallest label among its own and its neighbours',
+    then the label of that label (pointer jumping), until no label changes.
+    Labels and links are tables; the driver sees whether one changed.  Every
+    round is written to the checkpoint folder, so a lost executor costs one
+    round.  Labels are broadcast while their counted rows are small.
     """
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where(F.col("x") != F.col("y"))
     both = materialize(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    loops = links.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"), F.col(a).alias("component"))
     labels = materialize(both.groupBy("x").agg(F.min("y").alias("m"))
                          .select(F.col("x").alias("node"), F.least("x", "m").alias("component")))
+    small = labels.count() * 64 <= BROADCAST_BYTES
     while True:
-        offered = (both.join(labels.select(F.col("node").alias("y"), "component"), "y").groupBy("x")
-                   .agg(F.min("component").alias("offer")))
-        near = labels.join(offered, labels["node"] == offered["x"], "left").select(
-            "node", F.col("component").alias("old"), F.least("component", F.coalesce("offer", "component")).alias("near"))
-        roots = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        new = materialize(near.join(roots, "near", "left").select("node", "old", F.least("near", F.coalesce("far", "near")).alias("component")))
+        known = F.broadcast(labels) if small else labels
+        offers = both.join(known.select(F.col("node").alias("y"), F.col("component").alias("offer")), "y")
+        none = F.lit(None).cast(labels.schema["component"].dataType)
+        offers = offers.select(F.col("x").alias("node"), "offer", none.alias("old")).unionByName(
+            labels.select("node", F.col("component").alias("offer"), F.col("component").alias("old")))
+        near = offers.groupBy("node").agg(F.min("offer").alias("near"), F.max("old").alias("old"))
+        far = known.select(F.col("node").alias("near"), F.col("component").alias("far"))
+        new = materialize(near.join(far, "near").select("node", "old", F.least("near", "far").alias("component")))
+        settled = new.where(F.col("old") != F.col("component")).isEmpty()
         labels = new.select("node", "component")
-        if new.where(F.col("old") != F.col("component")).limit(1).count() == 0:
-            break
-    return labels.unionByName(loops.join(labels, "node", "left_anti").distinct())
+        if settled:
+            return labels

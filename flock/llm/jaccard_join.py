@@ -115,8 +115,7 @@ def _tile_rows(width: int, percent: int):
                 members = sets[_ranges(at[:-1], n)]
                 rows, tiles = tile_keys(members, np.concatenate([[0], np.cumsum(n)]), percent)
                 if len(rows):
-                    yield pa.record_batch([pa.array(tiles.view(np.int64)), pa.array(k1.view(np.int64)[rows]),
-                                           pa.array(k2.view(np.int64)[rows])], ["tile", "k1", "k2"])
+                    yield pa.record_batch([pa.array(tiles.view(np.int64)), pa.array(k1.view(np.int64)[rows])], ["tile", "k1"])
     return run
 
 
@@ -184,15 +183,15 @@ def _compare(percent: int):
 def resolve(met: DataFrame, arrays_of, percent: int) -> DataFrame:
     """(k1, k2, component) of the sets that link with another one.
 
-    ``met`` holds pairs (a, b) of set keys, struct<k1,k2>: every pair that may
-    link is connected through it.  Sets connected that way form a cluster, and a
+    ``met`` holds pairs (a, b) of first keys: every pair that may link is
+    connected through it.  Half a key is enough here, since sets that share it
+    all join the comparison.  Sets connected that way form a cluster, and a
     cluster's sets are compared in tasks of two chunks of at most CHUNK_BYTES:
     a large cluster becomes many tasks, none holds all of it, and no pair is
-    left out.  ``arrays_of(keys)`` gives (k1, k2, members) for a table of keys.
+    left out.  ``arrays_of(keys)`` gives (k1, k2, members) for a table of first keys.
     """
-    clusters = materialize(components(met).select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"),
-                                                  F.xxhash64("component").alias("cluster")))
-    arrays = arrays_of(clusters.select("k1", "k2")).join(clusters, ["k1", "k2"])
+    clusters = materialize(components(met).select(F.col("node").alias("k1"), F.col("component").alias("cluster")))
+    arrays = arrays_of(clusters.select("k1")).join(clusters, "k1")
     arrays = materialize(arrays.withColumn("bytes", F.length("members").cast("long") + 300))
     total = arrays.groupBy("cluster").agg(F.sum("bytes").alias("total"), F.max("bytes").alias("most"))
     chunks = F.ceil(F.col("total") / F.greatest(F.lit(CHUNK_BYTES // 2), F.col("most"))).cast("int")
@@ -213,9 +212,7 @@ def resolve(met: DataFrame, arrays_of, percent: int) -> DataFrame:
 def tile_meetings(tiles: DataFrame) -> DataFrame:
     """Distinct (a, b): the smallest key of a tile with each other key in it, so a
     tile of c sets gives c - 1 rows."""
-    w = Window.partitionBy("tile")
-    node = F.struct("k1", "k2")
-    low = tiles.select("tile", node.alias("b"), F.min(node).over(w).alias("a"))
+    low = tiles.select("tile", F.col("k1").alias("b"), F.min("k1").over(Window.partitionBy("tile")).alias("a"))
     return low.where("a <> b").select("a", "b").distinct()
 
 
@@ -239,15 +236,15 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = d.schema["doc_id"].dataType.simpleString()
     nodes = materialize(d.mapInArrow(_key_rows(width), f"doc_id {id_type}, n long, k1 long, k2 long"))
-    tiles = d.select("text").mapInArrow(_tile_rows(width, percent), "tile long, k1 long, k2 long")
+    tiles = d.select("text").mapInArrow(_tile_rows(width, percent), "tile long, k1 long")
     met = materialize(tile_meetings(tiles))
 
     def arrays_of(keys: DataFrame) -> DataFrame:
-        one = nodes.join(keys, ["k1", "k2"]).groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
+        one = nodes.where("n > 0").join(keys, "k1").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
         ids = materialize(one.select("doc_id").distinct())
         texts = d.join(hint_if_small(ids, 24), "doc_id").select("text")
         found = texts.mapInArrow(_array_rows(width), "k1 long, k2 long, members binary")
-        return found.join(keys, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        return found.join(keys, "k1", "left_semi").dropDuplicates(["k1", "k2"])
 
     linked = materialize(resolve(met, arrays_of, percent))
     # the smallest id of each linked set's component, and of each other set

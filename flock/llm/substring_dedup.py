@@ -102,8 +102,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for factor in _FACTORS[band * BAND_ROWS:(band + 1) * BAND_ROWS]:
                     key = mix(key, 62) + np.minimum.reduceat(members * factor, begin)
                 tiles.append(mix(key, 63))
-            yield pa.record_batch([pa.array(np.concatenate(tiles).view(np.int64)), pa.array(np.tile(k1[rows], BANDS).view(np.int64)),
-                                   pa.array(np.tile(k2[rows], BANDS).view(np.int64))], ["tile", "k1", "k2"])
+            yield pa.record_batch([pa.array(np.concatenate(tiles).view(np.int64)), pa.array(np.tile(k1[rows], BANDS).view(np.int64))], ["tile", "k1"])
 
 
 def _array_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +162,7 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     * kept: the place that stays, the first of its cluster by (doc_id, place);
       keep_doc_id: where the first places are (the smallest, if several).
     * Paragraphs of one document alone never count, nor do rows that repeat id and
-      text (they are one document).  text_key (xxhash64 of the text) tells apart
+      text (they are one document).  text_key (xxhash64 of id and text) tells apart
       rows that share an id.  Words compare with A-Z lower-cased.
     * Null and empty texts have no passages.  Null ids sort first.  Documents
       without a repeat give no row.  Other columns are not read.
@@ -173,32 +172,34 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     rows of lines, where copies in a task count once.  A band's c lines give
     c - 1 meetings, and clusters are verified in bounded chunks.
     """
-    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     place = F.struct("doc_id", "row", "line", "ordinal")
     sentences = materialize(d.mapInArrow(
         _sentence_rows, f"doc_id {kind}, row long, line int, ordinal int, word int, word_end int, start int, end int, k1 long, k2 long"))
-    equal = (sentences.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "row")).alias("last"))
-             .where((F.col("first.row") != F.col("last.row")) | ~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id"))))
-    equal = materialize(equal.select("k1", "k2", "first"))
+    # half a key finds what may repeat; whole keys and places of those rows decide
+    maybe = sentences.groupBy("k1").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high")
+    again = materialize(sentences.join(hint_if_small(materialize(maybe.select("k1")), 16), "k1"))
+    equal = again.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high"))
+    equal = materialize(equal.where("low <> high").select("k1", "k2", "first"))
 
     lines = materialize(d.mapInArrow(_line_rows, f"doc_id {kind}, row long, line int, k1 long, k2 long"))
-    met = materialize(tile_meetings(d.select("text").mapInArrow(_band_rows, "tile long, k1 long, k2 long")))
+    met = materialize(tile_meetings(d.select("text").mapInArrow(_band_rows, "tile long, k1 long")))
 
     def arrays_of(keys: DataFrame) -> DataFrame:
-        one = lines.join(keys, ["k1", "k2"]).groupBy("k1", "k2").agg(F.min("row").alias("row"))
+        one = lines.join(keys, "k1").groupBy("k1", "k2").agg(F.min("row").alias("row"))
         rows = materialize(one.select("row").distinct())
         found = d.join(hint_if_small(rows, 24), "row").select("text").mapInArrow(_array_rows, "k1 long, k2 long, members binary")
-        return found.join(keys, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        return found.join(keys, "k1", "left_semi").dropDuplicates(["k1", "k2"])
 
     linked = resolve(met, arrays_of, PERCENT)
     near = materialize(lines.join(linked, ["k1", "k2"]).select("doc_id", "row", "line", "component"))
-    heads = (near.groupBy("component").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.max(F.struct("doc_id", "row")).alias("last"))
-             .where((F.col("first.row") != F.col("last.row")) | ~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id"))))
+    heads = near.groupBy("component").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.min("row").alias("low"), F.max("row").alias("high"))
+    heads = heads.where("low <> high")
     near = materialize(near.join(heads, "component").select(F.col("doc_id").alias("n_doc"), F.col("row").alias("n_row"), F.col("line").alias("n_line"), "first"))
 
     spot = ["doc_id", "row", "ordinal", "word", "word_end", "start", "end"]
-    by_sentence = sentences.join(hint_if_small(equal, 64), ["k1", "k2"]).select(
+    by_sentence = again.join(hint_if_small(equal, 64), ["k1", "k2"]).select(
         *spot, (place == F.col("first")).alias("head"), F.col("first.doc_id").alias("home"))
     by_line = sentences.join(hint_if_small(near, 64), sentences["doc_id"].eqNullSafe(near["n_doc"]) & (F.col("row") == F.col("n_row")) & (F.col("line") == F.col("n_line"))).select(
         *spot, (F.struct("doc_id", "row", "line") == F.col("first")).alias("head"), F.col("first.doc_id").alias("home"))
@@ -223,7 +224,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``docs`` with the places of ``passages`` that are not kept cut out of ``text``."""
     spans = passages.where(~F.col("kept")).groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(
         F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_cut"))  # a document's own
-    hit = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left")
+    hit = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64("doc_id", "text") == F.col("_k")), "left")
     raw = F.col("text").cast("binary")
     piece = lambda a, b: F.substring(raw, a + 1, b - a)
     start = F.struct(F.lit(b"").alias("done"), F.lit(0).cast("long").alias("at"))
