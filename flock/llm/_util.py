@@ -24,6 +24,14 @@ def hint_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bucket_count(rows: int, per_bucket: int = NUMBERING_ROWS) -> int:
     return max(1, -(-rows // per_bucket))
 

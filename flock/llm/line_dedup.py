@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from ._util import BROADCAST_BYTES
+from ._util import BROADCAST_BYTES, unused
 
 _BLOCK = "(?i)</?(?:p|div|ul|ol|li|h[1-6]|br|hr|tr|td|th|table|nav|article|section|header|footer|title|head|body|html|meta)(?:[\\s/][^<>]*)?>"
 _ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"),
@@ -57,23 +57,20 @@ def line_dedup(docs: DataFrame, host_col: str = "host", text_col: str = "text",
     pages = docs.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
     common = (seen.select("_h", F.explode("_k").alias("_k")).groupBy("_h", "_k").agg(F.count(F.lit(1)).alias("_c"))
               .where(F.col("_c") >= min_pages))
+    host, gone, left = unused(docs, "_h"), unused(docs, "_gone"), unused(docs, "_left")
     bad = materialize(common.join(pages, "_h").where(F.col("_c") > F.col("_n") * F.lit(float(max_ratio)))
-                      .groupBy("_h").agg(F.collect_list("_k").alias("_bad")))
-    size = bad.select(F.sum(F.size("_bad") * 24 + 64)).first()[0] or 0
+                      .groupBy(F.col("_h").alias(host)).agg(F.collect_list("_k").alias(gone)))
+    size = bad.select(F.sum(F.size(gone) * 24 + 64)).first()[0] or 0
     if size == 0:
-        joined = docs.withColumn("_bad", F.lit(None).cast("array<binary>"))
+        joined = docs.withColumn(gone, F.lit(None).cast("array<binary>"))
     else:
-        joined = docs.join(F.broadcast(bad) if size <= BROADCAST_BYTES else bad,
-                           docs[host_col].eqNullSafe(bad["_h"]), "left").drop("_h")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_bad"), F.unhex(F.md5(F.trim(x)))))
-    kept = F.when(F.col("_bad").isNull(), lines).otherwise(kept)
-    out = joined.withColumn("_kept", kept)
-    n = F.coalesce(F.size(lines), F.lit(0))
-    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n)
-    dropped = F.when(F.col("_bad").isNull() | F.col(text_col).isNull(), F.lit(0)).otherwise(n - F.size("_kept"))
-    out = out.withColumn("n_lines", n.cast("long")).withColumn("n_dropped", dropped.cast("long"))
-    return out.withColumn(text_col, F.when(F.col("_bad").isNull() | F.col(text_col).isNull(), F.col(text_col))
-                          .otherwise(F.array_join("_kept", "\n"))).drop("_bad", "_kept")
+        joined = docs.join(F.broadcast(bad) if size <= BROADCAST_BYTES else bad, F.col(host_col).eqNullSafe(F.col(host)), "left").drop(host)
+    out = joined.withColumn(left, F.filter(lines, lambda x: ~F.array_contains(F.col(gone), F.unhex(F.md5(F.trim(x))))))
+    untouched = F.col(gone).isNull() | F.col(text_col).isNull()
+    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines))
+    out = out.withColumn("n_lines", n.cast("long")).withColumn(
+        "n_dropped", F.when(untouched, F.lit(0)).otherwise(n - F.size(left)).cast("long"))
+    return out.withColumn(text_col, F.when(untouched, F.col(text_col)).otherwise(F.array_join(left, "\n"))).drop(gone, left)
 
 
 def page_line_dedup(pages: DataFrame, max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:

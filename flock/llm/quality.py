@@ -73,7 +73,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     share = lambda c: min(1.0, per_class / max(1, total.get(c, 0)))
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.lit(1_000_000)) / 1e6
     few = good.where(u < F.when(F.col("label") == 0, share(0)).otherwise(share(1)))
-    return docs.join(F.broadcast(few), "doc_id").select("doc_id", "text", "label")  # at most about 2 * per_class rows
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most about 2 * per_class rows
 
 
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

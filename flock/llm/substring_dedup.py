@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from ._util import hint_if_small
+from ._util import hint_if_small, unused
 from ._words import U, _ranges, mix, set_keys, sets_of_words, span_hashes, text_slices, word_spans
 from .jaccard_join import resolve, tile_meetings
 
@@ -222,12 +222,13 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
 
 def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``docs`` with the places of ``passages`` that are not kept cut out of ``text``."""
-    spans = passages.where(~F.col("kept")).groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_cut"))  # a document's own
-    hit = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64("doc_id", "text") == F.col("_k")), "left")
+    doc, key, cut = unused(docs, "_doc"), unused(docs, "_key"), unused(docs, "_cut")
+    spans = passages.where(~F.col("kept")).groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(
+        F.sort_array(F.collect_list(F.struct("start", "length"))).alias(cut))  # a document's own
+    hit = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("doc_id", "text") == F.col(key)), "left")
     raw = F.col("text").cast("binary")
-    piece = lambda a, b: F.substring(raw, a + 1, b - a)
+    piece = lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int"))
     start = F.struct(F.lit(b"").alias("done"), F.lit(0).cast("long").alias("at"))
     step = lambda s, c: F.struct(F.concat(s["done"], piece(s["at"], c["start"])).alias("done"), (c["start"] + c["length"]).alias("at"))
-    folded = F.aggregate(F.col("_cut"), start, step, lambda s: F.concat(s["done"], piece(s["at"], F.octet_length("text").cast("long"))).cast("string"))
-    return hit.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(folded)).drop("_d", "_k", "_cut")
+    folded = F.aggregate(F.col(cut), start, step, lambda s: F.concat(s["done"], piece(s["at"], F.octet_length("text").cast("long"))).cast("string"))
+    return hit.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(folded)).drop(doc, key, cut)
