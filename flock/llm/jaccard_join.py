@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -31,8 +31,8 @@ from ._words import U, _ranges, mix, parity_bitmaps, set_keys, shingle_sets, tex
 
 #: Bits of a signature.
 SIGNATURE_BITS = 2048
-#: Bytes of sorted arrays that one comparing task holds of each side.
-CHUNK_BYTES = 24 << 20
+#: Bytes of sets that one comparing task holds.
+CHUNK_BYTES = 8 << 20
 
 
 def bands(percent: int, most: int = 1 << 40) -> np.ndarray:
@@ -119,37 +119,41 @@ def _tile_rows(width: int, percent: int):
     return run
 
 
+ARRAYS = "k1 long, k2 long, n long, marks binary, members binary"
+
+
+def array_batch(sets: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Keys, sizes, signatures and sorted arrays of sets, as rows of ARRAYS."""
+    k1, k2 = set_keys(sets, at)
+    marks, raw = parity_bitmaps(sets, at, SIGNATURE_BITS), sets.view(np.uint8)
+    return pa.record_batch([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(at)),
+                            pa.array([m.tobytes() for m in marks], pa.binary()),
+                            pa.array([raw[8 * x:8 * y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())],
+                           ["k1", "k2", "n", "marks", "members"])
+
+
 def _array_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in text_slices(batch.column(0)):
-                sets, at = shingle_sets(data, offsets, width)
-                k1, k2 = set_keys(sets, at)
-                raw = sets.view(np.uint8)
-                yield pa.record_batch([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
-                                       pa.array([raw[8 * x:8 * y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())],
-                                      ["k1", "k2", "members"])
+                yield array_batch(*shingle_sets(data, offsets, width))
     return run
 
 
-def link_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Links that connect the sets of ``left`` among themselves, or (``right`` given)
-    with those of ``right``, as index pairs: pairs already connected by links found
-    before are not tested again, every other pair is."""
-    everything = left if right is None else left + right
-    sizes = np.array([len(x) for x in everything], np.int64)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.concatenate(everything) if everything else np.zeros(0, U)
-    marks = parity_bitmaps(flat, at, SIGNATURE_BITS)
-    root = np.arange(len(everything))
+def link_pairs(sizes: np.ndarray, marks: np.ndarray, members: list[np.ndarray] | None, side: np.ndarray | None,
+               percent: int) -> list[tuple[int, int]]:
+    """Links that connect the sets among themselves or, with ``side`` given, those of
+    side 0 with those of side 1, as index pairs.  Pairs already connected by links
+    found before are not tested again; every other pair is.  Without ``members`` a
+    pair counts if its signatures do not rule a link out."""
+    root, links = np.arange(len(sizes)), []
     order = np.argsort(sizes, kind="stable")
-    ranked, links = sizes[order], []
-    split = len(left)
+    ranked = sizes[order]
     for i, x in enumerate(order):
         last = np.searchsorted(ranked, sizes[x] * 100 // percent, "right")
         others = order[i + 1:last]
-        if right is not None:
-            others = others[(others >= split) != (x >= split)]
+        if side is not None:
+            others = others[side[others] != side[x]]
         others = others[root[others] != root[x]]
         if not len(others):
             continue
@@ -160,52 +164,106 @@ def link_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
         for y in others.tolist():
             if root[y] == root[x]:
                 continue
-            both = len(np.intersect1d(everything[x], everything[y], assume_unique=True))
-            if 100 * both >= percent * (sizes[x] + sizes[y] - both):
-                links.append((int(x), y))
-                root[root == root[y]] = root[x]
+            if members is not None:
+                both = len(np.intersect1d(members[x], members[y], assume_unique=True))
+                if 100 * both < percent * (sizes[x] + sizes[y] - both):
+                    continue
+            links.append((int(x), y))
+            root[root == root[y]] = root[x]
     return links
 
 
-def _compare(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        members = [np.frombuffer(x, U) for x in table.column("members").to_pylist()]
-        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        pairs = link_pairs([members[i] for i in first], [members[i] for i in second] if len(second) else None, percent)
-        index = np.concatenate([first, second])
-        x, y = (index[[p[k] for p in pairs]].astype(np.int64) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+def _compare(percent: int, exact: bool):
+    def run(key, table):
+        _, band, chunk, band2, chunk2 = (k.as_py() for k in key)
+        side = None if (band, chunk) == (band2, chunk2) else table.column("side").to_numpy()
+        pairs = []
+        if side is None or 0 < side.sum() < len(side):
+            marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), U).reshape(-1, SIGNATURE_BITS // 64)
+            members = [np.frombuffer(x, U) for x in table.column("members").to_pylist()] if exact else None
+            pairs = link_pairs(table.column("n").to_numpy(), marks, members, side, percent)
+        x, y = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
         k1, k2 = table.column("k1").to_numpy(), table.column("k2").to_numpy()
         return pa.table({"a1": k1[x], "a2": k2[x], "b1": k1[y], "b2": k2[y]})
     return run
 
 
+def size_bands(percent: int, most: int = 1 << 40) -> list[int]:
+    """Lowest sizes of bands of which linked sets lie in the same or in neighbours."""
+    out = [1]
+    while out[-1] < most:
+        out.append(out[-1] * 100 // percent + 1)
+    return out
+
+
+def _size_banded(one: DataFrame, large: DataFrame, percent: int) -> tuple[DataFrame, Column]:
+    """The sets with their band and chunk, and the tasks each of them goes to."""
+    limit = F.lit(CHUNK_BYTES // 2)
+    one = one.join(hint_if_small(large, 24), "cluster", "left")
+    lows = F.array(*[F.lit(x) for x in size_bands(percent)])
+    one = one.withColumn("band", F.when(F.col("large"), F.size(F.filter(lows, lambda x: x <= F.col("n")))).otherwise(0))
+    chunks = materialize(one.where("large").groupBy("cluster", "band").agg(F.ceil(F.sum("weight") / limit).cast("int").alias("chunks")))
+
+    def with_chunks(df: DataFrame, step: int, name: str) -> DataFrame:
+        c = chunks.select("cluster", (F.col("band") - step).alias("band"), F.col("chunks").alias(name))
+        return df.join(hint_if_small(c, 40), ["cluster", "band"], "left")
+    one = with_chunks(with_chunks(with_chunks(one, 0, "here"), 1, "above"), -1, "below")
+    one = one.withColumn("here", F.coalesce("here", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("here")).cast("int"))
+    band, chunk = F.col("band"), F.col("chunk")
+
+    def meet(n: str, make) -> Column:
+        return F.when(F.coalesce(n, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)).otherwise(
+            F.array().cast("array<struct<band:int,chunk:int,band2:int,chunk2:int,side:int>>"))
+
+    def task(b, c, b2, c2, side) -> Column:
+        return F.struct(b.alias("band"), c.alias("chunk"), b2.alias("band2"), c2.alias("chunk2"), side.cast("int").alias("side"))
+    met = F.concat(meet("here", lambda c: task(band, F.least(chunk, c), band, F.greatest(chunk, c), chunk > c)),
+                   meet("above", lambda c: task(band, chunk, band + 1, c, F.lit(0))),
+                   meet("below", lambda c: task(band - 1, c, band, chunk, F.lit(1))))
+    return one, met
+
+
+def compared(sets: DataFrame, weight: Column, percent: int, exact: bool) -> DataFrame:
+    """(node, component) of the sets that a comparison inside ``cluster`` connects.
+
+    A cluster of at most CHUNK_BYTES / 2 (by ``weight``) is one task.  A larger one is
+    cut by size band, and its bands into chunks of that weight; a chunk meets
+    itself, the other chunks of its band and those of the bands beside it.  So a
+    task holds two chunks at most, whatever the cluster.
+    """
+    one = sets.withColumn("weight", weight)
+    limit = F.lit(CHUNK_BYTES // 2)
+    large = materialize(one.groupBy("cluster").agg(F.sum("weight").alias("w")).where(F.col("w") > limit).select("cluster", F.lit(True).alias("large")))
+    if large.isEmpty():
+        nil = F.lit(0)
+        met = F.array(F.struct(*[nil.alias(c) for c in ("band", "chunk", "band2", "chunk2", "side")]))
+    else:
+        one, met = _size_banded(one, large, percent)
+    values = ["k1", "k2", "n", "marks", *(["members"] if exact else [])]
+    keys = ["cluster", "band", "chunk", "band2", "chunk2"]
+    dealt = one.select("cluster", *values, F.explode(met).alias("met")).select("cluster", "met.*", *values)
+    # dealt by the whole key, else the tasks of a cluster would follow one another in one
+    links = dealt.repartition(*keys).groupBy(*keys).applyInArrow(_compare(percent, exact), "a1 long, a2 long, b1 long, b2 long")
+    key = lambda x, y: F.struct(F.col(x).alias("k1"), F.col(y).alias("k2"))
+    return components(materialize(links).select(key("a1", "a2").alias("a"), key("b1", "b2").alias("b")))
+
+
 def resolve(met: DataFrame, arrays_of, percent: int) -> DataFrame:
     """(k1, k2, component) of the sets that link with another one.
 
     ``met`` holds pairs (a, b) of first keys: every pair that may link is
     connected through it.  Half a key is enough here, since sets that share it
-    all join the comparison.  Sets connected that way form a cluster, and a
-    cluster's sets are compared in tasks of two chunks of at most CHUNK_BYTES:
-    a large cluster becomes many tasks, none holds all of it, and no pair is
-    left out.  ``arrays_of(keys)`` gives (k1, k2, members) for a table of first keys.
+    all join the comparison.  Connected sets form a cluster.  The signatures split
+    clusters first: a link's two sets pass the bound, so what passing pairs connect
+    holds every link.  Then the arrays of each such part are intersected.
+    ``arrays_of(keys)`` gives rows of ARRAYS for a table of first keys.
     """
     clusters = materialize(components(met).select(F.col("node").alias("k1"), F.col("component").alias("cluster")))
-    arrays = arrays_of(clusters.select("k1")).join(clusters, "k1")
-    arrays = materialize(arrays.withColumn("bytes", F.length("members").cast("long") + 300))
-    total = arrays.groupBy("cluster").agg(F.sum("bytes").alias("total"), F.max("bytes").alias("most"))
-    chunks = F.ceil(F.col("total") / F.greatest(F.lit(CHUNK_BYTES // 2), F.col("most"))).cast("int")
-    large = materialize(total.select("cluster", chunks.alias("chunks")).where("chunks > 1"))
-    dealt = arrays.join(hint_if_small(large, 40), "cluster", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))
-    with_each = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(
-        F.least("chunk", c).alias("i"), F.greatest("chunk", c).alias("j"), (F.col("chunk") > c).cast("int").alias("side")))
-    dealt = dealt.select("cluster", "k1", "k2", "members", F.explode(with_each).alias("with"))
-    dealt = dealt.select("cluster", "with.i", "with.j", "with.side", "k1", "k2", "members")
-    dealt = dealt.repartition("cluster", "i", "j")  # else the chunks of a cluster follow one another in one task
-    links = dealt.groupBy("cluster", "i", "j").applyInArrow(_compare(percent), "a1 long, a2 long, b1 long, b2 long")
-    key = lambda x, y: F.struct(F.col(x).alias("k1"), F.col(y).alias("k2"))
-    found = components(materialize(links).select(key("a1", "a2").alias("a"), key("b1", "b2").alias("b")))
+    arrays = materialize(arrays_of(clusters.select("k1")).join(clusters, "k1"))
+    passing = compared(arrays.drop("members"), F.lit(SIGNATURE_BITS // 8 + 50), percent, False)
+    passing = passing.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.xxhash64("component").alias("cluster"))
+    arrays = arrays.drop("cluster").join(hint_if_small(passing, 40), ["k1", "k2"])
+    found = compared(arrays, F.length("members") + SIGNATURE_BITS // 8 + 50, percent, True)
     return found.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "component")
 
 
@@ -243,7 +301,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
         one = nodes.where("n > 0").join(keys, "k1").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
         ids = materialize(one.select("doc_id").distinct())
         texts = d.join(hint_if_small(ids, 24), "doc_id").select("text")
-        found = texts.mapInArrow(_array_rows(width), "k1 long, k2 long, members binary")
+        found = texts.mapInArrow(_array_rows(width), ARRAYS)
         return found.join(keys, "k1", "left_semi").dropDuplicates(["k1", "k2"])
 
     linked = materialize(resolve(met, arrays_of, percent))

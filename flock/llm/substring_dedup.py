@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from ._util import hint_if_small, unused
 from ._words import U, _ranges, mix, set_keys, sets_of_words, span_hashes, text_slices, word_spans
-from .jaccard_join import resolve, tile_meetings
+from .jaccard_join import ARRAYS, array_batch, resolve, tile_meetings
 
 WIDTH, PERCENT = 5, 80
 #: Recall of a pair at 0.8: 1 - (1 - 0.8**5)**16 = 99.8 %, at 0.85 99.99 %.
@@ -109,11 +109,7 @@ def _array_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, data, offsets in text_slices(batch.column(0)):
             sets, at, _, _ = _lines(data, offsets)
-            k1, k2 = set_keys(sets, at)
-            raw = sets.view(np.uint8)
-            yield pa.record_batch([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
-                                   pa.array([raw[8 * x:8 * y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())],
-                                  ["k1", "k2", "members"])
+            yield array_batch(sets, at)
 
 
 def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +185,7 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     def arrays_of(keys: DataFrame) -> DataFrame:
         one = lines.join(keys, "k1").groupBy("k1", "k2").agg(F.min("row").alias("row"))
         rows = materialize(one.select("row").distinct())
-        found = d.join(hint_if_small(rows, 24), "row").select("text").mapInArrow(_array_rows, "k1 long, k2 long, members binary")
+        found = d.join(hint_if_small(rows, 24), "row").select("text").mapInArrow(_array_rows, ARRAYS)
         return found.join(keys, "k1", "left_semi").dropDuplicates(["k1", "k2"])
 
     linked = resolve(met, arrays_of, PERCENT)

@@ -13,7 +13,7 @@ import pytest
 from flock.llm import _words
 from flock.llm._graph import components
 from flock.llm.exact_dedup import exact_dedup
-from flock.llm.jaccard_join import bands, jaccard_join, link_pairs
+from flock.llm.jaccard_join import bands, jaccard_join, link_pairs, size_bands
 from flock.llm.line_dedup import html_lines, line_dedup, page_line_dedup
 from flock.llm.mixing import mix
 from flock.llm.packing import best_fit_pack, pack_counts, piece_lengths
@@ -180,7 +180,12 @@ def test_links_across_chunks():
     base = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
     sets = [np.unique(np.concatenate([base[i:], rng.integers(0, 2**63, i).astype(np.uint64)])) for i in range(8)]
     direct = {(i, j) for i in range(8) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 95 * len(np.union1d(sets[i], sets[j]))}
-    found = link_pairs(sets, None, 95) + [(x, y) for x, y in link_pairs(sets[:4], sets[4:], 95)]
+    sizes, at = np.array([len(x) for x in sets]), np.cumsum([0, *map(len, sets)])
+    marks = _words.parity_bitmaps(np.concatenate(sets), at, 2048)
+    halves = np.array([0, 0, 0, 0, 1, 1, 1, 1])
+    found = link_pairs(sizes, marks, sets, None, 95) + link_pairs(sizes, marks, sets, halves, 95)
+    passed = link_pairs(sizes, marks, None, None, 95)
+    assert len(passed) >= len(link_pairs(sizes, marks, sets, None, 95))
     assert all((max(p), min(p)) in direct for p in found)
     root = list(range(8))
     for x, y in found:
@@ -189,6 +194,19 @@ def test_links_across_chunks():
     assert (bands(90)[:, 3] > bands(90)[:, 2]).sum() == (bands(90)[:, 2] > 0).sum()
 
 
+def test_large_clusters_are_cut(docs, monkeypatch):
+    """Chunks of a few bytes: every set meets the others across chunks and size bands."""
+    from flock.llm import jaccard_join as module
+
+    want = sorted(map(key, jaccard_join(docs, 1, 50).collect()))
+    monkeypatch.setattr(module, "CHUNK_BYTES", 2500)
+    assert sorted(map(key, jaccard_join(docs, 1, 50).collect())) == want
+    lows = size_bands(80)
+    for n in range(1, 400):
+        band = sum(x <= n for x in lows)
+        assert sum(x <= n * 100 // 80 for x in lows) <= band + 1
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(100, 130)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
