@@ -138,10 +138,19 @@ def set_keys(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def parity_bitmaps(sets: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
-    """A row of ``bits`` bits for each set: bit h is 1 when an odd number of members
-    hash to h.  Two sets differ in at least as many members as their rows in bits."""
-    rows = len(at) - 1
-    cell = np.repeat(np.arange(rows), np.diff(at)) * bits + (mix(sets, 31) >> U(40)).astype(np.int64) % bits
-    flags = (np.bincount(cell, minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
-    return np.packbits(flags, axis=1).view(np.uint64)
+def signature_bits(n: np.ndarray, least: int) -> np.ndarray:
+    """Bits of a signature: a power of two, as many as members and ``least`` or more."""
+    return np.maximum(least, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
+def parity_bitmaps(sets: np.ndarray, at: np.ndarray, least: int) -> list[np.ndarray]:
+    """A signature of each set: bit h is 1 when an odd number of members hash to h.  Two
+    sets differ in at least as many members as their signatures in bits.  The
+    halves of a signature, combined by exclusive or, are the one of half its bits."""
+    n = np.diff(at)
+    bits = signature_bits(n, least)
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    place = (mix(sets, 31) >> U(32)).astype(np.int64) & np.repeat(bits - 1, n)
+    flags = (np.bincount(np.repeat(begin[:-1], n) + place, minlength=int(begin[-1])) & 1).astype(np.uint8)
+    words = np.packbits(flags).view(np.uint64)
+    return [words[a // 64:b // 64] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]

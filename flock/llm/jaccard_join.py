@@ -29,8 +29,8 @@ from ._graph import components
 from ._util import hint_if_small
 from ._words import U, _ranges, mix, parity_bitmaps, set_keys, shingle_sets, text_slices
 
-#: Bits of a signature.
-SIGNATURE_BITS = 2048
+#: Bits of a signature, at least (it has one for each member of a larger set).
+SIGNATURE_BITS = 1024
 #: Bytes of sets that one comparing task holds.
 CHUNK_BYTES = 8 << 20
 
@@ -140,7 +140,7 @@ def _array_rows(width: int):
     return run
 
 
-def link_pairs(sizes: np.ndarray, marks: np.ndarray, members: list[np.ndarray] | None, side: np.ndarray | None,
+def link_pairs(sizes: np.ndarray, marks: list[np.ndarray], members: list[np.ndarray] | None, side: np.ndarray | None,
                percent: int) -> list[tuple[int, int]]:
     """Links that connect the sets among themselves or, with ``side`` given, those of
     side 0 with those of side 1, as index pairs.  Pairs already connected by links
@@ -148,7 +148,14 @@ def link_pairs(sizes: np.ndarray, marks: np.ndarray, members: list[np.ndarray] |
     pair counts if its signatures do not rule a link out."""
     root, links = np.arange(len(sizes)), []
     order = np.argsort(sizes, kind="stable")
-    ranked = sizes[order]
+    ranked, words = sizes[order], np.array([len(m) for m in marks])
+    # signatures by length, with those of twice the length folded to it
+    alike, at = {}, {}
+    for w in np.unique(words).tolist():
+        some = np.flatnonzero((words == w) | (words == 2 * w))
+        alike[w] = np.stack([marks[j] if words[j] == w else marks[j][:w] ^ marks[j][w:] for j in some])
+        at[w] = np.full(len(sizes), -1)
+        at[w][some] = np.arange(len(some))
     for i, x in enumerate(order):
         last = np.searchsorted(ranked, sizes[x] * 100 // percent, "right")
         others = order[i + 1:last]
@@ -158,7 +165,9 @@ def link_pairs(sizes: np.ndarray, marks: np.ndarray, members: list[np.ndarray] |
         if not len(others):
             continue
         total = sizes[x] + sizes[others]
-        differ = np.bitwise_count(marks[others] ^ marks[x]).sum(axis=1, dtype=np.int64)
+        w = int(words[x])  # the others are no smaller, and less than twice as large
+        mine, place = alike[w], at[w]
+        differ = np.bitwise_count(mine[place[others]] ^ mine[place[x]]).sum(axis=1, dtype=np.int64)
         overlap_most = (total - differ) // 2
         others = others[100 * overlap_most >= percent * (total - overlap_most)]
         for y in others.tolist():
@@ -179,7 +188,7 @@ def _compare(percent: int, exact: bool):
         side = None if (band, chunk) == (band2, chunk2) else table.column("side").to_numpy()
         pairs = []
         if side is None or 0 < side.sum() < len(side):
-            marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), U).reshape(-1, SIGNATURE_BITS // 64)
+            marks = [np.frombuffer(x, U) for x in table.column("marks").to_pylist()]
             members = [np.frombuffer(x, U) for x in table.column("members").to_pylist()] if exact else None
             pairs = link_pairs(table.column("n").to_numpy(), marks, members, side, percent)
         x, y = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
@@ -260,10 +269,10 @@ def resolve(met: DataFrame, arrays_of, percent: int) -> DataFrame:
     """
     clusters = materialize(components(met).select(F.col("node").alias("k1"), F.col("component").alias("cluster")))
     arrays = materialize(arrays_of(clusters.select("k1")).join(clusters, "k1"))
-    passing = compared(arrays.drop("members"), F.lit(SIGNATURE_BITS // 8 + 50), percent, False)
+    passing = compared(arrays.drop("members"), F.length("marks") + 50, percent, False)
     passing = passing.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.xxhash64("component").alias("cluster"))
     arrays = arrays.drop("cluster").join(hint_if_small(passing, 40), ["k1", "k2"])
-    found = compared(arrays, F.length("members") + SIGNATURE_BITS // 8 + 50, percent, True)
+    found = compared(arrays, F.length("members") + F.length("marks") + 50, percent, True)
     return found.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "component")
 
 
@@ -291,6 +300,8 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     joined).  The tile table, about 0.17 rows a word at 90 %, is the one large
     shuffle.  Arrays exist only for sets that meet another one.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent is 50 to 100")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = d.schema["doc_id"].dataType.simpleString()
     nodes = materialize(d.mapInArrow(_key_rows(width), f"doc_id {id_type}, n long, k1 long, k2 long"))
