@@ -134,7 +134,7 @@ def model2_dataset(clean: DataFrame, gender: str = "null") -> DataFrame:
     if gender == "null":
         g = F.lit(None).cast("double")
     else:
-        g = recode_exact(F.col("gender"), {v: k for k, v in GENDER_RECODE}).cast("double")
+        g = recode_exact(F.col("gender"), {v: k for k, v in GENDER_RECODE}).try_cast("double")
     label = F.when(F.col(LABEL) == "StayAtChurch", 1.0).otherwise(0.0)
     return df.withColumn("gender", g).withColumn(LABEL, label)
 

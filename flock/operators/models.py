@@ -166,13 +166,10 @@ def fit_forest(df: DataFrame, label: str, features: list[str] | None = None, tre
     return Pipeline(stages=_label_stages(label) + feature_stages(df, features) + [rf]).fit(df)
 
 
-def _max_depth_for_nodes(max_nodes: int) -> int:
-    """A leaf cap of ``max_nodes`` expressed as the depth of a full binary tree
-    with no more leaves (MLlib limits depth, not leaves)."""
-    depth = 0
-    while 2 ** (depth + 1) <= max_nodes:
-        depth += 1
-    return max(depth, 1)
+def depth_for_leaves(max_nodes: int) -> int:
+    """The smallest depth whose full binary tree has ``max_nodes`` leaves or more
+    (MLlib limits depth, not leaves; a limit is never rounded down)."""
+    return max(1, (max_nodes - 1).bit_length())
 
 
 def cv_forest(train: DataFrame, label: str, folds: int = CV["folds"], mtry: int = CV["mtry"],
@@ -183,14 +180,14 @@ def cv_forest(train: DataFrame, label: str, folds: int = CV["folds"], mtry: int
     features = feature_columns(train, label)
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, seed=seed,
                                 featureSubsetStrategy=str(mtry), minInstancesPerNode=node_size,
-                                maxDepth=_max_depth_for_nodes(max_nodes), maxBins=64)
+                                maxDepth=depth_for_leaves(max_nodes), maxBins=64)
     pipe = Pipeline(stages=_label_stages(label) + feature_stages(train, features) + [rf])
     builder = ParamGridBuilder()
     grid = grid or {"mtry": [mtry]}
     if "mtry" in grid:
         builder = builder.addGrid(rf.featureSubsetStrategy, [str(v) for v in grid["mtry"]])
     if "max_nodes" in grid:
-        builder = builder.addGrid(rf.maxDepth, sorted({_max_depth_for_nodes(v) for v in grid["max_nodes"]}))
+        builder = builder.addGrid(rf.maxDepth, [depth_for_leaves(v) for v in grid["max_nodes"]])
     if "trees" in grid:
         builder = builder.addGrid(rf.numTrees, list(grid["trees"]))
     ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="accuracy")
@@ -218,14 +215,15 @@ def assembled(df: DataFrame, cols: list[str], out: str = "features", keep=("id",
 
 
 def kmeans_best(df: DataFrame, cols: list[str], k: int = KMEANS["k"], starts: int = KMEANS["starts"],
-                seed: int = KMEANS["seed"], parallelism: int = 4):
+                seed: int = KMEANS["seed"], parallelism: int = 4, max_iter: int = 10):
     """``kmeans(nstart=25)``: random starts, keep the least within-cluster
-    sum of squares.  Starts run concurrently as independent Spark jobs over
-    one checkpointed input."""
+    sum of squares.  ``max_iter``: at most that many rounds (R's default of
+    ten).  Starts run concurrently as independent Spark jobs over one
+    checkpointed input."""
     data = materialize(assembled(df, cols))
 
     def fit(s):
-        return KMeans(k=k, initMode="random", seed=s, featuresCol="features", maxIter=10).fit(data)
+        return KMeans(k=k, initMode="random", seed=s, featuresCol="features", maxIter=max_iter).fit(data)
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         models = list(pool.map(fit, [seed + i for i in range(starts)]))

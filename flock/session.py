@@ -26,7 +26,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     coalescing and skew-join splitting, Arrow for pandas exchange, UI off.
     """
     master = master or os.environ.get("FLOCK_MASTER", "local[8]")
-    parts = shuffle_partitions or int(os.environ.get("FLOCK_SHUFFLE_PARTITIONS", "8"))
+    parts = shuffle_partitions or os.environ.get("FLOCK_SHUFFLE_PARTITIONS")
     builder = (
         SparkSession.builder.master(master)
         .appName(app_name)
@@ -34,13 +34,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         # no Python call-site capture on every DataFrame call (a stack walk per call)
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("FLOCK_DRIVER_MEMORY", "16g"))
     )
+    if parts:  # else the session's own setting stays: AQE merges partitions, but never adds any
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

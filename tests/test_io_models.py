@@ -122,3 +122,11 @@ def test_streaming_sink_appends_by_month(spark):
     total = spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
     assert read_events(spark, path).count() == total
     assert read_events(spark, path, since="2000-01-01").count() < total
+
+
+def test_leaf_limits_are_not_rounded_down():
+    from flock.operators.models import MAXNODES_GRID, depth_for_leaves
+
+    assert depth_for_leaves(14) == 4 and depth_for_leaves(8) == 3 and depth_for_leaves(9) == 4
+    assert len([depth_for_leaves(v) for v in MAXNODES_GRID]) == len(MAXNODES_GRID) == 11
+    assert all(2 ** depth_for_leaves(v) >= v for v in MAXNODES_GRID)
