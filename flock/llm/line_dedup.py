@@ -31,7 +31,7 @@ def html_lines(html: Column) -> Column:
     for name, char in _ENTITIES:
         t = F.replace(t, F.lit(name), F.lit(char))
     t = F.regexp_replace(F.regexp_replace(t, "[ \\t\\r]+", " "), " ?\\n[ \\n]*", "\n")
-    return F.regexp_replace(t, "^[ \\n]+|[ \\n]+$", "")
+    return F.btrim(t, F.lit(" \n"))
 
 
 def line_dedup(docs: DataFrame, host_col: str = "host", text_col: str = "text", max_ratio: float = 0.1,
@@ -52,10 +52,10 @@ def line_dedup(docs: DataFrame, host_col: str = "host", text_col: str = "text",
     together measure small, else by a join whose skewed host AQE splits.
     """
     lines = F.split(F.col(text_col), "\n", -1)
-    keys = F.transform(F.filter(F.transform(lines, F.trim), lambda x: x != ""), lambda x: F.unhex(F.md5(x)))
-    seen = docs.where(F.col(host_col).isNotNull()).select(F.col(host_col).alias("_h"), F.array_distinct(keys).alias("_k"))
+    own = F.array_distinct(F.filter(F.transform(lines, F.trim), lambda x: x != ""))
+    seen = docs.where(F.col(host_col).isNotNull()).select(F.col(host_col).alias("_h"), F.explode(own).alias("_l"))
     pages = docs.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    common = (seen.select("_h", F.explode("_k").alias("_k")).groupBy("_h", "_k").agg(F.count(F.lit(1)).alias("_c"))
+    common = (seen.select("_h", F.unhex(F.md5("_l")).alias("_k")).groupBy("_h", "_k").agg(F.count(F.lit(1)).alias("_c"))
               .where(F.col("_c") >= min_pages))
     host, gone, left = unused(docs, "_h"), unused(docs, "_gone"), unused(docs, "_left")
     bad = materialize(common.join(pages, "_h").where(F.col("_c") > F.col("_n") * F.lit(float(max_ratio)))
@@ -65,7 +65,8 @@ def line_dedup(docs: DataFrame, host_col: str = "host", text_col: str = "text",
         joined = docs.withColumn(gone, F.lit(None).cast("array<binary>"))
     else:
         joined = docs.join(F.broadcast(bad) if size <= BROADCAST_BYTES else bad, F.col(host_col).eqNullSafe(F.col(host)), "left").drop(host)
-    out = joined.withColumn(left, F.filter(lines, lambda x: ~F.array_contains(F.col(gone), F.unhex(F.md5(F.trim(x))))))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(gone), F.unhex(F.md5(F.trim(x)))))
+    out = joined.withColumn(left, F.when(F.col(gone).isNotNull(), kept))  # other hosts' lines are not hashed again
     untouched = F.col(gone).isNull() | F.col(text_col).isNull()
     n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines))
     out = out.withColumn("n_lines", n.cast("long")).withColumn(
@@ -74,6 +75,9 @@ def line_dedup(docs: DataFrame, host_col: str = "host", text_col: str = "text",
 
 
 def page_line_dedup(pages: DataFrame, max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    """Line dedup of raw web pages: page_id, host, n_lines, n_dropped, text."""
-    d = pages.select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
+    """Line dedup of raw web pages: page_id, host, n_lines, n_dropped, text.
+
+    The visible texts are written once: they are read for the counts and again
+    for the result, and taking them out of the markup is most of the work."""
+    d = materialize(pages.select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text")))
     return line_dedup(d, "host", "text", max_ratio, min_pages).select("page_id", "host", "n_lines", "n_dropped", "text")
