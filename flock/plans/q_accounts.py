@@ -17,44 +17,39 @@ MB, WL = q.month_bucket, q.week_label
 
 PA_SQL = """
 primary_alias AS (
-  SELECT p.id AS person_id,
-         (SELECT min(x.id) FROM person_alias x WHERE x.person_id = p.id AND x.alias_person_id = p.id) AS alias_id
-  FROM person p),
+  SELECT person_id, min(id) AS alias_id FROM person_alias
+  WHERE alias_person_id = person_id AND person_id IN (SELECT id FROM person) GROUP BY person_id),
 person_attendance AS (
-  SELECT p.person_id AS id, min(a.start_ts) AS first_attendance, max(a.start_ts) AS last_attendance,
-         count(*) AS total_check_ins
-  FROM attendance a JOIN primary_alias p ON p.alias_id = a.person_alias_id AND a.did_attend = 1
-  GROUP BY p.person_id)"""
+  SELECT person_id AS id, min(start_ts) AS first_attendance, max(start_ts) AS last_attendance, count(*) AS total_check_ins
+  FROM primary_alias JOIN attendance ON person_alias_id = alias_id WHERE did_attend = 1 GROUP BY person_id)"""
 
+#: Months of sign-ups, of activity and of first and last check-ins, each counted by its definition.
 ACCOUNTS_SQL = f"""
-new_accounts_total AS (
-  SELECT {MB('created_ts')} AS mo, count(id) AS new_accounts FROM person WHERE foreign_id IS NULL GROUP BY 1),
-total_accounts AS (
-  SELECT mo, new_accounts, CAST(sum(new_accounts) OVER (ORDER BY mo) AS BIGINT) AS total_accounts
-  FROM new_accounts_total),
-person_events AS (
-  SELECT DISTINCT person_alias_id, {MB('start_ts')} AS event_month, {WL('start_ts')} AS week_number
-  FROM attendance WHERE did_attend = 1
-  UNION ALL
-  SELECT DISTINCT person_alias_id, {MB('created_ts')}, {WL('created_ts')} FROM gift),
-pes AS (SELECT event_month, count(DISTINCT person_alias_id) AS active_users FROM person_events GROUP BY 1),
-pew AS (SELECT event_month, week_number, count(DISTINCT person_alias_id) AS active_users_week
-        FROM person_events GROUP BY 1, 2),
-accounts AS (
-  SELECT ta.*, pe.active_users AS active_users_month, pw.week_number, pw.active_users_week
-  FROM total_accounts ta LEFT JOIN pes pe ON pe.event_month = ta.mo
-       LEFT JOIN pew pw ON pw.event_month = ta.mo),
 {PA_SQL.strip()},
-first_att AS (SELECT {MB('first_attendance')} AS mo, count(*) AS total_new_check_ins
-              FROM person_attendance GROUP BY 1),
-last_att AS (SELECT {MB('last_attendance')} AS mo, count(*) AS total_last_check_ins
-             FROM person_attendance GROUP BY 1),
-stats_all AS (
-  SELECT acc.mo, acc.new_accounts, acc.total_accounts, fa.total_new_check_ins, la.total_last_check_ins,
-         acc.active_users_month, acc.week_number, acc.active_users_week
-  FROM accounts acc LEFT JOIN first_att fa ON fa.mo = acc.mo LEFT JOIN last_att la ON la.mo = acc.mo),
+signups AS (
+  SELECT DISTINCT mo, count(*) OVER (PARTITION BY mo) AS new_accounts, count(*) OVER (ORDER BY mo) AS total_accounts
+  FROM (SELECT {MB('created_ts')} AS mo FROM person WHERE foreign_id IS NULL) x),
+activity AS (
+  SELECT kind, person_alias_id, {MB('moment')} AS event_month, {WL('moment')} AS week_number
+  FROM (SELECT 'check-in' AS kind, person_alias_id, start_ts AS moment FROM attendance WHERE did_attend = 1
+        UNION ALL SELECT 'gift', person_alias_id, created_ts FROM gift) x
+  GROUP BY ALL),
+active AS (
+  SELECT event_month, week_number, count(DISTINCT person_alias_id) AS users, grouping(week_number) = 1 AS whole_month
+  FROM activity GROUP BY GROUPING SETS ((event_month), (event_month, week_number))),
+active_months AS (SELECT event_month, users AS active_users FROM active WHERE whole_month),
+active_weeks AS (SELECT event_month, week_number, users AS active_users_week FROM active WHERE NOT whole_month),
+accounts AS (
+  SELECT mo, new_accounts, total_accounts, m.active_users AS active_users_month, w.week_number, w.active_users_week
+  FROM active_weeks w RIGHT JOIN signups ON w.event_month = mo LEFT JOIN active_months m ON m.event_month = mo),
+ends AS (
+  SELECT mo, nullif(count(*) FILTER (is_first), 0) AS total_new_check_ins, nullif(count(*) FILTER (NOT is_first), 0) AS total_last_check_ins
+  FROM (SELECT {MB('first_attendance')} AS mo, true AS is_first FROM person_attendance
+        UNION ALL SELECT {MB('last_attendance')}, false FROM person_attendance) x
+  GROUP BY mo),
+all_months AS (SELECT * FROM accounts LEFT JOIN ends USING (mo)),
 account_stats AS (
-  SELECT * FROM stats_all WHERE total_last_check_ins <= {q.closed_threshold()})"""
+  SELECT * FROM all_months WHERE total_last_check_ins <= {q.closed_threshold()})"""
 
 
 def _d(spark, sf_dir):
@@ -137,7 +132,7 @@ def person_attendance_q(spark, sf_dir):
 
 # --- accounts -------------------------------------------------------------------
 
-@register("monthly_accounts", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT * FROM total_accounts"))
+@register("monthly_accounts", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT * FROM signups"))
 def monthly_accounts(spark, sf_dir):
     """K1: new and cumulative non-imported accounts per month."""
     return acc.monthly_accounts(_d(spark, sf_dir)["person"])
@@ -151,21 +146,21 @@ def monthly_accounts_all(spark, sf_dir):
     return acc.monthly_accounts(_d(spark, sf_dir)["person"], exclude_imported=False)
 
 
-@register("person_events", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT * FROM person_events"))
+@register("person_events", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT person_alias_id, event_month, week_number FROM activity"))
 def person_events(spark, sf_dir):
     """K2/G1: attended and giving events by (alias, month, week label)."""
     d = _d(spark, sf_dir)
     return acc.person_events(d["attendance"], d["gift"])
 
 
-@register("active_users_month", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT * FROM pes"))
+@register("active_users_month", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT * FROM active_months"))
 def active_users_month(spark, sf_dir):
     """Distinct active aliases per month."""
     d = _d(spark, sf_dir)
     return acc.active_users_month(acc.person_events(d["attendance"], d["gift"]))
 
 
-@register("active_users_week", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT * FROM pew"))
+@register("active_users_week", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT * FROM active_weeks"))
 def active_users_week(spark, sf_dir):
     """Distinct active aliases per (month, week label)."""
     d = _d(spark, sf_dir)
@@ -179,13 +174,13 @@ def accounts_q(spark, sf_dir):
     return acc.accounts(d["person"], d["attendance"], d["gift"])
 
 
-@register("first_checkins", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT * FROM first_att"))
+@register("first_checkins", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT mo, total_new_check_ins FROM ends WHERE total_new_check_ins > 0"))
 def first_checkins(spark, sf_dir):
     """People whose first check-in falls in each month."""
     return acc.first_last_checkins(PersonParts(_d(spark, sf_dir)).attendance)[0]
 
 
-@register("last_checkins", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT * FROM last_att"))
+@register("last_checkins", sql=q.with_adapter(ACCOUNTS_SQL, select="SELECT mo, total_last_check_ins FROM ends WHERE total_last_check_ins > 0"))
 def last_checkins(spark, sf_dir):
     """People whose last check-in falls in each month."""
     return acc.first_last_checkins(PersonParts(_d(spark, sf_dir)).attendance)[1]
@@ -198,7 +193,7 @@ def account_stats(spark, sf_dir):
 
 
 @register("account_stats_closed", sql=q.with_adapter(ACCOUNTS_SQL, select=f"""
-SELECT * FROM stats_all
+SELECT * FROM all_months
 WHERE total_last_check_ins IS NOT NULL AND mo <= CAST(DATE '{AS_OF}' - INTERVAL 2 MONTH AS DATE)"""))
 def account_stats_closed(spark, sf_dir):
     """K4 with the intended filter: closed months only."""
@@ -206,12 +201,10 @@ def account_stats_closed(spark, sf_dir):
 
 
 @register("account_stats_v1", sql=q.with_adapter(ACCOUNTS_SQL, f"""
-nat1 AS (SELECT {MB('created_ts')} AS mo, count(id) AS new_accounts FROM person GROUP BY 1),
-acc1 AS (SELECT mo, new_accounts, CAST(sum(new_accounts) OVER (ORDER BY mo) AS BIGINT) AS total_accounts
-         FROM nat1)""", select=f"""
-SELECT a.mo, a.new_accounts, a.total_accounts, fa.total_new_check_ins, la.total_last_check_ins
-FROM acc1 a LEFT JOIN first_att fa ON fa.mo = a.mo LEFT JOIN last_att la ON la.mo = a.mo
-WHERE la.total_last_check_ins <= {q.closed_threshold()}"""))
+signups_all AS (
+  SELECT DISTINCT mo, count(*) OVER (PARTITION BY mo) AS new_accounts, count(*) OVER (ORDER BY mo) AS total_accounts
+  FROM (SELECT {MB('created_ts')} AS mo FROM person) x)""", select=f"""
+SELECT * FROM signups_all LEFT JOIN ends USING (mo) WHERE total_last_check_ins <= {q.closed_threshold()}"""))
 def account_stats_v1(spark, sf_dir):
     """K4 of the first script (no activity columns)."""
     d = _d(spark, sf_dir)
