@@ -52,7 +52,7 @@ def line_dedup(docs: DataFrame, host_col: str = "host", text_col: str = "text",
     together measure small, else by a join whose skewed host AQE splits.
     """
     lines = F.split(F.col(text_col), "\n", -1)
-    own = F.array_distinct(F.filter(F.transform(lines, F.trim), lambda x: x != ""))
+    own = F.array_distinct(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""))
     seen = docs.where(F.col(host_col).isNotNull()).select(F.col(host_col).alias("_h"), F.explode(own).alias("_l"))
     pages = docs.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
     common = (seen.select("_h", F.unhex(F.md5("_l")).alias("_k")).groupBy("_h", "_k").agg(F.count(F.lit(1)).alias("_c"))

@@ -68,6 +68,9 @@ def test_line_dedup(spark, empty):
     assert (got[20].text, got[20].n_lines) == (None, 0) and (got[21].text, got[21].n_lines) == ("", 1)
     assert got[22].text == "menu" and got[23].text == "menu" and got[24].text == ""
     assert line_dedup(empty).count() == 0
+    # outer blanks alone make lines equal, and a line's place in its page does not matter
+    padded = spark.createDataFrame([(i, "h", f"own {i}\n all rights {i % 2} \nlast 2{i}") for i in range(20)], "page long, host string, text string")
+    assert {r.page: r.text for r in line_dedup(padded).collect()} == {i: f"own {i}\nlast 2{i}" for i in range(20)}
 
 
 def test_page_lines(spark):
