@@ -137,7 +137,11 @@ def t_quantile(p: float, df: float) -> float:
     """Inverse of the Student t distribution function (bisection)."""
     if not (df > 0) or math.isnan(df):
         return float("nan")
-    lo, hi = -1e3, 1e3
+    lo, hi = -1.0, 1.0
+    while t_cdf(lo, df) > p and lo > -1e300:
+        lo *= 2
+    while t_cdf(hi, df) < p and hi < 1e300:
+        hi *= 2
     for _ in range(200):
         mid = (lo + hi) / 2
         if t_cdf(mid, df) < p:

@@ -125,3 +125,10 @@ def test_fivenum_matches_tukey_definition(spark, n):
     d = [1, n4, (n + 1) / 2, n + 1 - n4, n]
     want = [0.5 * (xs[int(np.floor(p)) - 1] + xs[int(np.ceil(p)) - 1]) for p in d]
     assert [r.min, r.lower_hinge, r.median, r.upper_hinge, r.max] == want
+
+
+def test_t_quantile_reaches_wide_tails():
+    from flock.operators.smooth import t_quantile
+
+    assert abs(t_quantile(0.975, 10) - 2.2281388520) < 1e-8
+    assert abs(t_quantile(0.9999, 1) - 3183.0987571) < 1e-3  # one degree: tan(pi * (p - 1/2))
