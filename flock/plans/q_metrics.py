@@ -52,7 +52,7 @@ def wau(spark, sf_dir):
 
 @register("wau_whole_weeks", sql=q.with_adapter(ACCOUNTS_SQL, f"s AS ({STATS_SINCE})", select="""
 SELECT week_number, count(DISTINCT person_alias_id) AS total_active_users
-FROM person_events WHERE event_month IN (SELECT mo FROM s) GROUP BY week_number"""))
+FROM activity WHERE event_month IN (SELECT mo FROM s) GROUP BY week_number"""))
 def wau_whole_weeks(spark, sf_dir):
     """K18 option whole_weeks: distinct actives per week (no month split double count)."""
     d, _ = _parts(spark, sf_dir)
