@@ -78,6 +78,21 @@ def prepare(df: DataFrame, label: str, features: list[str] | None = None) -> Dat
     return df.fillna(0.0, subset=num)
 
 
+def max_bins(df: DataFrame, features: list[str], least: int = 64) -> int:
+    """Bins for every level of the text columns and the one for unseen levels
+    (MLlib rejects a categorical column with more levels than bins)."""
+    text = [f.name for f in df.schema.fields if f.name in features and isinstance(f.dataType, StringType)]
+    if not text:
+        return least
+    return max(least, max(df.agg(*[F.count_distinct(c).alias(c) for c in text]).first()) + 1)
+
+
+def stored_split(df: DataFrame, label: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The stratified 80/20 split, written once: indexers and trees read it many times."""
+    split = materialize(stratified_split(df, label, 0.8, seed))
+    return split.where(F.col("split") == "train").drop("split"), split.where(F.col("split") == "test").drop("split")
+
+
 def _label_stages(label: str):
     return [StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc")]
 
@@ -87,7 +102,8 @@ def fit_tree(train: DataFrame, label: str, features: list[str] | None = None, se
     """Classification tree, Gini, leaves of at least ``min_bucket`` rows."""
     features = features or feature_columns(train, label)
     tree = DecisionTreeClassifier(featuresCol="features", labelCol="label", impurity="gini",
-                                  maxDepth=max_depth, minInstancesPerNode=min_bucket, seed=seed, maxBins=64)
+                                  maxDepth=max_depth, minInstancesPerNode=min_bucket, seed=seed,
+                                  maxBins=max_bins(train, features))
     return Pipeline(stages=_label_stages(label) + feature_stages(train, features) + [tree]).fit(train)
 
 
@@ -101,20 +117,20 @@ def predict(model, df: DataFrame, label: str) -> DataFrame:
 
 def tree_round(df: DataFrame, label: str, seed: int, positive=None) -> DataFrame:
     """One round of the script: stratified 80/20 split, fit, predict, report."""
-    split = stratified_split(df, label, 0.8, seed)
-    train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
-    model = fit_tree(train.drop("split"), label, seed=seed)
-    pred = predict(model, test.drop("split"), label)
+    train, test = stored_split(df, label, seed)
+    model = fit_tree(train, label, seed=seed)
+    pred = predict(model, test, label)
     pos = positive if positive is not None else model.stages[0].labels[0]
     return classification_report(pred, "actual", "predicted", pos).withColumn("seed", F.lit(seed))
 
 
-def repeat_eval(df: DataFrame, label: str, seeds=SEEDS, parallelism: int = 4) -> DataFrame:
-    """The ten rounds on one checkpointed input, reports unioned, plus
-    mean and standard deviation rows (S31)."""
-    base = materialize(df)
+def repeat_eval(df: DataFrame, label: str, seeds=SEEDS, parallelism: int = 4, one_round=None) -> DataFrame:
+    """The rounds of all seeds (``tree_round`` unless ``one_round`` is
+    given), reports unioned, plus mean and standard deviation rows (S31).
+    ``df`` is read once per seed: pass a stored table."""
+    one_round = one_round or tree_round
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        reports = list(pool.map(lambda s: tree_round(base, label, s), seeds))
+        reports = list(pool.map(lambda s: one_round(df, label, s), seeds))
     rounds = reports[0]
     for r in reports[1:]:
         rounds = rounds.unionByName(r)
@@ -131,21 +147,36 @@ def fit_gbt(train: DataFrame, label: str, features: list[str] | None = None, see
     """Gradient-boosted trees with logistic loss on a 0/1 numeric label."""
     features = features or feature_columns(train, label)
     gbt = GBTClassifier(featuresCol="features", labelCol=label, maxDepth=max_depth, stepSize=step,
-                        maxIter=rounds, lossType="logistic", seed=seed)
+                        maxIter=rounds, lossType="logistic", seed=seed, maxBins=max_bins(train, features))
     return Pipeline(stages=feature_stages(train, features) + [gbt]).fit(train)
 
 
 def gbt_eval(model, train: DataFrame, test: DataFrame, label: str) -> DataFrame:
-    """Loss after each boosting round on the train and test sets (watch list)."""
-    gbt = model.stages[-1]
-    rows = []
-    for name, df in (("train", train), ("test", test)):
-        feats = model.transform(df).select("features", label)
-        for i, loss in enumerate(gbt.evaluateEachIteration(feats)):
-            rows.append((i + 1, name, float(loss)))
+    """Log loss after each boosting round on the train and test sets (watch
+    list).  MLlib reports 2 log(1 + exp(-2 y F)); half of it is the log loss of
+    its own probability 1 / (1 + exp(-2 F))."""
+    rows = [(i + 1, name, loss) for name, df in (("train", train), ("test", test))
+            for i, loss in enumerate(log_losses(model, df, label))]
     return train.sparkSession.createDataFrame(rows, "round int, dataset string, loss double")
 
 
+def log_losses(model, df: DataFrame, label: str) -> list[float]:
+    """Log loss of ``df`` after each boosting round."""
+    feats = model.transform(df).select("features", label)
+    return [float(loss) / 2 for loss in model.stages[-1].evaluateEachIteration(feats)]
+
+
+def gbt_round(df: DataFrame, label: str, seed: int) -> DataFrame:
+    """One boosted round of the script on a 0/1 label: split, fit, held-out
+    report (positive class 1) and the last log loss of both sets."""
+    train, test = stored_split(df, label, seed)
+    model = fit_gbt(train, label, seed=seed)
+    pred = model.transform(test).select(F.col(label).alias("actual"), F.col("prediction").alias("predicted"))
+    report = classification_report(pred, "actual", "predicted", 1.0).withColumn("seed", F.lit(seed))
+    return (report.withColumn("train_log_loss", F.lit(log_losses(model, train, label)[-1]))
+            .withColumn("test_log_loss", F.lit(log_losses(model, test, label)[-1])))
+
+
 def importance(model, features: list[str]) -> DataFrame:
     """Feature importances as (feature, importance), largest first."""
     est = model.stages[-1]
@@ -162,7 +193,7 @@ def fit_forest(df: DataFrame, label: str, features: list[str] | None = None, tre
     features = features or feature_columns(df, label)
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, seed=seed,
                                 featureSubsetStrategy=str(mtry) if mtry else "sqrt",
-                                minInstancesPerNode=node_size, maxDepth=max_depth, maxBins=64)
+                                minInstancesPerNode=node_size, maxDepth=max_depth, maxBins=max_bins(df, features))
     return Pipeline(stages=_label_stages(label) + feature_stages(df, features) + [rf]).fit(df)
 
 
@@ -180,7 +211,7 @@ def cv_forest(train: DataFrame, label: str, folds: int = CV["folds"], mtry: int
     features = feature_columns(train, label)
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, seed=seed,
                                 featureSubsetStrategy=str(mtry), minInstancesPerNode=node_size,
-                                maxDepth=depth_for_leaves(max_nodes), maxBins=64)
+                                maxDepth=depth_for_leaves(max_nodes), maxBins=max_bins(train, features))
     pipe = Pipeline(stages=_label_stages(label) + feature_stages(train, features) + [rf])
     builder = ParamGridBuilder()
     grid = grid or {"mtry": [mtry]}
@@ -243,6 +274,13 @@ def kmeans_profile(df: DataFrame, cols: list[str], **kw) -> DataFrame:
     return sizes.join(centers, "cluster").withColumn("total_within_ss", F.lit(best.summary.trainingCost))
 
 
+def varying_columns(df: DataFrame, cols: list[str]) -> list[str]:
+    """The columns with more than one value (nulls as 0): the others cannot be scaled."""
+    value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
+    row = df.agg(*[(F.min(v) < F.max(v)).alias(c) for c, v in value.items()]).first()
+    return [c for c in cols if row[c]]
+
+
 def pca(df: DataFrame, cols: list[str], k: int | None = None, flip: bool = True):
     """PCA of standardised columns (``prcomp(scale=TRUE)``); loadings and
     scores negated as the notebook does (H25)."""

@@ -247,7 +247,11 @@ def _feature_base(d, parts: PersonParts, with_streaks: bool) -> DataFrame:
          .join(parts.serving, "id", "left")
          .join(parts.next_steps, "id", "left"))
     j = j.join(parts.streaks, "id", "left") if with_streaks else j
-    return j.join(sizes, j.primary_family_id == sizes.group_id, "left").drop("group_id")
+    # people without a family get a key of their own each, so they do not all meet in one task
+    j = j.withColumn("_family", F.coalesce(F.col("primary_family_id").cast("string"),
+                                           F.concat(F.lit("none:"), F.col("id").cast("string"))))
+    sizes = sizes.withColumn("_family", F.col("group_id").cast("string")).drop("group_id")
+    return j.join(sizes, "_family", "left").drop("_family")
 
 
 def person_features(d, as_of, parts: PersonParts | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ Definition (``surface = "direct"``): for every point x0 of a series of n
 points, h is the distance to the floor(span * n)-th nearest x, weights are
 tricube ``(1 - (|x - x0| / h)^3)^3`` inside h, and the fit is the intercept of
 the weighted least-squares quadratic in u = (x - x0) / h (Cramer's rule on
-the 3 x 3 normal equations).  The band uses the exact smoother matrix L:
+the 3 x 3 normal equations).  Short and tied series: h is widened until three
+distinct x carry weight; two distinct x give a line, one gives the mean.  The band uses the exact smoother matrix L:
 ``se = s * sqrt(rowSums(L^2))``, ``s^2 = RSS / d1``, t quantile with
 ``d1^2 / d2`` degrees of freedom, d1 = tr((I-L)'(I-L)), d2 = tr(((I-L)'(I-L))^2).
 
@@ -27,11 +28,21 @@ from pyspark.sql import functions as F
 CHUNK = 256
 
 
-def _moments(x, y, x0, q):
+def _bandwidth(x, x0, q, need):
+    """Distance to the q-th nearest point; where fewer than ``need`` distinct x
+    lie inside it, the next larger distance (twice the reach if there is none)."""
+    h = np.partition(np.abs(x[None, :] - x0[:, None]), q - 1, axis=1)[:, q - 1]
+    near = np.sort(np.abs(np.unique(x)[None, :] - x0[:, None]), axis=1)
+    reach = near[:, need - 1]
+    wider = np.where(near > reach[:, None], near, np.inf).min(axis=1)
+    wider = np.where(np.isfinite(wider), wider, 2 * reach)
+    h = np.where(h > reach, h, wider)
+    return np.where(h > 0, h, 1.0)
+
+
+def _moments(x, x0, q, need):
     d = x[None, :] - x0[:, None]
-    h = np.partition(np.abs(d), q - 1, axis=1)[:, q - 1]
-    h = np.where(h > 0, h, 1.0)
-    u = d / h[:, None]
+    u = d / _bandwidth(x, x0, q, need)[:, None]
     r = np.abs(u)
     w = np.where(r < 1, (1 - r ** 3) ** 3, 0.0)
     s = [np.sum(w * u ** k, axis=1) for k in range(5)]
@@ -39,10 +50,16 @@ def _moments(x, y, x0, q):
 
 
 def _fit_chunk(x, y, x0, q):
-    u, w, (s0, s1, s2, s3, s4) = _moments(x, y, x0, q)
+    need = min(3, len(np.unique(x)))
+    u, w, (s0, s1, s2, s3, s4) = _moments(x, x0, q, need)
     t0, t1, t2 = (np.sum(w * u ** k * y[None, :], axis=1) for k in range(3))
-    det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)
-    c0, c1, c2 = s2 * s4 - s3 * s3, -(s1 * s4 - s3 * s2), s1 * s3 - s2 * s2
+    if need == 3:
+        det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)
+        c0, c1, c2 = s2 * s4 - s3 * s3, -(s1 * s4 - s3 * s2), s1 * s3 - s2 * s2
+    elif need == 2:  # a line
+        det, c0, c1, c2 = s0 * s2 - s1 * s1, s2, -s1, np.zeros_like(s0)
+    else:  # the mean
+        det, c0, c1, c2 = s0, np.ones_like(s0), np.zeros_like(s0), np.zeros_like(s0)
     fit = (t0 * c0 + t1 * c1 + t2 * c2) / det
     rows = w * (c0[:, None] + c1[:, None] * u + c2[:, None] * u * u) / det[:, None]
     return fit, rows

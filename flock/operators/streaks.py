@@ -32,13 +32,13 @@ def attended_weeks(attendance: DataFrame, person_alias: DataFrame, person: DataF
 
     Check-ins are reduced to distinct (alias, week, flag) before the alias and
     person joins, so those joins see the de-duplicated volume."""
-    occ = occurrence.join(group.select(F.col("id").alias("group_id"), "campus_id"), "group_id").select(
-        F.col("id").alias("occurrence_id"),
-        F.when(F.col("campus_id") == online_campus, 1).otherwise(0).alias("is_online"))
+    occ = occurrence.select(F.col("id").alias("occurrence_id"), "group_id")
     att = attendance.where(F.col("did_attend") == 1).select(
         "person_alias_id", "occurrence_id", week_start("start_ts", first_day).alias("period_start"))
-    per_alias = att.join(occ, "occurrence_id").select(
-        "person_alias_id", "period_start", "is_online").distinct()
+    per_group = att.join(occ, "occurrence_id").select("person_alias_id", "period_start", "group_id").distinct()
+    online = F.when(F.col("campus_id") == online_campus, 1).otherwise(0).alias("is_online")
+    per_alias = per_group.join(group.select(F.col("id").alias("group_id"), "campus_id"), "group_id").select(
+        "person_alias_id", "period_start", online).distinct()
     alias = person_alias.select(F.col("id").alias("person_alias_id"), F.col("person_id").alias("id"))
     return (per_alias.join(alias, "person_alias_id")
             .join(person.select("id"), "id", "left_semi")

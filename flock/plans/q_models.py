@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as cl
 from ..operators import models as md
-from ..operators.sampling import stratified_split
-from .q_profile import PCA_COLUMNS, _clean, _people_shared
+from ..session import materialize
+from .q_metrics import _people
+from .q_profile import SIMPLE_COLUMNS, _clean, _people_shared
 from .registry import register
 
 LABEL = cl.LABEL
@@ -19,8 +20,7 @@ def _model_input(spark, sf_dir):
 
 
 def _split(df, seed=987):
-    s = stratified_split(df, LABEL, 0.8, seed)
-    return s.where(F.col("split") == "train").drop("split"), s.where(F.col("split") == "test").drop("split")
+    return md.stored_split(df, LABEL, seed)
 
 
 @register("tree_eval")
@@ -43,13 +43,23 @@ def repeat_eval(spark, sf_dir):
     return md.repeat_eval(_model_input(spark, sf_dir), LABEL)
 
 
-def _gbt(spark, sf_dir):
+def _model2_input(spark, sf_dir):
     m2 = md.prepare(cl.model2_dataset(_clean(spark, sf_dir, shared=True)), LABEL)
-    m2 = m2.withColumn(LABEL, F.col(LABEL).cast("double"))
-    train, test = _split(m2)
+    return materialize(m2.withColumn(LABEL, F.col(LABEL).cast("double")))
+
+
+def _gbt(spark, sf_dir):
+    train, test = md.stored_split(_model2_input(spark, sf_dir), LABEL, 987)
     return md.fit_gbt(train, LABEL), train, test
 
 
+@register("gbt_repeat_eval")
+def gbt_repeat_eval(spark, sf_dir):
+    """The ten boosted rounds of the script (one per seed): held-out
+    report and last log losses per seed, plus mean and sd."""
+    return md.repeat_eval(_model2_input(spark, sf_dir), LABEL, one_round=md.gbt_round)
+
+
 @register("gbt_importance")
 def gbt_importance(spark, sf_dir):
     """Boosted trees (depth 3, eta 0.3, 2 rounds) and their importances."""
@@ -100,15 +110,23 @@ def kmeans_profile(spark, sf_dir):
     return md.kmeans_profile(s, [c for c in s.columns if c != "id"])
 
 
+def _pca(spark, sf_dir):
+    s = materialize(cl.simplify_people(_people(spark, sf_dir), keep_id=True))
+    return s, md.varying_columns(s, SIMPLE_COLUMNS)
+
+
 @register("pca_loadings")
 def pca_loadings(spark, sf_dir):
-    """Loadings of the scaled PCA (sign-flipped)."""
-    s = cl.simplify_people(_people_shared(spark, sf_dir))
-    return md.pca(s, PCA_COLUMNS)[0]
+    """Loadings of the scaled PCA (sign-flipped) over all numeric
+    columns; a constant column takes no part and is reported with null loadings."""
+    s, cols = _pca(spark, sf_dir)
+    constant = [c for c in SIMPLE_COLUMNS if c not in cols]
+    dropped = spark.createDataFrame([(c,) for c in constant], "variable string")
+    return md.pca(s, cols)[0].unionByName(dropped, allowMissingColumns=True)
 
 
 @register("pca_scores")
 def pca_scores(spark, sf_dir):
-    """Component scores of every person (sign-flipped)."""
-    s = cl.simplify_people(_people_shared(spark, sf_dir), keep_id=True)
-    return md.pca(s, PCA_COLUMNS)[1]
+    """Component scores of every person (sign-flipped) over all varying numeric columns."""
+    s, cols = _pca(spark, sf_dir)
+    return md.pca(s, cols)[1]

@@ -22,10 +22,9 @@ L2_COLUMNS = ["total_check_ins", "time_to_activate", "months_between_first_and_l
               "people_in_family", "number_of_transactions", "months_between_first_and_last_giving",
               "serving_groups", "serving_interest", "highest_streak", "lco_percentage",
               "two_months_without_activity"]
-PCA_COLUMNS = ["total_check_ins", "time_to_activate", "days_to_first_attendance",
-               "months_between_first_and_last_attendance", "age", "people_in_family",
-               "number_of_transactions", "months_between_first_and_last_giving", "highest_streak",
-               "lco_percentage"]
+# Every numeric column of the person table, with and without the row key.
+NUMERIC_COLUMNS = [c for c in FEATURE_COLUMNS if c not in cl.DATE_COLUMNS]
+SIMPLE_COLUMNS = [c for c in NUMERIC_COLUMNS if c != "id"]
 LEVEL_COLUMNS = ["person_type", "gender", "marital_status_value_id", "age_classification", "is_imported",
                  "month_first_attendance", "month_last_attendance"]
 
@@ -180,18 +179,16 @@ def hist30_by_key(spark, sf_dir):
 
 # ---- profile ------------------------------------------------------------------------
 
-PROFILE_COLS = cl.OUTLIER_COLUMNS + ["number_of_transactions", "lco_percentage", "serving_groups"]
-
-
-@register("profile_numeric", sql=q.with_adapter(FEATURES_SQL, f"pl AS ({gather_sql('features', PROFILE_COLS)})",
+@register("profile_numeric", sql=q.with_adapter(FEATURES_SQL, f"pl AS ({gather_sql('features', NUMERIC_COLUMNS)})",
                                                 select="""
 SELECT key, min(value) AS min, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
        round(avg(value), 9) AS mean, quantile_cont(value, 0.75) AS q3, max(value) AS max,
        CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls
 FROM pl GROUP BY key"""))
 def profile_numeric(spark, sf_dir):
-    """summary() of numeric columns: min, quartiles, median, mean, max, NA count."""
-    p = pr.profile_numeric(_people(spark, sf_dir), PROFILE_COLS)
+    """summary() of all numeric columns: min, quartiles, median, mean, max, NA
+    count.  The mean is rounded to 9 decimals: its last bits follow the order of the sum."""
+    p = pr.profile_numeric(_people(spark, sf_dir))
     return p.withColumn("mean", F.round("mean", 9))
 
 
@@ -349,13 +346,18 @@ def classification_report_q(spark, sf_dir):
 
 @register("correlation_matrix", sql=q.with_adapter(FEATURES_SQL, f"""
 s AS (SELECT * REPLACE (coalesce(age, 0) AS age, coalesce(time_to_activate, 1000) AS time_to_activate)
-      FROM features)""", select="\nUNION ALL ".join(
-    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(covar_samp(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) / NULLIF(stddev_samp(CAST({a} AS DOUBLE)) * stddev_samp(CAST({b} AS DOUBLE)), 0), 9) AS corr FROM s"
-    for i, a in enumerate(PCA_COLUMNS) for b in PCA_COLUMNS[i + 1:])))
+      FROM features),
+f AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in SIMPLE_COLUMNS)} FROM s),
+w AS (SELECT """ + ",\n".join(
+    f"round(covar_samp({a}, {b}) / NULLIF(stddev_samp({a}) * stddev_samp({b}), 0), 9) AS \"{a}|{b}\""
+    for i, a in enumerate(SIMPLE_COLUMNS) for b in SIMPLE_COLUMNS[i + 1:]) + """ FROM f),
+lg AS (SELECT pair, corr FROM w UNPIVOT INCLUDE NULLS (corr FOR pair IN (COLUMNS(*))))""", select="""
+SELECT split_part(pair, '|', 1) AS col_a, split_part(pair, '|', 2) AS col_b, corr FROM lg"""))
 def correlation_matrix(spark, sf_dir):
-    """L20 check: pairwise correlations of the PCA input columns."""
+    """L20 check: pairwise correlations of all numeric columns (null beside a
+    constant one), rounded to 9 decimals as the last bits follow the order of the sums."""
     s = cl.simplify_people(_people(spark, sf_dir))
-    return pr.correlation_matrix(s, PCA_COLUMNS).withColumn("corr", F.round("corr", 9))
+    return pr.correlation_matrix(s, SIMPLE_COLUMNS).withColumn("corr", F.round("corr", 9))
 
 
 KDE_SQL = """

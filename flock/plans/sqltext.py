@@ -58,7 +58,7 @@ ADAPTER = {
     "gift": """
   SELECT l.l_orderkey * 10 + l.l_linenumber AS id, o.o_custkey AS person_alias_id, l.l_shipdate AS created_ts
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
-  WHERE l.l_returnflag = 'R' AND l.l_linenumber = 1""",
+  WHERE l.l_returnflag = 'R'""",
     "connection_request": """
   SELECT event_id AS id, user_id AS person_alias_id,
          CAST(CASE event_type WHEN 'signup' THEN 13 WHEN 'purchase' THEN 26 WHEN 'click' THEN 11

@@ -1,7 +1,7 @@
 """Adapter: the driver's TPC-H-style test tables seen as the domain tables.
 
 The mapping is fixed by FIXTURES.md section 2 and written a second time, as
-SQL text, in ``flock.plans.oracle`` for the DuckDB check.  Everything here is
+SQL text, in ``flock.plans.sqltext`` for the DuckDB check.  Everything here is
 lazy column arithmetic over parquet scans, so Catalyst prunes the columns and
 pushes filters of the consuming query into the scans.
 """
@@ -114,9 +114,8 @@ def group(spark, sf_dir):
         family_id_expr(F.col("c_custkey")).alias("id")).distinct().select(
         "id", F.lit(None).cast("long").alias("group_type_id"), F.lit(None).cast("int").alias("campus_id"))
     # the two service groups that attendance occurrences point at
-    service_groups = spark.createDataFrame(
-        [(SERVICE_GROUP_BASE + c, None, c) for c in (1, ONLINE_CAMPUS)],
-        "id long, group_type_id long, campus_id int")
+    rows = ", ".join(f"({SERVICE_GROUP_BASE + c}L, CAST(NULL AS BIGINT), {c})" for c in (1, ONLINE_CAMPUS))
+    service_groups = spark.sql(f"SELECT * FROM VALUES {rows} AS v(id, group_type_id, campus_id)")
     return supplier_groups.unionByName(family_groups).unionByName(service_groups)
 
 
@@ -142,8 +141,7 @@ def group_member(spark, sf_dir):
 
 
 def gift(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where(
-        (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1))
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
@@ -161,7 +159,7 @@ def connection_request(spark, sf_dir):
 
 
 def connection_opportunity(spark, sf_dir):
-    return spark.createDataFrame([(i,) for i in OPPORTUNITY_IDS], "id int")
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i})" for i in OPPORTUNITY_IDS) + " AS v(id)")
 
 
 def daily_attendance(spark, sf_dir):
