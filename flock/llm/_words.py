@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text worked on at once (longer texts are taken alone, whole).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True

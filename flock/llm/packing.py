@@ -39,8 +39,8 @@ def _piece_rows(ranks: str, capacity: int, end_id: int):
         encode = encoder(ranks)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array([*encode(text or ""), end_id], "<u4")
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
                 start = 0
                 for piece, n in enumerate(piece_lengths(len(ids), capacity)):
                     rows.append((doc, piece, start, n, zlib.crc32(ids[start:start + n].tobytes())))

@@ -24,7 +24,7 @@ from ._words import U, mix
 BUCKET_BITS, DIM, EPOCHS, BATCH, RATE, SEED = 16, 16, 6, 32, 0.5, 17
 #: Labelled rows of each class that may be fitted on, about (a documented bound).
 SAMPLE_PER_CLASS = 1500
-SLICE_CHARS = 400_000
+SLICE_CHARS = 100_000
 _BLANK = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
@@ -122,14 +122,18 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, flo
 def _score_rows(table: np.ndarray, offset: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            scores, a = np.empty(len(texts)), 0
-            while a < len(texts):
-                b, n = a, 0
-                while b < len(texts) and (b == a or n + len(texts[b]) <= SLICE_CHARS):
-                    n += len(texts[b])
-                    b += 1
-                row, bucket = features(texts[a:b])
+            column = batch.column("text")
+            scores, a = np.empty(len(column)), 0
+            while a < len(column):  # texts leave Arrow a slice at a time
+                texts, n = [], 0
+                for value in column[a:]:
+                    text = value.as_py() or ""
+                    if texts and n + len(text) > SLICE_CHARS:
+                        break
+                    texts.append(text)
+                    n += len(text)
+                b = a + len(texts)
+                row, bucket = features(texts)
                 total, count = np.bincount(row, table[bucket], b - a), np.bincount(row, minlength=b - a)
                 scores[a:b] = 1 / (1 + np.exp(-np.clip(total / np.maximum(1, count) + offset, -500, 500)))
                 a = b
