@@ -124,6 +124,54 @@ def test_streaming_sink_appends_by_month(spark):
     assert read_events(spark, path, since="2000-01-01").count() < total
 
 
+def test_boosted_rounds_report_log_loss_per_seed(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=200)
+    pdf = pd.DataFrame({"id": np.arange(200), "a": x, "y": (x > 0).astype(float)})
+    df = spark.createDataFrame(pdf)
+    out = md.repeat_eval(df, "y", seeds=(987, 887), one_round=md.gbt_round).toPandas().set_index("stat")
+    assert set(out.index) == {"987", "887", "mean", "sd"}
+    assert out.loc["mean", "accuracy"] > 0.9
+    assert (out.loc[["987", "887"], "train_log_loss"] < np.log(2)).all()
+    assert np.isclose(out.loc["mean", "test_log_loss"], out.loc[["987", "887"], "test_log_loss"].mean())
+
+
+def test_log_loss_is_that_of_the_probability(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=150)
+    df = spark.createDataFrame(pd.DataFrame({"a": x, "y": ((x + rng.normal(size=150)) > 0).astype(float)}))
+    model = md.fit_gbt(df, "y")
+    rows = model.transform(df).select("y", "probability").collect()
+    want = -np.mean([np.log(r.probability[int(r.y)]) for r in rows])
+    assert np.isclose(md.log_losses(model, df, "y")[-1], want)
+
+
+def test_more_levels_than_default_bins(spark):
+    rows = [(i, f"level{i % 90}", "L" if i % 90 < 45 else "S") for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, kind string, y string")
+    assert md.max_bins(df, ["kind"]) == 91
+    assert md.predict(md.fit_tree(df, "y"), df, "y").where("actual <> predicted").count() == 0
+
+
+def test_constant_columns_take_no_part(spark):
+    df = spark.createDataFrame([(1.0, 5, None), (2.0, 5, 0)], "a double, b int, c int")
+    assert md.varying_columns(df, ["a", "b", "c"]) == ["a"]
+
+
+def test_loess_of_short_and_tied_series():
+    from flock.operators.smooth import loess_fit
+    for n in range(1, 8):
+        x = np.arange(n, dtype=float)
+        y = x ** 2 if n > 2 else 3 * x + 1
+        assert np.allclose(loess_fit(x, y)["fit"], y)
+    tied = loess_fit(np.array([0.0, 0, 0, 0, 1, 2]), np.array([1.0, 1, 1, 1, 2, 5]))
+    assert np.allclose(tied["fit"], tied["y"])
+    two = loess_fit(np.array([0.0, 0, 1]), np.array([1.0, 3, 4]))
+    assert np.allclose(two["fit"], [2, 2, 4])
+    one = loess_fit(np.array([4.0, 4]), np.array([1.0, 3]))
+    assert np.allclose(one["fit"], 2)
+
+
 def test_leaf_limits_are_not_rounded_down():
     from flock.operators.models import MAXNODES_GRID, depth_for_leaves
 

@@ -9,7 +9,7 @@ from __spark_entry__ import oracle_sql, queries
 from conftest import SF_SMALL
 
 SLOW = {"repeat_eval", "cv_forest", "forest_importance", "kmeans_profile", "tree_eval", "tree_predictions",
-        "gbt_importance", "gbt_eval"}
+        "gbt_importance", "gbt_eval", "gbt_repeat_eval"}
 
 
 def _norm(rows, cols):
@@ -41,7 +41,7 @@ def test_query_matches_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
 def test_rows_only_queries_run(spark, name):
     df = queries()[name](spark, SF_SMALL)
-    assert df.count() >= 0 and len(df.columns) > 0
+    assert df.count() > 0 and len(df.columns) > 0
 
 
 def test_every_query_has_docs():
