@@ -7,9 +7,16 @@ Sentences are the paragraphs of passages that start or end inside a line.  Few
 words leave no room for a changed one at 0.8, so their one band is the whole
 sentence, and equal sentences are one cluster.
 
-Each cluster keeps its first paragraph; the others are removals.  Neighbouring
-sentences of repeated paragraphs form a passage, and passages that are long
-enough are reported and can be cut.
+Verbatim stretches need no paragraphs.  Of every WINDOW neighbouring runs of
+GRAM_WORDS words the one with the smallest hash is an anchor, wherever it
+stands, so two texts that share GRAM_WORDS + WINDOW - 1 words in a row share an
+anchor, and the anchors of a stretch leave no word between them.  Only its ends
+remain: there the anchors' runs are lengthened word by word, as far as the
+longer run is in another document too.
+
+Each cluster keeps its first paragraph, each run of words its first document;
+the others are removals.  Neighbouring repeated sentences and stretches form a
+passage, and passages that are long enough are reported and can be cut.
 """
 
 from __future__ import annotations
@@ -36,6 +43,10 @@ LINE_WORDS, SENTENCE_WORDS = 25, 5
 PASSAGE_WORDS = 30
 #: Words of shorter sentences that may stand between two sentences of a passage: two sentences' worth.
 GAP_WORDS = 2 * (SENTENCE_WORDS - 1)
+#: Words of an anchor, and runs of words of which one is an anchor (no more than the words).
+GRAM_WORDS, WINDOW = 25, 25
+_BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_LOW = 0xFFFFFFFF
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 _CLOSE = np.isin(np.arange(256), [ord(c) for c in "\"')]"])
 _FACTORS = mix(np.arange(BANDS * BAND_ROWS, dtype=U), 61) | U(1)
@@ -112,6 +123,80 @@ def _array_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield array_batch(sets, at)
 
 
+def _sequences(words: np.ndarray, base: int):
+    """(a, b) -> keys of the sequences of words from a to b: polynomials of the words' hashes."""
+    up = np.cumprod(np.full(len(words) + 1, base, U))
+    down = np.cumprod(np.full(len(words) + 1, pow(base, -1, 1 << 64), U))
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(words, base & 255) * up[:-1])])
+    return lambda a, b: mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U), 64)
+
+
+def _bounds(starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray, owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """The places in the text in front of the words a and b (b may be the end): the byte
+    where the word before ends and, in the low half, the byte where the word starts."""
+    base, top = offsets[owner], offsets[owner + 1]
+    ends, starts = np.concatenate([[0], ends]), np.concatenate([starts, [offsets[-1]]])
+    return [(np.maximum(ends[w], base) - base << 32) + (np.minimum(starts[w], top) - base) for w in (a, b)]
+
+
+def _windows(least_or_most, x: np.ndarray, width: int) -> np.ndarray:
+    """np.minimum or np.maximum over x[i:i + width], for each i that has as many."""
+    span = 1
+    while 2 * span <= width:
+        x = least_or_most(x[:-span], x[span:])
+        span *= 2
+    return x if span == width else least_or_most(x[:span - width], x[width - span:])
+
+
+def anchors(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words at which anchors start, and the anchors' keys."""
+    reach = GRAM_WORDS + WINDOW - 1
+    if len(words) < reach:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    at = np.arange(len(words) - GRAM_WORDS + 1)
+    keys = _sequences(words, _BASES[0])(at, at + GRAM_WORDS)
+    low = _windows(np.minimum, keys, WINDOW)
+    low[np.arange(len(low)) + reach > np.repeat(first[1:], np.diff(first))[:len(low)]] = 0  # not in one text
+    none = np.zeros(WINDOW - 1, U)
+    low = _windows(np.maximum, np.concatenate([none, low, none]), WINDOW)
+    at = np.flatnonzero((low == keys) & (low > 0))
+    return at, keys[at]
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, data, offsets in text_slices(batch.column(2)):
+            starts, ends, first = word_spans(data, offsets)
+            at, keys = anchors(span_hashes(data, starts, ends), first)
+            owner = np.searchsorted(first, at, "right") - 1
+            rows = pa.array(owner + a)
+            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - first[owner]).astype(np.int32)),
+                                   *[pa.array(x) for x in _bounds(starts, ends, offsets, owner, at, at + GRAM_WORDS)], pa.array(keys.view(np.int64))],
+                                  ["doc_id", "row", "word", "lo", "hi", "key"])
+
+
+def _longer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of words around anchors that are 1 to WINDOW - 1 words longer, to the left or to the right."""
+    for batch in batches:
+        for a, data, offsets in text_slices(batch.column(2)):
+            starts, ends, first = word_spans(data, offsets)
+            key = _sequences(span_hashes(data, starts, ends), _BASES[1])
+            lists = batch.column(3).slice(a, len(first) - 1)
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            word, right = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            word = word + first[owner]
+            room = np.where(right, first[owner + 1] - word - GRAM_WORDS, word - first[owner])
+            n = np.clip(room, 0, WINDOW - 1)
+            more = _ranges(np.ones(len(n), np.int64), n)
+            word, right, owner = np.repeat(word, n), np.repeat(right, n), np.repeat(owner, n)
+            low, high = word - np.where(right, 0, more), word + GRAM_WORDS + np.where(right, more, 0)
+            rows = pa.array(owner + a)
+            ints = [low - first[owner], high - first[owner]]
+            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(x.astype(np.int32)) for x in ints],
+                                   *[pa.array(x) for x in _bounds(starts, ends, offsets, owner, low, high)], pa.array(key(low, high).view(np.int64))],
+                                  ["doc_id", "row", "word", "word_end", "lo", "hi", "key"])
+
+
 def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, data, offsets in text_slices(batch.column(2)):
@@ -130,49 +215,137 @@ def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             line = line - line[np.searchsorted(owner, owner)]
             n = np.diff(bounds)
             # a sentence is the sequence of its words: a polynomial of their hashes, twice
-            words, keys = span_hashes(data, starts, ends), []
-            for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-                up = np.cumprod(np.full(len(words) + 1, base, U))
-                down = np.cumprod(np.full(len(words) + 1, pow(base, -1, 1 << 64), U))
-                sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(words, base & 255) * up[:-1])])
-                keys.append(mix((sums[bounds[1:]] - sums[bounds[:-1]]) * down[bounds[:-1]] + n.astype(U), 64).view(np.int64))
+            words = span_hashes(data, starts, ends)
+            keys = [_sequences(words, base)(bounds[:-1], bounds[1:]).view(np.int64) for base in _BASES]
             pick = np.flatnonzero(n >= SENTENCE_WORDS)
             ordinal = np.arange(len(pick)) - np.searchsorted(owner[pick], owner[pick])
             rows = pa.array(owner[pick] + a)
-            base = offsets[owner[pick]]
             word0 = first[owner[pick]]
-            ints = [line[pick], ordinal, bounds[pick] - word0, bounds[pick + 1] - word0, starts[bounds[pick]] - base, ends[bounds[pick + 1] - 1] - base]
+            ints = [line[pick], ordinal, bounds[pick] - word0, bounds[pick + 1] - word0]
             yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(x.astype(np.int32)) for x in ints],
+                                   *[pa.array(x) for x in _bounds(starts, ends, offsets, owner[pick], bounds[pick], bounds[pick + 1])],
                                    pa.array(keys[0][pick]), pa.array(keys[1][pick])],
-                                  ["doc_id", "row", "line", "ordinal", "word", "word_end", "start", "end", "k1", "k2"])
+                                  ["doc_id", "row", "line", "ordinal", "word", "word_end", "lo", "hi", "k1", "k2"])
+
+
+def _stretches(d: DataFrame, kind: str) -> DataFrame:
+    """Runs of words that repeat verbatim in another document, those of one ``kept`` that touch as one."""
+    place, text = F.struct("doc_id", "row"), ["doc_id", "row"]
+
+    def repeated(runs: DataFrame) -> DataFrame:
+        maybe = runs.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min(place).alias("first")).where("low <> high")
+        found = runs.join(hint_if_small(materialize(maybe.select("key", "first")), 40), "key")
+        return found.withColumn("kept", F.col("row") == F.col("first.row")).withColumn("home", F.col("first.doc_id"))
+    found = materialize(d.mapInArrow(_anchor_rows, f"doc_id {kind}, row long, word int, lo long, hi long, key long"))
+    found = materialize(repeated(found).drop("first").withColumn("word_end", F.col("word") + GRAM_WORDS))
+    # anchors near an end of a stretch, and where these anchors stand in all documents
+    inside = Window.partitionBy(*text).orderBy("word")
+    ends = found.select(*text, "word", "key", (F.col("word") - F.lag("word").over(inside) <= GRAM_WORDS).alias("goes_on"))
+    ends = ends.withColumn("run", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(inside))
+    whole = Window.partitionBy(*text, "run")
+    ends = ends.select("key", (F.col("word") - F.min("word").over(whole) < WINDOW).alias("left"), (F.max("word").over(whole) - F.col("word") < WINDOW).alias("right"))
+    ends = materialize(ends.groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left OR right"))
+    spots = found.select("row", "word", "key").join(hint_if_small(ends, 24), "key").select(
+        "row", F.explode(F.filter(F.array(F.when(F.col("left"), F.struct("word", F.lit(False).alias("right"))),
+                                          F.when(F.col("right"), F.struct("word", F.lit(True).alias("right")))), lambda x: x.isNotNull())).alias("spot"))
+    spots = materialize(spots.groupBy("row").agg(F.collect_set("spot").alias("spots")))  # a document's own
+    longer = d.join(hint_if_small(spots, 200), "row").select(*text, "text", "spots").mapInArrow(
+        _longer_rows, f"doc_id {kind}, row long, word int, word_end int, lo long, hi long, key long")
+    columns = [*text, "kept", "word", "word_end", "lo", "hi", "home"]
+    ranges = found.select(columns).unionByName(repeated(materialize(longer)).select(columns))
+    alike = Window.partitionBy(*text, "kept").orderBy("word")
+    reach = F.max("word_end").over(alike.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.withColumn("new", F.when(F.col("word") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(alike.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranges.groupBy(*text, "kept", "run").agg(*[f(c).alias(c) for f, c in (
+        (F.min, "word"), (F.max, "word_end"), (F.min, "lo"), (F.max, "hi"), (F.min, "home"))]).drop("run")
+
+
+def passages_of(ranges: list[tuple], least: int) -> list[tuple]:
+    """(word, word_end, lo, hi, kept, indexes) of the passages of one text.  ``ranges``:
+    (word, word_end, lo, hi, kept, ordinal of a sentence or -1, index)."""
+    def chains(rows):
+        """Rows that touch, or are neighbouring sentences with few words between."""
+        out, reach, last, stop = [], -1, -9, 0
+        for r in rows:
+            if not out or not (r[0] <= reach or (r[5] >= 0 and r[5] - last == 1 and r[0] - stop <= GAP_WORDS)):
+                out.append([])
+                reach, last = -1, -9
+            out[-1].append(r)
+            reach = max(reach, r[1])
+            if r[5] >= 0:
+                last, stop = r[5], r[1]
+        return out
+
+    out = []
+    for run in chains(sorted(ranges)):
+        if max(r[1] for r in run) - run[0][0] < least:
+            continue
+        spans = {}
+        for kept in (False, True):
+            spans[kept] = [(c[0][0], max(r[1] for r in c), c[0][2], max(r[3] for r in c), kept, [r[6] for r in c])
+                           for c in chains([r for r in run if r[4] == kept])]
+        out += spans[False]
+        for word, end, lo, hi, kept, index in spans[True]:  # what is left of them
+            for gone in spans[False]:
+                if gone[1] > word and gone[0] < end:
+                    if gone[0] > word:
+                        out.append((word, gone[0], lo, gone[2], kept, index))
+                    word, lo = gone[1], gone[3]
+            if word < end:
+                out.append((word, end, lo, hi, kept, index))
+    return out
+
+
+def _passage_rows(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, rows, owner = batch.column(2), [], []
+            values, at = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                some = values.slice(a, b - a)
+                found = passages_of(list(zip(*[some.field(c).to_pylist() for c in range(6)], range(a, b))), least)
+                rows += found
+                owner += [i] * len(found)
+            word, end, lo, hi = (np.array([r[c] for r in rows], np.int64) for c in range(4))
+            homes = np.cumsum([0, *[len(r[5]) for r in rows]])
+            index = pa.array([i for r in rows for i in r[5]], pa.int64())
+            yield pa.record_batch([batch.column(0).take(pa.array(owner, pa.int64())), batch.column(1).take(pa.array(owner, pa.int64())), pa.array(lo & _LOW),
+                                   pa.array((hi >> 32) - (lo & _LOW)), pa.array(end - word), pa.array([r[4] for r in rows], pa.bool_()),
+                                   pa.ListArray.from_arrays(pa.array(homes, pa.int32()), values.field(6).take(index))],
+                                  ["doc_id", "text_key", "start", "length", "n_words", "kept", "homes"])
+    return run
 
 
 def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages that repeat across documents, one row for each place: doc_id, text_key,
     start, length (UTF-8 bytes), n_words, kept, keep_doc_id.
 
-    * A passage is a stretch of neighbouring sentences that repeat, of
-      ``passage_words`` words or more; shorter sentences between them belong to it.
+    * A passage is a stretch of neighbouring sentences and verbatim runs of words that
+      repeat, of ``passage_words`` words or more; shorter sentences between repeated ones
+      belong to it.  Every stretch of GRAM_WORDS + WINDOW - 1 words that stands in
+      another document too is found, to its last word, wherever it begins and ends.
       Where one part is the first of its cluster and another not, they are rows
       of their own, and the words of both count.
     * kept: the place that stays, the first of its cluster by (doc_id, place);
       keep_doc_id: where the first places are (the smallest, if several).
     * Paragraphs of one document alone never count, nor do rows that repeat id and
-      text (they are one document).  text_key (xxhash64 of id and text) tells apart
+      text (they are one document).  A verbatim run keeps all its places in its first document.  text_key (xxhash64 of id and text) tells apart
       rows that share an id.  Words compare with A-Z lower-cased.
     * Null and empty texts have no passages.  Null ids sort first.  Documents
       without a repeat give no row.  Other columns are not read.
 
-    Scale: texts are read four times and not shuffled.  Shuffled are the sentence
-    keys (combined per task, so a hot passage is one row per task), and the band
-    rows of lines, where copies in a task count once.  A band's c lines give
+    Scale: texts are read six times and not shuffled (unless the documents with
+    anchors that repeat are too many to broadcast; then they are joined).  Shuffled are
+    the keys of sentences and of anchors (combined per task, so a hot passage is one row
+    per task; an anchor for every 13 words), up to WINDOW - 1 rows for an anchor near
+    the end of a stretch, and the band rows of lines, where copies in a task count once.  A band's c lines give
     c - 1 meetings, and clusters are verified in bounded chunks.
     """
     d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     place = F.struct("doc_id", "row", "line", "ordinal")
     sentences = materialize(d.mapInArrow(
-        _sentence_rows, f"doc_id {kind}, row long, line int, ordinal int, word int, word_end int, start int, end int, k1 long, k2 long"))
+        _sentence_rows, f"doc_id {kind}, row long, line int, ordinal int, word int, word_end int, lo long, hi long, k1 long, k2 long"))
     # half a key finds what may repeat; whole keys and places of those rows decide
     maybe = sentences.groupBy("k1").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high")
     again = materialize(sentences.join(hint_if_small(materialize(maybe.select("k1")), 16), "k1"))
@@ -194,26 +367,17 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     heads = heads.where("low <> high")
     near = materialize(near.join(heads, "component").select(F.col("doc_id").alias("n_doc"), F.col("row").alias("n_row"), F.col("line").alias("n_line"), "first"))
 
-    spot = ["doc_id", "row", "ordinal", "word", "word_end", "start", "end"]
+    spot = ["doc_id", "row", "ordinal", "word", "word_end", "lo", "hi"]
     by_sentence = again.join(hint_if_small(equal, 64), ["k1", "k2"]).select(
         *spot, (place == F.col("first")).alias("head"), F.col("first.doc_id").alias("home"))
     by_line = sentences.join(hint_if_small(near, 64), sentences["doc_id"].eqNullSafe(near["n_doc"]) & (F.col("row") == F.col("n_row")) & (F.col("line") == F.col("n_line"))).select(
         *spot, (F.struct("doc_id", "row", "line") == F.col("first")).alias("head"), F.col("first.doc_id").alias("home"))
     marked = (by_sentence.unionByName(by_line).groupBy("doc_id", "row", "ordinal")
-              .agg(*[F.min(c).alias(c) for c in ("word", "word_end", "start", "end")], F.min("head").alias("kept"), F.min("home").alias("home")))
-    # stretches of one document: neighbours have neighbouring ordinals and few words between them
-    text = ["doc_id", "row"]
-    inside = Window.partitionBy(*text).orderBy("ordinal")
-    new_run = ((F.col("ordinal") - F.lag("ordinal").over(inside) != 1) | (F.col("word") - F.lag("word_end").over(inside) > GAP_WORDS))
-    marked = marked.withColumn("new", F.coalesce(new_run, F.lit(True))).withColumn("turn", F.col("kept") != F.lag("kept").over(inside))
-    marked = marked.withColumn("run", F.sum(F.col("new").cast("int")).over(inside)).withColumn(
-        "part", F.sum((F.col("new") | F.coalesce("turn", F.lit(False))).cast("int")).over(inside))
-    whole = Window.partitionBy(*text, "run")
-    marked = marked.withColumn("words", F.max("word_end").over(whole) - F.min("word").over(whole)).where(F.col("words") >= passage_words)
-    out = marked.groupBy(*text, "run", "kept", "part").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min("word").alias("word"), F.max("word_end").alias("word_end"), F.min("home").alias("home"))
-    return out.select("doc_id", F.col("row").alias("text_key"), F.col("start").cast("long").alias("start"), (F.col("end") - F.col("start")).cast("long").alias("length"),
-                      (F.col("word_end") - F.col("word")).cast("long").alias("n_words"), "kept", F.col("home").alias("keep_doc_id"))
+              .agg(*[F.min(c).alias(c) for c in ("word", "word_end", "lo", "hi")], F.min("head").alias("kept"), F.min("home").alias("home")))
+    ranges = marked.unionByName(_stretches(d, kind).withColumn("ordinal", F.lit(-1)))
+    ranges = ranges.groupBy("doc_id", "row").agg(F.collect_list(F.struct("word", "word_end", "lo", "hi", "kept", "ordinal", "home")).alias("ranges"))  # a document's own
+    out = ranges.mapInArrow(_passage_rows(passage_words), f"doc_id {kind}, text_key long, start long, length long, n_words long, kept boolean, homes array<{kind}>")
+    return out.withColumn("keep_doc_id", F.array_min("homes")).drop("homes")
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
