@@ -36,8 +36,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; a source is the site."""
-    out = line_dedup(docs.select(*COLUMNS), host_col="source")
+    """Documents without their source's boilerplate lines; a source is the site.
+
+    Copies and near copies (linked as the next stage links them) are one page: else the
+    lines of a document that makes much of its source would pass for boilerplate, and
+    every copy of it would lose them.  Texts without words are one page of a source."""
+    docs = docs.select(*COLUMNS)
+    joined = jaccard_join(docs.withColumn("key", _row_key()), WIDTH, PERCENT, id_col="key")
+    other = materialize(joined.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("key"), F.col("component_id.md5").alias("_page")).distinct())
+    paged = docs.withColumn("key", _row_key()).join(hint_if_small(other, 140), "key", "left")
+    paged = paged.withColumn("_page", F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.coalesce("_page", "key.md5"))).drop("key")
+    out = line_dedup(paged, host_col="source", page_col="_page")
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -35,28 +35,34 @@ def html_lines(html: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, host_col: str = "host", text_col: str = "text", max_ratio: float = 0.1,
-               min_pages: int = 5) -> DataFrame:
+               min_pages: int = 5, page_col: str | None = None) -> DataFrame:
     """``docs`` with ``text_col`` less the boilerplate lines, plus ``n_lines``
     and ``n_dropped`` (replaced if ``docs`` has columns of these names).
 
     A line is boilerplate on a host when at least ``min_pages`` of its pages
     and more than ``max_ratio`` of them contain it.  Lines are compared without
     outer blanks; a line counts once a page; blank lines are never dropped.
-    Repeated rows are pages of their own.  A null host or text leaves the row
+    Repeated rows are pages of their own unless ``page_col`` is given: then rows of
+    a host with one value in it are one page, with the lines of them all.  A null host or text leaves the row
     as it is (n_lines 0 for a null text); an empty text has one blank line.
 
     Scale: lines travel as (host, 128-bit hash) rows, combined per task before
-    the shuffle, so a hot host or line is one row per task.  A host's
+    the shuffle, so a hot host or line is one row per task; with ``page_col``, as
+    (host, page, hash) rows, told apart first and counted then.  A host's
     boilerplate has at most (mean lines a page) / ``max_ratio`` lines, so its
     hashes fit in one array; hosts meet pages by broadcast when all arrays
     together measure small, else by a join whose skewed host AQE splits.
     """
     lines = F.split(F.col(text_col), "\n", -1)
     own = F.array_distinct(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""))
-    seen = docs.where(F.col(host_col).isNotNull()).select(F.col(host_col).alias("_h"), F.explode(own).alias("_l"))
-    pages = docs.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    common = (seen.select("_h", F.unhex(F.md5("_l")).alias("_k")).groupBy("_h", "_k").agg(F.count(F.lit(1)).alias("_c"))
-              .where(F.col("_c") >= min_pages))
+    rows = docs.where(F.col(host_col).isNotNull())
+    page = [] if page_col is None else [F.col(page_col).alias("_p")]
+    seen = rows.select(F.col(host_col).alias("_h"), *page, F.explode(own).alias("_l")).select("_h", *["_p"] * len(page), F.unhex(F.md5("_l")).alias("_k"))
+    pages = rows.select(F.col(host_col).alias("_h"), *page)
+    if page:
+        seen, pages = seen.distinct(), pages.distinct()
+    pages = pages.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    common = seen.groupBy("_h", "_k").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= min_pages)
     host, gone, left = unused(docs, "_h"), unused(docs, "_gone"), unused(docs, "_left")
     bad = materialize(common.join(pages, "_h").where(F.col("_c") > F.col("_n") * F.lit(float(max_ratio)))
                       .groupBy(F.col("_h").alias(host)).agg(F.collect_list("_k").alias(gone)))
