@@ -92,8 +92,8 @@ def _key_rows(width: int):
             for a, data, offsets in text_slices(batch.column(1)):
                 sets, at = shingle_sets(data, offsets, width)
                 k1, k2 = set_keys(sets, at)
-                yield pa.record_batch([batch.column(0).slice(a, len(at) - 1), pa.array(np.diff(at)), pa.array(k1.view(np.int64)),
-                                       pa.array(k2.view(np.int64))], ["doc_id", "n", "k1", "k2"])
+                yield pa.record_batch([batch.column(0).slice(a, len(at) - 1), batch.column(2).slice(a, len(at) - 1), pa.array(np.diff(at)),
+                                       pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], ["doc_id", "row", "n", "k1", "k2"])
     return run
 
 
@@ -302,16 +302,17 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent is 50 to 100")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # a row is told by its id and text: ids may be null or repeat
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
     id_type = d.schema["doc_id"].dataType.simpleString()
-    nodes = materialize(d.mapInArrow(_key_rows(width), f"doc_id {id_type}, n long, k1 long, k2 long"))
+    nodes = materialize(d.mapInArrow(_key_rows(width), f"doc_id {id_type}, row long, n long, k1 long, k2 long"))
     tiles = d.select("text").mapInArrow(_tile_rows(width, percent), "tile long, k1 long")
     met = materialize(tile_meetings(tiles))
 
     def arrays_of(keys: DataFrame) -> DataFrame:
-        one = nodes.where("n > 0").join(keys, "k1").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
-        ids = materialize(one.select("doc_id").distinct())
-        texts = d.join(hint_if_small(ids, 24), "doc_id").select("text")
+        one = nodes.where("n > 0").join(keys, "k1").groupBy("k1", "k2").agg(F.min("row").alias("row"))
+        rows = materialize(one.select("row").distinct())
+        texts = d.join(hint_if_small(rows, 24), "row").select("text")
         found = texts.mapInArrow(_array_rows(width), ARRAYS)
         return found.join(keys, "k1", "left_semi").dropDuplicates(["k1", "k2"])
 
