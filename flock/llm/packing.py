@@ -34,9 +34,9 @@ def piece_lengths(n: int, capacity: int) -> list[int]:
     return ([n % capacity] if n % capacity else []) + [capacity] * (n // capacity)
 
 
-def _piece_rows(ranks: str, capacity: int, end_id: int):
+def _piece_rows(ranks: str, capacity: int, end_id: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks)
+        encode = encoder(ranks, special)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -52,11 +52,11 @@ def _piece_rows(ranks: str, capacity: int, end_id: int):
     return run
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None, end_id: int = 0, special: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and ``end_id``, cut."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        _piece_rows(ranks or default_ranks(), capacity, end_id),
+        _piece_rows(ranks or default_ranks(), capacity, end_id, special),
         f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
@@ -112,10 +112,11 @@ def pack_counts(counts: dict[int, int], capacity: int) -> list[tuple[int, int, i
     return plan
 
 
-def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None, end_id: int = 0) -> DataFrame:
+def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None, end_id: int = 0, special: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document is its ids and ``end_id``; a null text is empty.  Only documents
+    A document is its ids and ``end_id``; a null text is empty.  With
+    ``special`` a special token's string is its id, else ordinary text.  Only documents
     longer than ``capacity`` are cut.  Rows that repeat a doc_id are documents of
     their own.  An empty table gives no rows; other columns are not read.
 
@@ -123,7 +124,7 @@ def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None =
     written once, ranked by hash buckets and joined with the plan, which has a
     few rows per length and is broadcast: its size depends on the capacity only.
     """
-    pieces = materialize(token_pieces(docs, capacity, ranks, end_id))
+    pieces = materialize(token_pieces(docs, capacity, ranks, end_id, special))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
     plan = docs.sparkSession.createDataFrame(pack_counts(counts, capacity), PLAN)
     ranked = number_rows(pieces, ["length"], ["doc_id", "piece", "ids_crc32", "start"], "rank", sum(counts.values()))

@@ -58,7 +58,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 2048 tokens."""
-    return best_fit_pack(table(spark, sf_dir, "documents"))
+    return best_fit_pack(table(spark, sf_dir, "documents"), special=True)
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
