@@ -1,11 +1,11 @@
 """Operator 3, substring dedup: passages that repeat across documents.
 
-Paragraphs come at two grains.  Lines get MinHash signatures over five-word
-shingles, cut into bands tuned for high recall; lines that collide in a band
-are joined, verified by exact Jaccard, and clustered by connected components.
-Sentences are the paragraphs of passages that start or end inside a line.  Few
-words leave no room for a changed one at 0.8, so their one band is the whole
-sentence, and equal sentences are one cluster.
+Paragraphs come at two grains, lines and the sentences of a line.  Those of
+NEAR_WORDS words or more are sets of five-word shingles; large sets get MinHash
+signatures cut into bands tuned for high recall, small ones the tiles of
+operator 10, which lose no pair.  Paragraphs that collide are joined, verified by
+exact Jaccard, and clustered by connected components.  Equal sentences, shorter
+ones too, are one cluster.
 
 Verbatim stretches need no paragraphs.  Of every WINDOW neighbouring runs of
 GRAM_WORDS words the one with the smallest hash is an anchor, wherever it
@@ -31,13 +31,17 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from ._util import hint_if_small, unused
 from ._words import U, _ranges, mix, set_keys, sets_of_words, span_hashes, text_slices, word_spans
-from .jaccard_join import ARRAYS, array_batch, resolve, tile_meetings
+from .jaccard_join import ARRAYS, array_batch, resolve, tile_keys, tile_meetings
 
 WIDTH, PERCENT = 5, 80
 #: Recall of a pair at 0.8: 1 - (1 - 0.8**5)**16 = 99.8 %, at 0.85 99.99 %.
 BANDS, BAND_ROWS = 16, 5
-#: Words of a line that gets bands, and of a sentence that counts alone.
-LINE_WORDS, SENTENCE_WORDS = 25, 5
+#: Words of a paragraph compared by its shingles (fewer have no room for a changed one at
+#: 0.8), and of a sentence that counts alone.
+NEAR_WORDS, SENTENCE_WORDS = 8, 5
+#: Sets of fewer shingles than the first get tiles, sets of as many as the second bands:
+#: two linked sets have tiles both or bands both.
+TILED, BANDED = 50, 40
 #: Words of a reported passage.  A passage loses the sentences that it shares with
 #: its surroundings at both ends, so this is well under the 50 words aimed at.
 PASSAGE_WORDS = 30
@@ -67,33 +71,58 @@ def _parts(last: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return bounds, np.searchsorted(first, bounds[:-1], "right") - 1
 
 
-def _lines(data: np.ndarray, offsets: np.ndarray):
-    """Sets of the lines of LINE_WORDS words or more: sets, offsets, text index, line number."""
+def _sentences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
+    """First words of the sentences (and the end), their texts, their lines, and the ordinals of those that count alone."""
+    lines = line_ends(data, starts, ends, first)
+    tail = data[ends - 1]
+    stop = _STOP[tail] | (_CLOSE[tail] & _STOP[data[np.maximum(ends - 2, starts)]])
+    # a full stop ends a sentence unless another stands in the four words before it:
+    # a rule that looks at near words only cuts a passage alike wherever it stands
+    at = np.arange(len(starts))
+    before = np.concatenate([[-SENTENCE_WORDS], np.maximum.accumulate(np.where(lines | stop, at, -SENTENCE_WORDS))[:-1]])
+    bounds, owner = _parts(lines | (stop & (at - before >= SENTENCE_WORDS)), first)
+    line = np.concatenate([[0], np.cumsum(lines)])[bounds[:-1]]
+    alone = np.concatenate([[0], np.cumsum(np.diff(bounds) >= SENTENCE_WORDS)])[:-1]
+    head = np.searchsorted(owner, owner)
+    return bounds, owner, line - line[head], alone - alone[head]
+
+
+def _paragraphs(data: np.ndarray, offsets: np.ndarray):
+    """Sets of the lines of NEAR_WORDS words or more, and of such sentences that are less than a
+    line: sets, offsets, text index, line number, ordinal of the sentence (-1 for a line)."""
     starts, ends, first = word_spans(data, offsets)
-    bounds, owner = _parts(line_ends(data, starts, ends, first), first)
-    number = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    n = np.where(np.diff(bounds) >= LINE_WORDS, np.diff(bounds), 0)
-    chosen = np.flatnonzero(n)
-    words = span_hashes(data, starts, ends)[_ranges(bounds[:-1], n)] if len(chosen) else np.zeros(0, U)
-    sets, at = sets_of_words(words, np.concatenate([[0], np.cumsum(n[chosen])]), WIDTH)
-    return sets, at, owner[chosen], number[chosen]
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, U), np.zeros(1, np.int64), none, none, none
+    bounds, owner, line, ordinal = _sentences(data, starts, ends, first)
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])
+    head = np.flatnonzero(new)
+    parts = np.diff(np.append(head, len(owner)))
+    low = np.concatenate([bounds[head], bounds[:-1]])
+    n = np.concatenate([np.diff(np.append(bounds[head], bounds[-1])), np.where(np.repeat(parts, parts) > 1, np.diff(bounds), 0)])
+    pick = np.flatnonzero(n >= NEAR_WORDS)
+    of = np.concatenate([head, np.arange(len(owner))])[pick]
+    words = span_hashes(data, starts, ends)[_ranges(low[pick], n[pick])]
+    sets, at = sets_of_words(words, np.concatenate([[0], np.cumsum(n[pick])]), WIDTH)
+    return sets, at, owner[of], line[of], np.where(pick < len(head), -1, ordinal[of])
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, data, offsets in text_slices(batch.column(2)):
-            sets, at, owner, number = _lines(data, offsets)
+            sets, at, owner, line, ordinal = _paragraphs(data, offsets)
             k1, k2 = set_keys(sets, at)
             rows = pa.array(owner + a)
-            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number.astype(np.int32)),
-                                   pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], ["doc_id", "row", "line", "k1", "k2"])
+            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line.astype(np.int32)), pa.array(ordinal.astype(np.int32)),
+                                   pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], ["doc_id", "row", "line", "ordinal", "k1", "k2"])
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[int, int]] = set()  # copies in one task make their bands once
     for batch in batches:
         for _, data, offsets in text_slices(batch.column(0)):
-            sets, at, _, _ = _lines(data, offsets)
+            sets, at, *_ = _paragraphs(data, offsets)
             k1, k2 = set_keys(sets, at)
             new = []
             for i, key in enumerate(zip(k1.tolist(), k2.tolist())):
@@ -105,6 +134,13 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not new:
                 continue
             rows = np.array(new)
+            small = rows[np.diff(at)[rows] < TILED]
+            n = np.diff(at)[small]
+            which, tile = tile_keys(sets[_ranges(at[small], n)], np.concatenate([[0], np.cumsum(n)]), PERCENT)
+            yield pa.record_batch([pa.array(tile.view(np.int64)), pa.array(k1[small[which]].view(np.int64))], ["tile", "k1"])
+            rows = rows[np.diff(at)[rows] >= BANDED]
+            if not len(rows):
+                continue
             n = np.diff(at)[rows]
             members, begin = sets[_ranges(at[rows], n)], np.concatenate([[0], np.cumsum(n)[:-1]])
             tiles = []
@@ -119,7 +155,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _array_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, data, offsets in text_slices(batch.column(0)):
-            sets, at, _, _ = _lines(data, offsets)
+            sets, at, *_ = _paragraphs(data, offsets)
             yield array_batch(sets, at)
 
 
@@ -203,25 +239,15 @@ def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             starts, ends, first = word_spans(data, offsets)
             if not len(starts):
                 continue
-            lines = line_ends(data, starts, ends, first)
-            tail = data[ends - 1]
-            stop = _STOP[tail] | (_CLOSE[tail] & _STOP[data[np.maximum(ends - 2, starts)]])
-            # a full stop ends a sentence unless another stands in the four words before it:
-            # a rule that looks at near words only cuts a passage alike wherever it stands
-            at = np.arange(len(starts))
-            before = np.concatenate([[-SENTENCE_WORDS], np.maximum.accumulate(np.where(lines | stop, at, -SENTENCE_WORDS))[:-1]])
-            bounds, owner = _parts(lines | (stop & (at - before >= SENTENCE_WORDS)), first)
-            line = np.concatenate([[0], np.cumsum(lines)])[bounds[:-1]]
-            line = line - line[np.searchsorted(owner, owner)]
+            bounds, owner, line, ordinal = _sentences(data, starts, ends, first)
             n = np.diff(bounds)
             # a sentence is the sequence of its words: a polynomial of their hashes, twice
             words = span_hashes(data, starts, ends)
             keys = [_sequences(words, base)(bounds[:-1], bounds[1:]).view(np.int64) for base in _BASES]
             pick = np.flatnonzero(n >= SENTENCE_WORDS)
-            ordinal = np.arange(len(pick)) - np.searchsorted(owner[pick], owner[pick])
             rows = pa.array(owner[pick] + a)
             word0 = first[owner[pick]]
-            ints = [line[pick], ordinal, bounds[pick] - word0, bounds[pick + 1] - word0]
+            ints = [line[pick], ordinal[pick], bounds[pick] - word0, bounds[pick + 1] - word0]
             yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(x.astype(np.int32)) for x in ints],
                                    *[pa.array(x) for x in _bounds(starts, ends, offsets, owner[pick], bounds[pick], bounds[pick + 1])],
                                    pa.array(keys[0][pick]), pa.array(keys[1][pick])],
@@ -338,7 +364,7 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     anchors that repeat are too many to broadcast; then they are joined).  Shuffled are
     the keys of sentences and of anchors (combined per task, so a hot passage is one row
     per task; an anchor for every 13 words), up to WINDOW - 1 rows for an anchor near
-    the end of a stretch, and the band rows of lines, where copies in a task count once.  A band's c lines give
+    the end of a stretch, and the tile and band rows of paragraphs, where copies in a task count once.  A band's c paragraphs give
     c - 1 meetings, and clusters are verified in bounded chunks.
     """
     d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
@@ -352,7 +378,7 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     equal = again.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high"))
     equal = materialize(equal.where("low <> high").select("k1", "k2", "first"))
 
-    lines = materialize(d.mapInArrow(_line_rows, f"doc_id {kind}, row long, line int, k1 long, k2 long"))
+    lines = materialize(d.mapInArrow(_line_rows, f"doc_id {kind}, row long, line int, ordinal int, k1 long, k2 long"))
     met = materialize(tile_meetings(d.select("text").mapInArrow(_band_rows, "tile long, k1 long")))
 
     def arrays_of(keys: DataFrame) -> DataFrame:
@@ -362,17 +388,20 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
         return found.join(keys, "k1", "left_semi").dropDuplicates(["k1", "k2"])
 
     linked = resolve(met, arrays_of, PERCENT)
-    near = materialize(lines.join(linked, ["k1", "k2"]).select("doc_id", "row", "line", "component"))
-    heads = near.groupBy("component").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.min("row").alias("low"), F.max("row").alias("high"))
+    near = materialize(lines.join(linked, ["k1", "k2"]).select("doc_id", "row", "line", "ordinal", "component"))
+    heads = near.groupBy("component").agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high"))
     heads = heads.where("low <> high")
-    near = materialize(near.join(heads, "component").select(F.col("doc_id").alias("n_doc"), F.col("row").alias("n_row"), F.col("line").alias("n_line"), "first"))
+    near = materialize(near.join(heads, "component").select(F.col("doc_id").alias("n_doc"), F.col("row").alias("n_row"), F.col("line").alias("n_line"), F.col("ordinal").alias("n_ordinal"), "first"))
 
     spot = ["doc_id", "row", "ordinal", "word", "word_end", "lo", "hi"]
     by_sentence = again.join(hint_if_small(equal, 64), ["k1", "k2"]).select(
         *spot, (place == F.col("first")).alias("head"), F.col("first.doc_id").alias("home"))
-    by_line = sentences.join(hint_if_small(near, 64), sentences["doc_id"].eqNullSafe(near["n_doc"]) & (F.col("row") == F.col("n_row")) & (F.col("line") == F.col("n_line"))).select(
-        *spot, (F.struct("doc_id", "row", "line") == F.col("first")).alias("head"), F.col("first.doc_id").alias("home"))
-    marked = (by_sentence.unionByName(by_line).groupBy("doc_id", "row", "ordinal")
+    # a line's sentences; the first paragraph's line and sentence may both be in its cluster, and both stay
+    part = (F.col("n_ordinal") < 0) | (F.col("n_ordinal") == F.col("ordinal"))
+    same = (F.col("n_ordinal") < 0) | (F.col("first.ordinal") < 0) | (F.col("n_ordinal") == F.col("first.ordinal"))
+    by_near = sentences.join(hint_if_small(near, 72), sentences["doc_id"].eqNullSafe(near["n_doc"]) & (F.col("row") == F.col("n_row")) & (F.col("line") == F.col("n_line")) & part).select(
+        *spot, ((F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line")) & same).alias("head"), F.col("first.doc_id").alias("home"))
+    marked = (by_sentence.unionByName(by_near).groupBy("doc_id", "row", "ordinal")
               .agg(*[F.min(c).alias(c) for c in ("word", "word_end", "lo", "hi")], F.min("head").alias("kept"), F.min("home").alias("home")))
     ranges = marked.unionByName(_stretches(d, kind).withColumn("ordinal", F.lit(-1)))
     ranges = ranges.groupBy("doc_id", "row").agg(F.collect_list(F.struct("word", "word_end", "lo", "hi", "kept", "ordinal", "home")).alias("ranges"))  # a document's own
