@@ -39,7 +39,7 @@ def bands(percent: int, most: int = 1 << 40) -> np.ndarray:
     """Rows (smallest size, first size above, k, parts) of the size bands for a threshold in percent."""
     out, low = [], 1
     while low < most:
-        high = max(low + 1, -(-low * 3 // 2))
+        high = max(low + 1, -(-low * max(150, -(-10000 // percent)) // 100))  # linked sets are one band apart at most
         a = high - 1
         k = (a + a * 100 // percent) * (100 - percent) // (100 + percent)
         out.append((low, high, k, 0 if k == 0 else k + 1 + max(2, (k + 3) // 4)))
