@@ -79,7 +79,7 @@ def _sentences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np
     # a full stop ends a sentence unless another stands in the four words before it:
     # a rule that looks at near words only cuts a passage alike wherever it stands
     at = np.arange(len(starts))
-    before = np.concatenate([[-SENTENCE_WORDS], np.maximum.accumulate(np.where(lines | stop, at, -SENTENCE_WORDS))[:-1]])
+    before = np.concatenate([[-1], np.maximum.accumulate(np.where(lines | stop, at, -1))[:-1]])  # a text starts like a line
     bounds, owner = _parts(lines | (stop & (at - before >= SENTENCE_WORDS)), first)
     line = np.concatenate([[0], np.cumsum(lines)])[bounds[:-1]]
     alone = np.concatenate([[0], np.cumsum(np.diff(bounds) >= SENTENCE_WORDS)])[:-1]
