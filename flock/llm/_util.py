@@ -63,3 +63,26 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], name: str, ro
     return (numbered.join(hint_if_small(materialize(firsts), 64), on)
             .withColumn(name, (F.col("_first") + F.col("_i")).cast("long"))
             .drop("_bucket", "_b", "_first", "_i", *[f"_g{i}" for i in range(len(group))]))
+
+
+def in_order(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``df``, written, with tree (a number that ascends with ``group``, null first), pos (0, 1 ... in the
+    group by ``order``) and n (rows of the group).
+
+    Rows are dealt by range and sorted inside partitions; partitions' counts give each row its number in
+    the whole table.  No task holds a whole group, and rows alike in all keys are spread by a row number."""
+    from pyspark.sql import Window
+
+    rows = materialize(df.withColumn("_rid", F.monotonically_increasing_id()))
+    keys = [group, *order]
+    rows = materialize(rows.repartitionByRange(*keys, "_rid").sortWithinPartitions(*keys, "_rid").drop("_rid")
+                       .withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = materialize(rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+                         .select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start")))
+    rows = rows.withColumn("_p", part).join(hint_if_small(starts, 32), "_p")
+    rows = rows.withColumn("_g", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_p", "_start", "_at")
+    groups = materialize(rows.groupBy(F.col(group).alias("_key")).agg(F.min("_g").alias("tree"), F.count(F.lit(1)).alias("n")))
+    return (rows.join(hint_if_small(groups, 128), F.col(group).eqNullSafe(F.col("_key")))
+            .withColumn("pos", F.col("_g") - F.col("tree")).drop("_g", "_key"))
