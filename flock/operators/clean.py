@@ -2,7 +2,7 @@
 
 Order and meaning of the steps follow the reference script (SURVEY S22-S27):
 outlier value sets come from the *raw* columns and are tested against the
-*mutated* columns; exclusion is by value (anti join), never by bounds, and
+*mutated* columns; exclusion is by value, never by bounds, and
 null values survive it.  ``mode="literal"`` keeps the reference's imputation
 slip (days-to-activate and transaction counts replaced by the age);
 ``mode="fixed"`` keeps each column's own value.
@@ -10,13 +10,12 @@ slip (days-to-activate and transaction counts replaced by the age);
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import recode_exact, recode_first_match
-from .profile import exclude_values, gather, hist_by_key, keep_numeric, outlier_values
+from ..session import materialize
+from .profile import exclude_sets, gather, hist_columns, keep_numeric, outlier_values
 
 # Fixed values (reference): code -> label replacements, applied in this order.
 MARITAL_RECODE = [("143", "Married"), ("144", "Single"), ("675", "Unknown"), ("1792", "Unknown"),
@@ -54,16 +53,7 @@ def recode(df: DataFrame, col: str, mapping, mode: str = "first_match") -> DataF
 
 def raw_outliers(people: DataFrame, cols=OUTLIER_COLUMNS, coef: float = 1.5) -> DataFrame:
     """(key, value) outlier sets of the raw columns, all columns in one pass."""
-    return outlier_values(gather(people, list(cols)), coef)
-
-
-def _exclude_all(df: DataFrame, outliers: DataFrame, cols) -> DataFrame:
-    """One anti join per column against the same (key, value) set; the set is
-    materialized once (it has one consumer per column) - it is small, bounded
-    by the distinct outlying values."""
-    from ..session import materialize
-    outliers = materialize(outliers)
-    return reduce(lambda acc, c: exclude_values(acc, c, outliers, key=c), cols, df)
+    return outlier_values(gather(people, list(cols)), coef, few_keys=True)
 
 
 def numeric_distributions(people: DataFrame, bins: int = 30) -> DataFrame:
@@ -73,9 +63,10 @@ def numeric_distributions(people: DataFrame, bins: int = 30) -> DataFrame:
     df = people.drop("id", *NEXT_STEP_DROPPED, "days_to_first_attendance").withColumn(
         "age", F.coalesce(F.col("age"), F.lit(0)))
     df = keep_numeric(df, exclude=FACTOR_COLUMNS).where(F.col("time_to_activate") > 0)
-    df = _exclude_all(df, out, ["age", "people_in_family", "time_to_activate",
+    df = exclude_sets(df, out, ["age", "people_in_family", "time_to_activate",
                                 "months_between_first_and_last_attendance", "total_check_ins"])
-    return hist_by_key(gather(df), bins)
+    df = materialize(df)  # read twice: ranges, then bins
+    return hist_columns(df, df.columns, bins)
 
 
 def clean_people(people: DataFrame, mode: str = "literal", keep_serving: bool = False) -> DataFrame:
@@ -95,7 +86,7 @@ def clean_people(people: DataFrame, mode: str = "literal", keep_serving: bool =
     else:
         raise ValueError(f"mode must be 'literal' or 'fixed', not {mode!r}")
     df = df.withColumn("time_to_activate", tta.cast("int")).withColumn("number_of_transactions", ntx.cast("long"))
-    df = _exclude_all(df, out, ["age", "people_in_family", "time_to_activate", "total_check_ins",
+    df = exclude_sets(df, out, ["age", "people_in_family", "time_to_activate", "total_check_ins",
                                 "months_between_first_and_last_attendance", "days_to_first_attendance"])
     df = recode(df, LABEL, LABEL_RECODE)
     df = recode(df, "marital_status_value_id", MARITAL_RECODE)
@@ -111,7 +102,7 @@ def clean_people_v1(people: DataFrame) -> DataFrame:
     out = raw_outliers(people)
     df = people.drop(*NEXT_STEP_DROPPED, *DATE_COLUMNS, "month_first_attendance", "month_last_attendance")
     df = df.withColumn("age", F.coalesce(F.col("age"), F.lit(0))).where(F.col("time_to_activate") > 0)
-    df = _exclude_all(df, out, ["age", "people_in_family", "time_to_activate",
+    df = exclude_sets(df, out, ["age", "people_in_family", "time_to_activate",
                                 "months_between_first_and_last_attendance"])
     df = recode(df, LABEL, LABEL_RECODE)
     return recode(df, "marital_status_value_id", MARITAL_RECODE_V1)

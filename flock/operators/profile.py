@@ -1,37 +1,23 @@
 """D12, D17, D19-D21, L1, L2, L24, L20's correlation check: profiling.
 
-Exact order statistics without sorting a whole column in one task
-(``value_counts``).  Values are counted per (column, value) with map-side
-partial aggregation.  Each distinct value falls in a *magnitude bucket*
-(64 per doubling, monotone in the value), bucket totals give every bucket's
-offset through a window over the buckets of a column (a few hundred rows),
-and running counts are then taken inside each (column, bucket) partition.
-The value at rank r is ``min(value where cum >= r)``.  A single pass over the
-data; no window ever holds a whole column.
+Order statistics are exact and come from counted values dealt by range
+(``ranks``): the data is read once, no task holds a whole column.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from ..functions.numeric import hist_bin
 from ..session import materialize
+from . import ranks
 
-BUCKETS_PER_DOUBLING = 64
-
-
-def magnitude_bucket(v: Column) -> Column:
-    """Monotone non-decreasing integer of a double: sign x (64 * log2|v| + offset);
-    v1 < v2 implies bucket(v1) <= bucket(v2), so (bucket, value) order = value order."""
-    a = F.abs(v)
-    inf = F.lit(float("inf"))
-    mag = F.floor(F.log2(a) * BUCKETS_PER_DOUBLING) + 70000  # > 0 for every finite non-zero double
-    # Spark orders NaN above +inf, and both above every finite value
-    return (F.when(F.isnan(v), F.lit(10 ** 9 + 1)).when(v == inf, F.lit(10 ** 9))
-            .when(v == -inf, F.lit(-10 ** 9)).when(v > 0, mag).when(v < 0, -mag)
-            .otherwise(F.lit(0)).cast("long"))
+#: An exclusion set of at most this many values is broadcast (a value takes some 40 bytes).
+BROADCAST_VALUES = 500_000
+#: Shares of one set value when sets are too large to broadcast.
+SALTS = 8
 
 
 def gather(df: DataFrame, cols: list[str] | None = None, key: str = "key", value: str = "value") -> DataFrame:
@@ -42,74 +28,52 @@ def gather(df: DataFrame, cols: list[str] | None = None, key: str = "key", value
 
 
 def value_counts(long: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
-    """(key, value, cnt, cum, n): counts of non-null values with running totals
-    in value order, computed per (key, magnitude bucket)."""
-    vc = (long.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("cnt"))
-          .withColumn("_b", magnitude_bucket(F.col(value))))
-    per_bucket = vc.groupBy(key, "_b").agg(F.sum("cnt").alias("_bc"))
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (per_bucket.withColumn("_off", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
-               .withColumn("n", F.sum("_bc").over(Window.partitionBy(key))).drop("_bc"))
-    inside = (Window.partitionBy(key, "_b").orderBy(value)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (vc.join(offsets, [key, "_b"])
-            .withColumn("cum", F.col("_off") + F.sum("cnt").over(inside))
-            .select(key, value, "cnt", "cum", "n"))
-
-
-def value_at(rank: Column, value: str = "value") -> Column:
-    """Aggregate over ``value_counts`` rows: the value of 1-based rank ``rank``."""
-    return F.min(F.when(F.col("cum") >= rank, F.col(value)))
-
-
-def fivenum(long: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+    """(key, value, cnt, cum, n): counts of non-null values with running totals in value order."""
+    return ranks.running_counts(ranks.counted(long, key, value), key, value)
+
+
+def _fivenum(counts: DataFrame, key: str, value: str, few_keys: bool) -> DataFrame:
+    def n4(n):
+        return F.floor((n + 3) / 2) / 2
+
+    at = {"one": lambda n: F.lit(1), "low_lo": lambda n: F.floor(n4(n)), "low_hi": lambda n: F.ceil(n4(n)),
+          "mid_lo": lambda n: F.floor((n + 1) / 2), "mid_hi": lambda n: F.ceil((n + 1) / 2),
+          "up_lo": lambda n: F.floor(n + 1 - n4(n)), "up_hi": lambda n: F.ceil(n + 1 - n4(n)), "last": lambda n: n}
+    v = ranks.values_at(counts, at, key, value, few_keys)
+
+    def mean(name):
+        return (F.col(f"{name}_lo") + F.col(f"{name}_hi")) / 2
+
+    return v.select(key, F.col("one").alias("min"), mean("low").alias("lower_hinge"), mean("mid").alias("median"),
+                    mean("up").alias("upper_hinge"), F.col("last").alias("max"), "n")
+
+
+def fivenum(long: DataFrame, key: str = "key", value: str = "value", few_keys: bool = False) -> DataFrame:
     """Tukey's five numbers per key (min, lower hinge, median, upper hinge, max).
 
     ``n4 = floor((n+3)/2)/2``; positions 1, n4, (n+1)/2, n+1-n4, n; a
     half-integer position averages its two neighbours (S21)."""
-    vc = value_counts(long, key, value)
-    n = F.col("n")
-    n4 = F.floor((n + 3) / 2) / 2
-    med = (n + 1) / 2
-
-    def at(pos):
-        return (value_at(F.floor(pos), value) + value_at(F.ceil(pos), value)) / 2
-
-    return vc.groupBy(key).agg(
-        F.min(value).alias("min"),
-        at(n4).alias("lower_hinge"),
-        at(med).alias("median"),
-        at(n + 1 - n4).alias("upper_hinge"),
-        F.max(value).alias("max"),
-        F.max("n").alias("n"))
+    return _fivenum(ranks.counted(long, key, value), key, value, few_keys)
 
 
 def quantiles7(long: DataFrame, probs=(0.25, 0.5, 0.75), key: str = "key", value: str = "value",
                names=("q1", "median", "q3")) -> DataFrame:
     """Type-7 (linear) quantiles per key, as R ``quantile``/``summary`` and
-    Spark ``percentile`` compute them: h = (n-1)p + 1, interpolated between
-    the values of ranks floor(h) and ceil(h)."""
-    vc = value_counts(long, key, value)
-    n = F.col("n")
-    cols = []
-    for p, name in zip(probs, names):
-        h = (n - 1) * p + 1
-        lo, hi = value_at(F.floor(h), value), value_at(F.ceil(h), value)
-        frac = F.max(h - F.floor(h))
-        cols.append((lo + frac * (hi - lo)).alias(name))
-    return vc.groupBy(key).agg(*cols)
-
-
-def outlier_values(long: DataFrame, coef: float = 1.5, key: str = "key", value: str = "value") -> DataFrame:
+    Spark ``percentile`` compute them."""
+    v = ranks.values_at(ranks.counted(long, key, value), ranks.quantile_ranks(probs, names), key, value)
+    return v.select(key, *[ranks.quantile7(p, name).alias(name) for p, name in zip(probs, names)])
+
+
+def outlier_values(long: DataFrame, coef: float = 1.5, key: str = "key", value: str = "value",
+                   few_keys: bool = False) -> DataFrame:
     """L1: ``boxplot.stats(x)$out`` as a distinct (key, value) set: values beyond
-    the hinges by more than ``coef`` hinge spreads."""
-    long = materialize(long.where(F.col(value).isNotNull()).select(key, value))  # read twice
-    fn = fivenum(long, key, value)
+    the hinges by more than ``coef`` hinge spreads.  ``long`` is read once; hinges and set come from
+    the counted values."""
+    counts = ranks.counted(long, key, value)
     spread = F.col("upper_hinge") - F.col("lower_hinge")
-    bounds = fn.select(key, (F.col("lower_hinge") - coef * spread).alias("lo"),
-                       (F.col("upper_hinge") + coef * spread).alias("hi"))
-    vals = long.where(F.col(value).isNotNull()).select(key, value).distinct()
-    return (vals.join(bounds, key)
+    bounds = _fivenum(counts, key, value, few_keys).select(
+        key, (F.col("lower_hinge") - coef * spread).alias("lo"), (F.col("upper_hinge") + coef * spread).alias("hi"))
+    return (counts.join(F.broadcast(bounds) if few_keys else bounds, key)
             .where((F.col(value) < F.col("lo")) | (F.col(value) > F.col("hi")))
             .select(key, value))
 
@@ -123,16 +87,55 @@ def exclude_values(df: DataFrame, col: str, values: DataFrame, key: str | None =
     return df.join(v.distinct(), F.col(col).cast("double") == F.col("_v"), "left_anti")
 
 
+def exclude_sets(df: DataFrame, sets: DataFrame, cols: list[str], broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
+    """B15 for several columns in one pass: drop rows of which any of ``cols`` holds a value of its own set
+    in ``sets`` (key = column name, value); nulls survive.
+
+    The sets are written once and counted.  Up to ``broadcast_values`` values, each column's set is a hash
+    table at every executor and the rows stay where they are: one stage, no exchange of ``df``.  Beyond, the
+    tested values of a row leave as (row, column, value) and meet the sets in one join on column, value and a
+    salt, so a value that a third of all rows hold is spread over ``SALTS`` tasks; the rows found are then
+    dropped by their number.  Both ways give the same rows."""
+    sets = materialize(sets.where(F.col("key").isin(list(cols)) & F.col("value").isNotNull()).select("key", "value").distinct())
+    if sets.count() <= broadcast_values:
+        for c in cols:
+            own = sets.where(F.col("key") == c).select(F.col("value").alias("_v"))
+            df = df.join(F.broadcast(own), F.col(c).cast("double") == F.col("_v"), "left_anti")
+        return df
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    tested = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in cols]))
+    tested = (rows.select("_row", tested.alias("t")).select("_row", "t.*").where(F.col("value").isNotNull())
+              .withColumn("_salt", (F.col("_row") % SALTS).cast("int")))
+    salted = sets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = tested.join(salted, ["key", "value", "_salt"], "left_semi").select("_row").distinct()
+    return rows.join(found, "_row", "left_anti").drop("_row")
+
+
 def hist_by_key(long: DataFrame, bins: int = 30, key: str = "key", value: str = "value") -> DataFrame:
     """ggplot's default 30 bins per key: width = range / (bins - 1),
     bins centred on multiples of the width, right-closed."""
     v = long.where(F.col(value).isNotNull())
     # per-key range by a (partially aggregated) grouped min/max - one row per key,
     # joined back - never a window holding every row of a column in one task
-    ranges = v.groupBy(key).agg(((F.max(value) - F.min(value)) / (bins - 1)).alias("_w"))
-    v = v.join(ranges, key)
-    b = F.when(F.col("_w") > 0, hist_bin(F.col(value), F.col("_w"))).otherwise(F.col(value))
-    return v.groupBy(key, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    widths = v.groupBy(key).agg(((F.max(value) - F.min(value)) / (bins - 1)).alias("_w"))
+    v = v.join(widths, key)
+    return v.groupBy(key, _bin(F.col(value), F.col("_w")).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def _bin(v: Column, width: Column) -> Column:
+    return F.when(width > 0, hist_bin(v, width)).otherwise(v)
+
+
+def hist_columns(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
+    """D17 of a wide table: (key, bin, count), equal to ``hist_by_key`` of its gathered columns.
+
+    All ranges are one row of one aggregate, broadcast back; rows are binned wide and leave as
+    (column, bin) pairs that are counted per task before the only exchange of any size."""
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    widths = wide.agg(*[((F.max(c) - F.min(c)) / (bins - 1)).alias(f"_w_{i}") for i, c in enumerate(cols)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("key"), _bin(F.col(c), F.col(f"_w_{i}")).alias("bin")) for i, c in enumerate(cols)])
+    binned = wide.crossJoin(F.broadcast(widths)).select(F.explode(pairs).alias("b")).select("b.*")
+    return binned.where(F.col("bin").isNotNull()).groupBy("key", "bin").agg(F.count(F.lit(1)).alias("count"))
 
 
 def keep_numeric(df: DataFrame, exclude: set[str] = frozenset()) -> DataFrame:
@@ -141,15 +144,34 @@ def keep_numeric(df: DataFrame, exclude: set[str] = frozenset()) -> DataFrame:
                        if isinstance(f.dataType, NumericType) and f.name not in exclude])
 
 
+def _summary(long: DataFrame) -> DataFrame:
+    """(key, min, q1, median, mean, q3, max, nulls) of column values, all from one table of counted values."""
+    counts = ranks.counted(long)
+    probs, names = (0.25, 0.5, 0.75), ("q1", "median", "q3")
+    at = {"min": lambda n: F.lit(1), "max": lambda n: n} | ranks.quantile_ranks(probs, names)
+    v = ranks.values_at(counts, at, few_keys=True)
+    v = v.select("key", "min", "max", *[ranks.quantile7(p, name).alias(name) for p, name in zip(probs, names)])
+    base = counts.groupBy("key").agg(
+        F.try_divide(F.sum(F.col("value") * F.col("cnt")), F.sum(F.when(F.col("value").isNotNull(), F.col("cnt")))).alias("mean"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))), F.lit(0)).cast("long").alias("nulls"))
+    return base.join(F.broadcast(v), "key", "left").select("key", "min", "q1", "median", "mean", "q3", "max", "nulls")
+
+
 def profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per numeric column min, quartiles (type 7), median, mean, max, null count."""
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
-    long = materialize(gather(df, cols))  # read twice: quartiles and the plain aggregates
-    q = quantiles7(long)
-    base = long.groupBy("key").agg(
-        F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max"),
-        F.sum(F.when(F.col("value").isNull(), 1).otherwise(0)).cast("long").alias("nulls"))
-    return base.join(q, "key", "left").select("key", "min", "q1", "median", "mean", "q3", "max", "nulls")
+    return _summary(gather(df, cols))
+
+
+def profile_dates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """D20 for date and time columns: the same numbers as times with a resolution of a second (a quartile or
+    mean between two seconds is cut to the earlier one, as ``summary`` prints it)."""
+    cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, (DateType, TimestampType, TimestampNTZType))]
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = [F.timestamp_diff("SECOND", epoch, F.col(c).cast("timestamp_ntz")).cast("double").alias(c) for c in cols]
+    out = _summary(gather(df.select(*seconds), cols))
+    return out.select("key", *[F.timestamp_add("SECOND", F.floor(c).cast("long"), epoch).alias(c)
+                               for c in ("min", "q1", "median", "mean", "q3", "max")], "nulls")
 
 
 def profile_levels(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -135,7 +135,7 @@ def keep_numeric_long(spark, sf_dir):
 @register("fivenum", sql=q.with_adapter(OUTLIER_SQL, select="SELECT * FROM fn"))
 def fivenum(spark, sf_dir):
     """Tukey five numbers of the outlier-tested columns."""
-    return pr.fivenum(pr.gather(_people(spark, sf_dir), cl.OUTLIER_COLUMNS))
+    return pr.fivenum(pr.gather(_people(spark, sf_dir), cl.OUTLIER_COLUMNS), few_keys=True)
 
 
 @register("outlier_values", sql=q.with_adapter(OUTLIER_SQL, select="SELECT * FROM outl"))
@@ -150,11 +150,7 @@ WHERE {' AND '.join(not_outlier(c) for c in cl.OUTLIER_COLUMNS)}"""))
 def exclude_outliers(spark, sf_dir):
     """Null-keeping value-set exclusion of every outlier column."""
     people = _people_shared(spark, sf_dir)
-    out = materialize(cl.raw_outliers(people))  # one consumer per column
-    df = people.select("id", *cl.OUTLIER_COLUMNS)
-    for c in cl.OUTLIER_COLUMNS:
-        df = pr.exclude_values(df, c, out, key=c)
-    return df
+    return pr.exclude_sets(people.select("id", *cl.OUTLIER_COLUMNS), cl.raw_outliers(people), cl.OUTLIER_COLUMNS)
 
 
 L2_FILTERED = f"""
@@ -192,6 +188,21 @@ def profile_numeric(spark, sf_dir):
     return p.withColumn("mean", F.round("mean", 9))
 
 
+PROFILE_DATES_SQL = "\n  UNION ALL ".join(
+    f"SELECT '{c}' AS key, epoch(CAST({c} AS TIMESTAMP)) AS s FROM features" for c in cl.DATE_COLUMNS)
+
+
+@register("profile_dates", sql=q.with_adapter(FEATURES_SQL, f"pd AS ({PROFILE_DATES_SQL})", select="SELECT key, " + ", ".join(
+    f"make_timestamp(CAST(floor({e}) AS BIGINT) * 1000000) AS {name}" for name, e in (
+        ("min", "min(s)"), ("q1", "quantile_cont(s, 0.25)"), ("median", "quantile_cont(s, 0.5)"), ("mean", "avg(s)"),
+        ("q3", "quantile_cont(s, 0.75)"), ("max", "max(s)"))) + """,
+       CAST(sum(CASE WHEN s IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls
+FROM pd GROUP BY key"""))
+def profile_dates(spark, sf_dir):
+    """summary() of the date columns."""
+    return pr.profile_dates(_people(spark, sf_dir))
+
+
 @register("profile_levels", sql=q.with_adapter(FEATURES_SQL, select="\nUNION ALL ".join(
     f"SELECT '{c}' AS key, CAST({c} AS VARCHAR) AS level, count(*) AS count FROM features GROUP BY 2"
     for c in LEVEL_COLUMNS)))

@@ -6,12 +6,16 @@ import math
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
-from conftest import SF_SMALL
+from conftest import SF_MID, SF_SMALL
 
 SLOW = {"repeat_eval", "cv_forest", "forest_importance", "kmeans_profile", "tree_eval", "tree_predictions",
         "gbt_importance", "gbt_eval", "gbt_repeat_eval"}
 
 
+#: Their series start in 1998; the smallest fixtures have no such rows.
+EMPTY_AT_SMALL = {"loess_band"}
+
+
 def _norm(rows, cols):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(r[i] for i in order) for r in rows]
@@ -40,7 +44,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
 def test_rows_only_queries_run(spark, name):
-    df = queries()[name](spark, SF_SMALL)
+    df = queries()[name](spark, SF_MID if name in EMPTY_AT_SMALL else SF_SMALL)
     assert df.count() > 0 and len(df.columns) > 0
 
 
