@@ -8,9 +8,9 @@ Scale notes:
 * family size is counted once per family group and then looked up, instead
   of joining every attending person with every member of the family (a family
   group holding a third of all members would otherwise fan out);
-* every part is keyed by person id; the final left joins all use that key, so
-  the person side is shuffled once and the later sort-merge joins reuse the
-  partitioning (small parts are broadcast by AQE from runtime sizes).
+* the feature table stands on one layout (``person_activity``): check-ins, gifts
+  and requests meet the alias map once and reach the person in one exchange, in
+  which the streak windows and the final joins stay.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import as_date, day_diff, lit_date, month_diff
+from ..functions.dates import as_date, day_diff, lit_date, month_diff, week_start
+from ..session import materialize
 from .identity import primary_alias
+from .streaks import attended_weeks, longest_runs, streaks
 
 # Fixed values (reference): connection opportunity id -> output column, in the
 # order of the reference's PIVOT list.
@@ -190,7 +192,6 @@ class PersonParts:
         def build():
             pa = person_attendance(d["attendance"], d["person_alias"], d["person"])
             if self.shared:
-                from ..session import materialize
                 pa = materialize(pa)
             return pa
         return self._get("pa", build)
@@ -227,37 +228,108 @@ class PersonParts:
 
     @property
     def streaks(self):
-        from .streaks import attended_weeks, streaks
         d = self.d
         return self._get("st", lambda: streaks(attended_weeks(
             d["attendance"], d["person_alias"], d["person"], d["attendance_occurrence"], d["group"])))
 
 
-def _feature_base(d, parts: PersonParts, with_streaks: bool) -> DataFrame:
-    """Attendance x person, then every part by a left join on the person id;
-    family size is looked up by the family group id."""
-    base = parts.attendance.join(d["person"], "id")
-    # sizes of every family a person points at (a superset of the attending
-    # people's families); keeps the attendance aggregate to a single reader
-    sizes = family_sizes(d["person"], d["group"], d["group_member"])
-    # every id-keyed part first (they share the id partitioning), the family
-    # lookup - keyed by the family id - last, so the per-person table is
-    # re-partitioned at most once more
-    j = (base.join(parts.giving, "id", "left")
-         .join(parts.serving, "id", "left")
-         .join(parts.next_steps, "id", "left"))
-    j = j.join(parts.streaks, "id", "left") if with_streaks else j
+#: Places (service groups) that may be broadcast.
+BROADCAST_PLACES = 1_000_000
+
+
+def places(d) -> DataFrame:
+    """(group_id, is_online) of the groups that occurrences point at, written; with a broadcast hint while
+    their counted rows are few."""
+    used = d["attendance_occurrence"].select("group_id").where(F.col("group_id").isNotNull()).distinct()
+    campus = d["group"].select(F.col("id").alias("group_id"), "campus_id")
+    out = materialize(used.join(campus, "group_id").select(
+        "group_id", F.when(F.col("campus_id") == 30, 1).otherwise(0).alias("is_online")))
+    return F.broadcast(out) if out.count() <= BROADCAST_PLACES else out
+
+
+def alias_activity(d, with_weeks: bool) -> DataFrame:
+    """One row per alias with everything that happened under it: check-ins (first, last, number and, on
+    request, the distinct weeks and online flags, at most a calendar of them), gifts and next-step requests.
+
+    Each fact table is reduced per alias on its own, and the alias map is read once.  An occurrence id is
+    unique, as its table's key."""
+    attended = d["attendance"].where(F.col("did_attend") == 1).select("person_alias_id", "occurrence_id", "start_ts")
+    weeks = []
+    if with_weeks:
+        occurrence = d["attendance_occurrence"].select(F.col("id").alias("occurrence_id"), "group_id")
+        attended = attended.join(occurrence, "occurrence_id", "left").join(places(d), "group_id", "left")
+        visit = F.struct(week_start("start_ts", "SAT").alias("period_start"), "is_online")
+        weeks = [F.collect_set(F.when(F.col("is_online").isNotNull(), visit)).alias("weeks")]
+    check_ins = attended.groupBy(F.col("person_alias_id").alias("a1")).agg(
+        F.min("start_ts").alias("first_attendance"), F.max("start_ts").alias("last_attendance"),
+        F.count(F.lit(1)).alias("total_check_ins"), *weeks)
+    gifts = d["gift"].groupBy(F.col("person_alias_id").alias("a2")).agg(
+        F.count("id").alias("number_of_transactions"), F.min("created_ts").alias("first_gift"),
+        F.max("created_ts").alias("last_gift"))
+    is_k = {k: F.col("opportunity_id") == k for k in NEXT_STEP_COLUMNS}
+    # one row tells which of the opportunities exist
+    known = d["connection_opportunity"].agg(*[F.max(F.col("id") == k).alias(f"known_{k}") for k in NEXT_STEP_COLUMNS])
+    requests = (d["connection_request"].where(F.col("opportunity_id").isin(*NEXT_STEP_COLUMNS))
+                .groupBy(F.col("person_alias_id").alias("a3"))
+                .agg(*[F.count(F.when(c, 1)).alias(f"rows_{k}") for k, c in is_k.items()],
+                     *[F.count(F.when(c, F.col("id"))).alias(f"n_{k}") for k, c in is_k.items()])
+                .crossJoin(F.broadcast(known))
+                .select("a3", *[F.when(F.col(f"known_{k}") & (F.col(f"rows_{k}") > 0), F.col(f"n_{k}")).alias(f"opp_{k}")
+                                for k in NEXT_STEP_COLUMNS]))
+    alias = d["person_alias"].select("id", "person_id", (F.col("person_id") == F.col("alias_person_id")).alias("own"))
+    return (alias.join(check_ins, F.col("id") == F.col("a1"), "left").join(gifts, F.col("id") == F.col("a2"), "left")
+            .join(requests, F.col("id") == F.col("a3"), "left").withColumnRenamed("id", "alias_id").drop("a1", "a2", "a3"))
+
+
+def person_activity(d, with_weeks: bool) -> DataFrame:
+    """One row per person with check-ins under the primary alias.
+
+    Check-ins and gifts are those of the primary alias (the smallest of a person's own, S11), next steps and
+    weeks those of all aliases.  One exchange by person brings them all together."""
+    facts = ["first_attendance", "last_attendance", "total_check_ins", "number_of_transactions", "first_gift", "last_gift"]
+    weeks = [F.array_distinct(F.flatten(F.collect_list("weeks"))).alias("weeks")] if with_weeks else []
+    per = alias_activity(d, with_weeks).where(F.col("person_id").isNotNull()).groupBy(F.col("person_id").alias("id")).agg(
+        F.min(F.when(F.col("own"), F.struct("alias_id", *facts))).alias("primary"),
+        *[F.sum(f"opp_{k}").cast("long").alias(f"opp_{k}") for k in NEXT_STEP_COLUMNS], *weeks)
+    return per.where(F.col("primary.total_check_ins") > 0).select(
+        "id", *[F.col(f"primary.{c}").alias(c) for c in facts], *[f"opp_{k}" for k in NEXT_STEP_COLUMNS], *(["weeks"] if with_weeks else []))
+
+
+def with_streaks(activity: DataFrame) -> DataFrame:
+    """``activity`` with ``weeks`` turned into highest_streak and lco_percentage.
+
+    Weeks become rows where the person already is; the person's other columns ride on the first of them, and
+    one grouping on the same key puts the row together again: no exchange, no second reading."""
+    rest = [c for c in activity.columns if c not in ("id", "weeks")]
+    rows = activity.select("id", F.struct(*rest).alias("_rest"), F.posexplode_outer("weeks").alias("_at", "_w"))
+    first = F.coalesce(F.col("_at"), F.lit(0)) == 0
+    rows = rows.select("id", F.col("_w.period_start").alias("period_start"), F.col("_w.is_online").alias("is_online"),
+                       F.when(first, F.col("_rest")).alias("_rest"))
+    out = longest_runs(rows, F.first("_rest", ignorenulls=True).alias("_rest"), counts=F.col("period_start").isNotNull())
+    return out.select("id", "_rest.*", "highest_streak", "lco_percentage")
+
+
+def _feature_base(d, streaks_too: bool) -> DataFrame:
+    """What happened, who it happened to, and the group counts, by person id."""
+    activity = person_activity(d, streaks_too)
+    activity = with_streaks(activity) if streaks_too else activity
+    # members once: family sizes and serving groups are counted from the same exchange of distinct pairs (the
+    # serving groups come by an inner join on their unique id; a semi join would be pushed below the exchange)
+    members = d["group_member"].where(F.col("person_id").isNotNull() & F.col("group_id").isNotNull()).select("group_id", "person_id").distinct()
+    sizes = (members.groupBy("group_id").agg(F.count(F.lit(1)).alias("people_in_family"))
+             .join(d["group"].select(F.col("id").alias("group_id")), "group_id", "left_semi"))
     # people without a family get a key of their own each, so they do not all meet in one task
-    j = j.withColumn("_family", F.coalesce(F.col("primary_family_id").cast("string"),
-                                           F.concat(F.lit("none:"), F.col("id").cast("string"))))
-    sizes = sizes.withColumn("_family", F.col("group_id").cast("string")).drop("group_id")
-    return j.join(sizes, "_family", "left").drop("_family")
+    person = d["person"].withColumn("_family", F.coalesce("primary_family_id", -F.col("id")))
+    person = person.join(sizes, (F.col("_family") == F.col("group_id")) & F.col("primary_family_id").isNotNull(), "left")
+    types = d["group_type"].where(F.col("purpose_value_id") == SERVING_PURPOSE).select(F.col("id").alias("group_type_id"))
+    serving = d["group"].join(types, "group_type_id", "left_semi").select(F.col("id").alias("group_id"))
+    served = members.join(serving, "group_id").groupBy(F.col("person_id").alias("id")).agg(F.count(F.lit(1)).alias("serving_groups"))
+    return activity.join(person.drop("group_id", "_family"), "id").join(served, "id", "left")
 
 
-def person_features(d, as_of, parts: PersonParts | None = None) -> DataFrame:
+def person_features(d, as_of) -> DataFrame:
     """One row per attending person, 34 columns (reference v2)."""
-    parts = parts or PersonParts(d, restrict=False)
-    j = _feature_base(d, parts, with_streaks=True)
+    j = _feature_base(d, streaks_too=True)
     act = activation_date(F.col("first_attendance"), F.col("first_gift"))
     c = F.col
     cols = [
@@ -294,11 +366,10 @@ def person_features(d, as_of, parts: PersonParts | None = None) -> DataFrame:
     return j.select(*cols)
 
 
-def person_features_v1(d, as_of, parts: PersonParts | None = None) -> DataFrame:
+def person_features_v1(d, as_of) -> DataFrame:
     """The first script's 23-column table (no null defaults, no streak
     or activation)."""
-    parts = parts or PersonParts(d, restrict=False)
-    j = _feature_base(d, parts, with_streaks=False)
+    j = _feature_base(d, streaks_too=False)
     c = F.col
     return j.select(
         c("id"), c("total_check_ins"),

@@ -29,7 +29,9 @@ def counted(long: DataFrame, key: str = "key", value: str = "value", ranges: int
     spark = long.sparkSession
     ranges = ranges or max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = long.groupBy(key, value).agg(F.count(F.lit(1)).alias("cnt"))
-    return materialize(counts.repartitionByRange(ranges, key, value).withColumn("part", F.spark_partition_id()))
+    dealt = counts.repartitionByRange(ranges, key, value).withColumn("part", F.spark_partition_id())
+    # a task writes several ranges one after the other, so narrow tables make few files
+    return materialize(dealt.coalesce(min(ranges, max(8, spark.sparkContext.defaultParallelism))))
 
 
 def range_totals(counts: DataFrame, key: str = "key", value: str = "value") -> DataFrame:

@@ -75,15 +75,24 @@ def streak_runs(periods: DataFrame, grain: str = "week", strict: bool = False) -
     return df.withColumn("pos", pos).drop("_idx")
 
 
-def streaks(periods: DataFrame, grain: str = "week", strict: bool = False) -> DataFrame:
-    """``(id, highest_streak, lco_percentage)``: longest run and the online
-    share (DECIMAL(19,2) percent) over all rows of the runs tied for longest."""
+def longest_runs(periods: DataFrame, *more, grain: str = "week", strict: bool = False, counts=None) -> DataFrame:
+    """``(id, highest_streak, lco_percentage, *more)``: longest run and the online share (DECIMAL(19,2)
+    percent) over all rows of the runs tied for longest.  ``more``: aggregates over all rows of a person;
+    ``counts`` tells the rows that are visits (a person without any gets nulls)."""
     runs = streak_runs(periods, grain, strict)
     person = Window.partitionBy("id")
     run = Window.partitionBy("id", "run")
     best = (runs.withColumn("_best", F.max("pos").over(person))
-            .withColumn("_top", F.max(F.when(F.col("pos") == F.col("_best"), 1)).over(run))
-            .where(F.col("_top") == 1))
+            .withColumn("_top", F.max(F.when(F.col("pos") == F.col("_best"), 1)).over(run)))
+    top = F.col("_top") == 1 if counts is None else (F.col("_top") == 1) & counts
+    if not more:
+        best, top = best.where(top), F.lit(True)
+    share = F.sum(F.when(top, F.col("is_online"))) / F.count(F.when(top, 1)).cast("decimal(19,2)") * 100
     return best.groupBy("id").agg(
-        F.max("pos").cast("long").alias("highest_streak"),
-        pct_decimal("is_online").alias("lco_percentage"))
+        F.max(F.when(top, F.col("pos"))).cast("long").alias("highest_streak"),
+        (pct_decimal("is_online") if not more else F.when(F.count(F.when(top, 1)) > 0, share).cast("decimal(19,2)")).alias("lco_percentage"), *more)
+
+
+def streaks(periods: DataFrame, grain: str = "week", strict: bool = False) -> DataFrame:
+    """``(id, highest_streak, lco_percentage)`` of attended periods."""
+    return longest_runs(periods, grain=grain, strict=strict)

@@ -12,6 +12,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,6 +74,61 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+class Intermediates:
+    """The tables that ``materialize`` writes while a scope is open."""
+
+    def __init__(self, outer: "Intermediates | None"):
+        self.outer = outer
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, a table of this scope, outlives it: it belongs to the scope around, if there is one."""
+        if self.outer is not None and any(t is df for t in self.tables):
+            self.outer.tables.append(df)
+        self.forget(df)
+        return df
+
+    def forget(self, df: DataFrame) -> None:
+        self.tables = [t for t in self.tables if t is not df]
+
+    def close(self) -> None:
+        while self.tables:
+            release(self.tables.pop())
+
+
+_SCOPE: ContextVar[Intermediates | None] = ContextVar("flock_intermediates", default=None)
+
+
+@contextmanager
+def intermediates() -> Iterator[Intermediates]:
+    """A scope that owns every table ``materialize`` writes inside it and deletes them at its end, but for
+    those it was told to ``keep``.  A lazy result still reads its tables: write or keep it first.  Scopes nest;
+    threads started inside take part when run in a copy of the context (``contextvars.copy_context``)."""
+    scope = Intermediates(_SCOPE.get())
+    token = _SCOPE.set(scope)
+    try:
+        yield scope
+    finally:
+        scope.close()
+        _SCOPE.reset(token)
+
+
+def release(*dfs: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned: whatever read them has been written.  Other frames are
+    left alone."""
+    for df in dfs:
+        path = df.__dict__.pop("_flock_table", None)
+        if path is None:
+            continue
+        scope = _SCOPE.get()
+        while scope is not None:
+            scope.forget(df)
+            scope = scope.outer
+        sc = df.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through a table written in the shared checkpoint folder.
 
@@ -84,4 +142,8 @@ def materialize(df: DataFrame) -> DataFrame:
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._flock_table = path
+    if (scope := _SCOPE.get()) is not None:
+        scope.tables.append(out)
+    return out
