@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import intermediates, materialize
 from ._graph import components
 from ._util import hint_if_small, in_order
 
@@ -158,7 +158,7 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.Da
         hit = _links(_matrix(lft["v"]), _matrix(r["v"]), threshold)
         x, y = lft["rid"].to_numpy(), r["rid"].to_numpy()
         hit &= x[:, None] != y[None, :]
-        own = (r["block"] == lft["block"].iloc[0]).to_numpy()  # a block with itself holds both directions already
+        own = (r["block"] == lft["block"].iloc[0]).to_numpy()
         lx, ly = np.minimum(x, np.where(hit, y[None, :], x[:, None]).min(axis=1)), y
         while True:  # smallest label over links until none changes
             new_y = np.minimum(ly, np.where(hit, lx[:, None], ly[None, :]).min(axis=0))
@@ -168,8 +168,9 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.Da
             lx, ly = new_x, new_y
         any_x, any_y = hit.any(axis=1), hit.any(axis=0)
         found.append(pd.DataFrame({"rid": x[any_x], "links": (hit * r["copies"].to_numpy()[None, :]).sum(axis=1)[any_x], "least": lx[any_x]}))
-        back = any_y & ~own
-        found.append(pd.DataFrame({"rid": y[back], "links": (hit * lft["copies"].to_numpy()[:, None]).sum(axis=0)[back], "least": ly[back]}))
+        # a block with itself counted both directions above, but its rows' labels differ by side: both are needed
+        back = np.where(own, 0, (hit * lft["copies"].to_numpy()[:, None]).sum(axis=0))
+        found.append(pd.DataFrame({"rid": y[any_y], "links": back[any_y], "least": ly[any_y]}))
     return pd.concat(found).astype("int64")
 
 
@@ -220,8 +221,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     placed = _projected(one.select("rid", "copies", F.to_json(F.struct("label", F.size("v"))).alias("space"), "v"), basis, axes)
     side = max(eps, 1e-3)
     placed = placed.withColumn("cells", F.transform(F.slice("p", 1, axes), lambda x: F.floor(x / side).cast("long")))
-    sequence = in_order(placed.withColumn("all", F.lit(0)), "all", ["space", "cells"])
-    sequence = materialize(sequence.withColumn("block", F.floor(F.col("pos") / block).cast("long")).select("block", "rid", "space", "copies", "v", "p"))
+    with intermediates() as scope:
+        sequence = in_order(placed.withColumn("all", F.lit(0)), "all", ["space", "cells"])
+        sequence = sequence.withColumn("block", F.floor(F.col("pos") / block).cast("long"))
+        sequence = scope.keep(materialize(sequence.select("block", "rid", "space", "copies", "v", "p")))
     dims = range(axes + 1)
     blocks = materialize(sequence.groupBy("block").agg(
         F.min("space").alias("first"), F.max("space").alias("last"), F.array(*[F.min(F.col("p")[i]) for i in dims]).alias("low"),
