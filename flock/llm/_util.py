@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 
 #: A table is broadcast only when its measured size stays under this.
 BROADCAST_BYTES = 32 << 20
@@ -73,10 +73,11 @@ def in_order(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     the whole table.  No task holds a whole group, and rows alike in all keys are spread by a row number."""
     from pyspark.sql import Window
 
-    rows = materialize(df.withColumn("_rid", F.monotonically_increasing_id()))
+    numbered = materialize(df.withColumn("_rid", F.monotonically_increasing_id()))
     keys = [group, *order]
-    rows = materialize(rows.repartitionByRange(*keys, "_rid").sortWithinPartitions(*keys, "_rid").drop("_rid")
+    rows = materialize(numbered.repartitionByRange(*keys, "_rid").sortWithinPartitions(*keys, "_rid").drop("_rid")
                        .withColumn("_at", F.monotonically_increasing_id()))
+    release(numbered)
     part = F.shiftright("_at", 33)
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = materialize(rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import intermediates, materialize
 from ._util import in_order
 
 #: Levels of a superblock: at most 1024 nodes meet in one call.
@@ -41,20 +41,20 @@ def leaf(*values: Column) -> Column:
     return F.sha2(F.concat(*one), 256)
 
 
-def _levels(digests: list[str], n: int) -> list[list[str]]:
-    """The levels of one superblock from its nodes up, at most LEVELS above them; ``n`` counts the tree's
+def _levels(nodes: pd.DataFrame, most: int) -> list[list[str]]:
+    """The levels of one superblock from its nodes up, at most ``most`` above them; ``n`` counts the tree's
     nodes of this tier, so a small tree stops at its root."""
-    out = [digests]
-    for _ in range(min(LEVELS, (n - 1).bit_length())):
+    out = [nodes["digest"].tolist()]
+    for _ in range(min(most, (int(nodes["n"].iloc[0]) - 1).bit_length())):
         low = out[-1]
         out.append([_h(*low[i:i + 2]) for i in range(0, len(low), 2)])
     return out
 
 
-def _reduce(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
-    nodes, n = nodes.sort_values("pos"), int(nodes["n"].iloc[0])
-    top = _levels(nodes["digest"].tolist(), n)[-1][0]
-    return pd.DataFrame({"tree": [key[0]], "pos": [key[1]], "n": [-(-n >> LEVELS)], "digest": [top]})
+def _reduce(nodes: pd.DataFrame, most: int) -> pd.DataFrame:
+    nodes = nodes.sort_values("pos")
+    first, top = nodes.iloc[0], _levels(nodes, most)[-1][0]
+    return pd.DataFrame({"tree": [first["tree"]], "pos": [first["pos"] >> most], "n": [-(-int(first["n"]) >> most)], "digest": [top]})
 
 
 def _local_paths(levels: list[list[str]], i: int) -> list[str]:
@@ -73,19 +73,19 @@ def _fold(digest: str, path: list[str]) -> str:
     return digest
 
 
-def _hand_down(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+def _hand_down(nodes: pd.DataFrame, outer: pd.DataFrame, most: int) -> pd.DataFrame:
     """The outer rows of the superblocks that these nodes are."""
     nodes, above = nodes.sort_values("pos"), outer.iloc[0]
-    levels = _levels(nodes["digest"].tolist(), int(nodes["n"].iloc[0]))
+    levels = _levels(nodes, most)
     paths = [_local_paths(levels, i) + list(above["path"]) for i in range(len(nodes))]
     return pd.DataFrame({"tree": nodes["tree"].to_numpy(), "block": nodes["pos"].to_numpy(), "path": paths,
                          "subroot": above["subroot"], "root": above["root"]})
 
 
-def _finish(leaves: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+def _finish(leaves: pd.DataFrame, outer: pd.DataFrame, most: int) -> pd.DataFrame:
     """Reduction inside the superblock, whole proofs, and each leaf folded up to the root."""
     leaves, above = leaves.sort_values("pos"), outer.iloc[0]
-    levels, rest = _levels(leaves["digest"].tolist(), int(leaves["n"].iloc[0])), list(above["path"])
+    levels, rest = _levels(leaves, most), list(above["path"])
     rest_text, proofs, folded = "".join(s[1:] for s in rest), [], []
     for i, claimed in enumerate(leaves["claimed"]):
         path = _local_paths(levels, i)
@@ -95,30 +95,43 @@ def _finish(leaves: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
                          "proof_sha256": proofs, "folded_root": folded, "verified": np.array(folded) == above["root"]})
 
 
-def _tiers(nodes: DataFrame) -> list[DataFrame]:
+def _top_of_groups(nodes: pd.DataFrame, outer: pd.DataFrame, most: int) -> pd.DataFrame:
+    """One outer row per group tree, whose block 0 is the whole of its top tier: the path of its subroot."""
+    nodes = nodes.sort_values("pos")
+    return _hand_down(nodes, outer, most).assign(tree=nodes["of"].to_numpy(), block=0, subroot=nodes["digest"].to_numpy())
+
+
+def _tiers(nodes: DataFrame, most: int) -> list[DataFrame]:
     """Written tables of nodes, from ``nodes`` up to the tier in which each tree is one node."""
+
+    def reduce(block: pd.DataFrame) -> pd.DataFrame:
+        return _reduce(block, most)
+
     out = [nodes]
     while (out[-1].agg(F.max("n")).first()[0] or 0) > 1:
         t = out[-1].select("tree", "pos", "n", "digest")
-        out.append(materialize(t.groupBy("tree", F.shiftright("pos", LEVELS).alias("block")).applyInPandas(_reduce, _NODES)))
+        out.append(materialize(t.groupBy("tree", F.shiftright("pos", most).alias("block")).applyInPandas(reduce, _NODES)))
     return out
 
 
-def _cogroup(nodes: DataFrame, outer: DataFrame, function, schema: str) -> DataFrame:
-    left = nodes.withColumn("block", F.shiftright("pos", LEVELS)).groupBy("tree", "block")
-    return left.cogroup(outer.groupBy("tree", "block")).applyInPandas(function, schema)
+def _cogroup(nodes: DataFrame, outer: DataFrame, function, most: int, schema: str) -> DataFrame:
+    def finish(block: pd.DataFrame, needed: pd.DataFrame) -> pd.DataFrame:
+        return function(block, needed, most)
+
+    left = nodes.withColumn("block", F.shiftright("pos", most)).groupBy("tree", "block")
+    return left.cogroup(outer.groupBy("tree", "block")).applyInPandas(finish, schema)
 
 
-def _down(tiers: list[DataFrame], top: DataFrame) -> DataFrame:
+def _down(tiers: list[DataFrame], top: DataFrame, most: int) -> DataFrame:
     """Outer rows for the superblocks of the lowest tier; ``top`` holds one per tree (block 0)."""
     outer = top
     for nodes in reversed(tiers[1:]):
-        outer = materialize(_cogroup(nodes, outer, _hand_down, _OUTER))
+        outer = materialize(_cogroup(nodes, outer, _hand_down, most, _OUTER))
     return outer
 
 
 def merkle_manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", fields: tuple[str, ...] = FIELDS,
-                    altered: Column | None = None, changes: dict[str, Column] | None = None) -> DataFrame:
+                    altered: Column | None = None, changes: dict[str, Column] | None = None, levels: int = LEVELS) -> DataFrame:
     """One row per row of ``docs``: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified.
 
     * A leaf is the hash of ``fields`` in that order (see ``leaf``).  Groups are the values of ``group_col``;
@@ -132,35 +145,30 @@ def merkle_manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "l
     * Null values have a form of their own in a leaf, so null and empty differ.  An empty table gives an empty
       result.  Other columns are not read, whatever their names.
 
-    Scale: only ids and digests travel: once dealt by range, once per way by superblock.  A superblock is 1024
-    nodes whatever the groups' sizes, so a hot group is many tasks; each tier is a table in the checkpoint
-    folder 1024 times smaller than the one below.
+    Scale: only ids and digests travel: once dealt by range, once per way by superblock.  A superblock is
+    2**levels nodes (1024) whatever the groups' sizes, so a hot group is many tasks; each tier is a table in the
+    checkpoint folder as many times smaller than the one below.
     """
     changes = changes or {}
     changed = leaf(*[changes.get(f, F.col(f)) for f in fields])
     rows = docs.select(F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("key"), leaf(*map(F.col, fields)).alias("digest"),
                        (F.lit(None).cast("string") if altered is None else F.when(altered, changed)).alias("claimed"))
     id_type = rows.schema["id"].dataType
-    ordered = in_order(rows, "key", ["id", "digest"])
-    # ids travel as text: a null beside whole numbers would turn them into floating point
-    leaves = materialize(ordered.select("tree", "pos", "n", F.col("id").cast("string").alias("id"), "digest", "claimed"))
-    tiers = _tiers(leaves)
+    with intermediates() as scope:
+        ordered = in_order(rows, "key", ["id", "digest"])
+        # ids travel as text: a null beside whole numbers would turn them into floating point
+        leaves = scope.keep(materialize(ordered.select("tree", "pos", "n", F.col("id").cast("string").alias("id"), "digest", "claimed")))
+    tiers = _tiers(leaves, levels)
     subroots = tiers[-1].select(F.col("tree").alias("of"), F.col("digest"))
     groups = in_order(subroots.withColumn("one", F.lit(0)), "one", ["of"])
     groups = materialize(groups.select(F.col("tree"), "pos", "n", "of", "digest"))
-    upper = _tiers(groups)
+    upper = _tiers(groups, levels)
     roots = upper[-1].select("tree", F.lit(0).cast("long").alias("block"), F.array().cast("array<string>").alias("path"),
                              F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
-    above = _down(upper, materialize(roots))
+    above = _down(upper, materialize(roots), levels)
     # each group's own way to the root is the outer path of its tree
-    top = materialize(_cogroup(groups, above, _top_of_groups, _OUTER))
-    out = _cogroup(leaves, _down(tiers, top), _finish,
+    top = materialize(_cogroup(groups, above, _top_of_groups, levels, _OUTER))
+    out = _cogroup(leaves, _down(tiers, top, levels), _finish, levels,
                    "id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
     return out.select(F.col("id").cast(id_type).alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
-
-def _top_of_groups(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
-    """One outer row per group tree: the path of its subroot, which it is the block 0 of."""
-    nodes = nodes.sort_values("pos")
-    out = _hand_down(nodes, outer)
-    return out.assign(tree=nodes["of"].to_numpy(), block=0, subroot=nodes["digest"].to_numpy())

@@ -30,7 +30,7 @@ def brute(doc_id, text, seed=7, rate=100, spm=50, unit=r"[^\n]*\n|[^\n]+", marks
 
 
 TEXTS = ["a", "a\n", "\n", "\n\n\n", "a\nb", "a\nb\nc\n", "<", "x<\n<P", "x\n<S", "<P", "a <M> b\nc", "<P>", "<S>x", "$1 \\1 \\$0 %d %s\n\\E{2}+\n$", "a\r\nb\rc d\x85e\n\x00f",
-         "𝄞é\n中文𝄞\n\n𝄞", "no end " * 50, " \n\t\n ", "\n" * 500, "<\n" * 40 + "<", "word " * 30000, "x\n" * 60000]
+         "𝄞é\n中文𝄞\n\n𝄞", "no end " * 50, " \n\t\n ", "\n" * 500, "<\n" * 40 + "<", "x $a%d y\nz", "word " * 30000, "x\n" * 60000]
 
 
 def awkward(spark):

@@ -7,7 +7,6 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
-from flock.llm import merkle
 from flock.llm._util import in_order
 from flock.llm.merkle import merkle_manifest
 
@@ -69,13 +68,13 @@ def brute(table):
     return sorted(out, key=str)
 
 
-def manifest(df):
-    return merkle_manifest(df, altered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0,
+def manifest(df, **options):
+    return merkle_manifest(df, **options, altered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0,
                            changes={"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1})
 
 
-def got(df):
-    return sorted((tuple(r) for r in manifest(df).collect()), key=str)
+def got(df, **options):
+    return sorted((tuple(r) for r in manifest(df, **options).collect()), key=str)
 
 
 def test_awkward_rows(docs):
@@ -83,13 +82,9 @@ def test_awkward_rows(docs):
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 9, 17, 33])
-def test_trees_of_many_superblocks(spark, monkeypatch, n):
-    monkeypatch.setattr(merkle, "LEVELS", 1 if n < 9 else 2)
+def test_trees_of_many_superblocks(spark, n):
     table = [(i * 3, f"t{i}", ["é", "en", None, ""][i % 4] if i % 2 else "en", None, i) for i in range(n)]
-    # the executors import the module with its own constant: run the functions on a copy of theirs
-    nodes = merkle._levels([leaf(r) for r in table], n)
-    assert len(nodes) == 1 + min(merkle.LEVELS, (n - 1).bit_length())
-    assert got(spark.createDataFrame(table, DOCS).repartition(3)) == brute(table)
+    assert got(spark.createDataFrame(table, DOCS).repartition(3), levels=1 if n < 9 else 2) == brute(table)
 
 
 def test_more_than_one_superblock(spark):
