@@ -8,6 +8,7 @@ do no harm.
 from __future__ import annotations
 
 import uuid
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from flock.session import ensure_checkpoint_dir, materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near duplicates: shared five-word shingles of 0.8 or more.
 WIDTH, PERCENT = 5, 80
+#: Pairs of min-hashes by which the line stage tells near copies.
+BANDS = 6
 
 
 def _row_key() -> Column:
@@ -35,17 +38,48 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs.select(*COLUMNS), model).where("_score >= 0.5").select(*COLUMNS)
 
 
+def _shingle_hashes(text: Column) -> Column:
+    """Hashes of the text's five-word shingles (A-Z lower-cased); fewer words are one shingle."""
+    words = F.regexp_extract_all(F.translate(text, ascii_uppercase, ascii_lowercase), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (WIDTH - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, WIDTH)))
+
+
+def _bands(hashes: Column) -> Column:
+    """BANDS hashes, each of a pair of min-hashes."""
+
+    def least(seed: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(seed))))
+
+    return F.array(*[F.xxhash64(F.lit(b), least(2 * b), least(2 * b + 1)) for b in range(BANDS)])
+
+
+def pages(docs: DataFrame) -> DataFrame:
+    """(source, md5, page): texts of a source that share a band with another one, and the page they are: the
+    least md5 among all that share one with them.  Others are pages of their own.
+
+    Two texts that share 0.8 of their shingles share a band in 998 of 1000 cases, texts with little in common
+    rarely; for the share of a line in its source it hardly matters if they do, since pages and pages with the
+    line fall alike.  Only hashes travel, least and greatest first taken in each task."""
+    keyed = docs.where(F.col("source").isNotNull()).select("source", F.md5("text").alias("md5"), _shingle_hashes(F.col("text")).alias("hashes"))
+    keyed = materialize(keyed.select("source", "md5", F.explode(_bands(F.col("hashes"))).alias("band")))
+    shared = (keyed.groupBy("source", "band").agg(F.min("md5").alias("least"), F.max("md5").alias("most"))
+              .where("least <> most").select("source", "band", "least"))
+    met = keyed.join(hint_if_small(materialize(shared), 80), ["source", "band"])
+    return materialize(met.groupBy("source", "md5").agg(F.min("least").alias("page")).where("page <> md5"))
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; a source is the site.
 
-    Copies and near copies (linked as the next stage links them) are one page: else the
-    lines of a document that makes much of its source would pass for boilerplate, and
-    every copy of it would lose them.  Texts without words are one page of a source."""
+    Copies and near copies are one page: else the lines of a document that makes much of its source would pass
+    for boilerplate, and every copy of it would lose them.  Near copies are told by min-hashes in DataFrame
+    functions alone.  Texts without words, or null, are one page of a source; a null source has no site."""
     docs = docs.select(*COLUMNS)
-    joined = jaccard_join(docs.withColumn("key", _row_key()), WIDTH, PERCENT, id_col="key")
-    other = materialize(joined.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("key"), F.col("component_id.md5").alias("_page")).distinct())
-    paged = docs.withColumn("key", _row_key()).join(hint_if_small(other, 140), "key", "left")
-    paged = paged.withColumn("_page", F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.coalesce("_page", "key.md5"))).drop("key")
+    full = docs.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    other = pages(full).select(F.col("source").alias("_s"), F.col("md5").alias("_m"), "page")
+    paged = docs.withColumn("_md5", F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.md5("text")))
+    paged = paged.join(hint_if_small(other, 140), (F.col("source") == F.col("_s")) & (F.col("_md5") == F.col("_m")), "left")
+    paged = paged.withColumn("_page", F.coalesce("page", "_md5")).drop("_s", "_m", "page", "_md5")
     out = line_dedup(paged, host_col="source", page_col="_page")
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -74,7 +108,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
-    return best_fit_pack(docs)
+    return best_fit_pack(docs, special=True)
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates),
