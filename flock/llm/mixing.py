@@ -81,7 +81,8 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), share: floa
     * copies: the whole part of its source's rate, and one more for documents
       in the order of md5(doc_id) until the source's target is met: a document
       whose middle lies inside the rest of the target.  A source misses its
-      target by half a document at most.  Copies never pass ``most`` rounded up.
+      target by half a document at most.  A document without words gets no extra
+      copy.  Copies never pass ``most`` rounded up.
     * Runs agree: the order depends on the rows only.  Rows alike in id and size
       are interchangeable.  A null id sorts by the md5 of "".
     * Empty tables give an empty result; other columns are not read.
@@ -114,8 +115,8 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), share: floa
                               F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))))
     order = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("sum_before") + F.sum("size").over(order) - F.col("size") / 2.0
-    some = rows.where("state = 'some'").withColumn("extra", (middle <= F.col("rest")).cast("long"))
-    whole = rows.where("state <> 'some'").withColumn("extra", (F.col("state") == "all").cast("long"))
+    some = rows.where("state = 'some'").withColumn("extra", ((F.col("size") > 0) & (middle <= F.col("rest"))).cast("long"))
+    whole = rows.where("state <> 'some'").withColumn("extra", ((F.col("size") > 0) & (F.col("state") == "all")).cast("long"))
     return whole.unionByName(some).select("doc_id", "size", "source_size", "target",
                                           (F.col("base") + F.col("extra")).alias("copies"),
                                           ((F.col("base") + F.col("extra")) * F.col("size")).alias("taken"))

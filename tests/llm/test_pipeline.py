@@ -89,7 +89,7 @@ def mixed(docs):
         for d in sorted((d for d in docs if d[3] == s), key=name):
             n = len(WORD.findall(d[1] or ""))
             so_far += n
-            yield from [d] * (base + (so_far - n / 2 <= max(0.0, (rate - base) * size[s])))
+            yield from [d] * (base + (n > 0 and so_far - n / 2 <= max(0.0, (rate - base) * size[s])))
 
 
 def pieces(docs):
@@ -97,7 +97,6 @@ def pieces(docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     for d in docs:
         ids, start = np.array([*tok.encode(d[1] or "", add_special_tokens=False).ids, 0], "<u4"), 0
         for i, n in enumerate(piece_lengths(len(ids), 2048)):
