@@ -11,6 +11,7 @@ checkpoint.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from ..session import materialize
+from . import trees
 from .report import classification_report
-from .sampling import stratified_split
+from .sampling import stratified_folds, stratified_split, stratified_splits
 
 # Fixed values (reference): the ten split seeds and the model settings.
 SEEDS = (987, 887, 787, 687, 587, 487, 387, 287, 187, 87)
-TREE = {"min_split": 10, "min_bucket": 3}
+TREE = {"min_split": 10, "min_bucket": 3, "cp": 0.01}
 GBT = {"max_depth": 3, "eta": 0.3, "rounds": 2}
 FOREST_TREES = 500
 CV = {"folds": 10, "mtry": 8, "node_size": 14, "max_nodes": 14}
@@ -134,12 +136,91 @@ def repeat_eval(df: DataFrame, label: str, seeds=SEEDS, parallelism: int = 4, on
     rounds = reports[0]
     for r in reports[1:]:
         rounds = rounds.unionByName(r)
-    rounds = materialize(rounds)
+    return round_summary(materialize(rounds))
+
+
+def round_summary(rounds: DataFrame) -> DataFrame:
+    """The reports of all seeds (``rounds``, written) with mean and standard deviation rows."""
     metrics = [c for c in rounds.columns if c not in ("seed", "n")]
     summary = rounds.agg(*[F.avg(c).alias(c) for c in metrics]).withColumn("stat", F.lit("mean")).unionByName(
         rounds.agg(*[F.stddev_samp(c).alias(c) for c in metrics]).withColumn("stat", F.lit("sd")))
-    per_seed = rounds.select(F.col("seed").cast("string").alias("stat"), *metrics)
-    return per_seed.unionByName(summary.select("stat", *metrics))
+    return rounds.select(F.col("seed").cast("string").alias("stat"), *metrics).unionByName(summary.select("stat", *metrics))
+
+
+def _seeded(df: DataFrame, label: str, seeds, target) -> tuple[DataFrame, list[trees.Feature]]:
+    """(id, label, target 0/1, bins, in_train) of all rows, written once for all seeds, and the features.
+    Cuts lie between neighbouring values of the whole table."""
+    features = trees.fit_bins(df, feature_columns(df, label))
+    rows = trees.binned(stratified_splits(df, label, tuple(seeds)), features)
+    return materialize(rows.select("id", F.col(label).alias("label"), target.cast("double").alias("target"), "bins", "in_train")), features
+
+
+def _training(rows: DataFrame, seeds, *columns) -> dict[int, DataFrame]:
+    """The training rows of each seed."""
+    return {s: rows.where(F.col("in_train")[i]).select("bins", *columns) for i, s in enumerate(seeds)}
+
+
+def seeded_trees(df: DataFrame, label: str, seeds=SEEDS, min_split: int = TREE["min_split"], min_bucket: int = TREE["min_bucket"],
+                 cp: float = TREE["cp"], max_leaves: int | None = None) -> tuple[DataFrame, dict[int, trees.Tree]]:
+    """L5-L7 for all seeds together: exact stratified splits, one classification tree a seed (Gini, ``min_split`` and
+    ``min_bucket``, cost-complexity ``cp``), and the class predicted for every held-out row: (seed, id, actual,
+    predicted) and the trees.  All trees grow in the same rounds over one stored table."""
+    low, high = two_levels(df, label)
+    rows, features = _seeded(df, label, seeds, F.col(label) == F.lit(high))
+    grown = trees.grow(_training(rows, seeds, F.lit(1.0).alias("a"), F.col("target").alias("b")), features,
+                       trees.class_rules(min_split, min_bucket, max_leaves, cp=cp))
+    grown = {s: trees.prune(t, cp) for s, t in grown.items()}
+    first = F.lit(low)
+    each = [rows.where(~F.col("in_train")[i]).select(
+        F.lit(s).alias("seed"), "id", F.col("label").alias("actual"),
+        (F.when(grown[s].route(F.col("bins"), trees.majority) > 0, F.lit(high)).otherwise(first) if s in grown else first).alias("predicted"))
+        for i, s in enumerate(seeds)]
+    return reduce(DataFrame.unionAll, each), grown
+
+
+def two_levels(df: DataFrame, label: str) -> tuple:
+    """The two classes of a label in alphabetical order."""
+    levels = sorted(r[0] for r in df.select(label).distinct().limit(3).collect())
+    if len(levels) > 2:
+        raise ValueError(f"{label} has more than two classes")
+    return levels[0], levels[-1]
+
+
+def tree_rounds(df: DataFrame, label: str, seeds=SEEDS, positive=None) -> DataFrame:
+    """The report of every seed's tree (positive class: the first level), written."""
+    pred, _ = seeded_trees(df, label, seeds)
+    pos = positive if positive is not None else two_levels(df, label)[0]
+    return materialize(classification_report(pred, "actual", "predicted", pos, by=("seed",)))
+
+
+def seeded_boosters(df: DataFrame, label: str, seeds=SEEDS, rounds: int = GBT["rounds"], eta: float = GBT["eta"],
+                    max_depth: int = GBT["max_depth"]) -> tuple[DataFrame, dict[int, trees.Booster]]:
+    """L12 for all seeds together on a 0/1 label, missing values kept: (seed, id, actual, in_train, margin1 ..
+    margin<rounds>), the margin after each round for training and held-out rows, and the boosters."""
+    rows, features = _seeded(df, label, seeds, F.col(label))
+    found = trees.boost(_training(rows, seeds, F.col("target").alias("label")), features, rounds, eta, max_depth)
+    each = [rows.select(F.lit(s).alias("seed"), "id", F.col("target").alias("actual"), F.col("in_train")[i].alias("in_train"),
+                        *[found[s].margin(F.col("bins"), k + 1).alias(f"margin{k + 1}") for k in range(rounds)])
+            for i, s in enumerate(seeds)]
+    return reduce(DataFrame.unionAll, each), found
+
+
+def watch_list(margins: DataFrame, rounds: int = GBT["rounds"]) -> DataFrame:
+    """Log loss after each round on the training and the held-out rows of each seed: (seed, round, dataset, loss)."""
+    loss = [F.avg(trees.log_loss(F.col(f"margin{k + 1}"), F.col("actual"))).alias(f"_{k + 1}") for k in range(rounds)]
+    per = margins.groupBy("seed", F.when(F.col("in_train"), "train").otherwise("test").alias("dataset")).agg(*loss)
+    return per.unpivot(["seed", "dataset"], [f"_{k + 1}" for k in range(rounds)], "round", "loss").select(
+        "seed", F.substring("round", 2, 9).cast("int").alias("round"), "dataset", "loss")
+
+
+def boosted_rounds(df: DataFrame, label: str, seeds=SEEDS) -> DataFrame:
+    """L12/L13 of every seed, written: held-out report (positive class 1) and the last log loss of both parts."""
+    margins = seeded_boosters(df, label, seeds)[0]
+    held = margins.where("NOT in_train").withColumn("predicted", F.when(F.col(f"margin{GBT['rounds']}") > 0, 1.0).otherwise(0.0))
+    report = classification_report(held, "actual", "predicted", 1.0, by=("seed",))
+    last = watch_list(margins).where(F.col("round") == GBT["rounds"]).groupBy("seed").agg(
+        *[F.max(F.when(F.col("dataset") == d, F.col("loss"))).alias(f"{d}_log_loss") for d in ("train", "test")])
+    return materialize(report.join(last, "seed"))
 
 
 def fit_gbt(train: DataFrame, label: str, features: list[str] | None = None, seed: int = 987,
@@ -207,8 +288,10 @@ def cv_forest(train: DataFrame, label: str, folds: int = CV["folds"], mtry: int
               node_size: int = CV["node_size"], max_nodes: int = CV["max_nodes"], trees: int = FOREST_TREES,
               seed: int = 987, grid: dict | None = None, parallelism: int = 4):
     """K-fold cross-validated forest; ``grid`` maps a parameter name
-    ('mtry', 'max_nodes', 'trees') to the values to search."""
+    ('mtry', 'max_nodes', 'trees') to the values to search.  Folds are stratified by the label and dealt by
+    hash rank of the id: they do not change with the partitioning."""
     features = feature_columns(train, label)
+    train = materialize(stratified_folds(train, label, folds, seed))
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, seed=seed,
                                 featureSubsetStrategy=str(mtry), minInstancesPerNode=node_size,
                                 maxDepth=depth_for_leaves(max_nodes), maxBins=max_bins(train, features))
@@ -223,7 +306,7 @@ def cv_forest(train: DataFrame, label: str, folds: int = CV["folds"], mtry: int
         builder = builder.addGrid(rf.numTrees, list(grid["trees"]))
     ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="accuracy")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=builder.build(), evaluator=ev, numFolds=folds,
-                        seed=seed, parallelism=parallelism)
+                        foldCol="fold", seed=seed, parallelism=parallelism)
     return cv.fit(train)
 
 

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as cl
 from ..operators import models as md
+from ..operators.sampling import stratified_folds, stratified_splits
+from ..operators.trees import gain_cover_frequency
 from ..session import materialize
+from . import sqltext as q
 from .q_metrics import _people
-from .q_profile import SIMPLE_COLUMNS, _clean, _people_shared
+from .q_profile import CLEAN_LITERAL_SQL, SIMPLE_COLUMNS, _clean, _people_shared
 from .registry import register
 
 LABEL = cl.LABEL
@@ -26,52 +29,65 @@ def _split(df, seed=987):
 @register("tree_eval")
 def tree_eval(spark, sf_dir):
     """One round (seed 987): split, tree, predict, confusion statistics."""
-    return md.tree_round(_model_input(spark, sf_dir), LABEL, 987)
+    return md.tree_rounds(_model_input(spark, sf_dir), LABEL, (987,))
 
 
 @register("tree_predictions")
 def tree_predictions(spark, sf_dir):
     """Predicted class of every held-out person (seed 987)."""
-    train, test = _split(_model_input(spark, sf_dir))
-    model = md.fit_tree(train, LABEL)
-    return md.predict(model, test, LABEL).select("id", "actual", "predicted")
+    return md.seeded_trees(_model_input(spark, sf_dir), LABEL, (987,))[0].select("id", "actual", "predicted")
 
 
 @register("repeat_eval")
 def repeat_eval(spark, sf_dir):
     """The ten seeds of the script, per-seed metrics plus mean and sd."""
-    return md.repeat_eval(_model_input(spark, sf_dir), LABEL)
+    return md.round_summary(md.tree_rounds(_model_input(spark, sf_dir), LABEL))
 
 
-def _model2_input(spark, sf_dir):
-    m2 = md.prepare(cl.model2_dataset(_clean(spark, sf_dir, shared=True)), LABEL)
-    return materialize(m2.withColumn(LABEL, F.col(LABEL).cast("double")))
+@register("split_columns", sql=q.with_adapter(CLEAN_LITERAL_SQL, select="SELECT id, " + ", ".join(f"""
+       row_number() OVER (PARTITION BY {LABEL} ORDER BY md5(concat('{s}:', CAST(id AS VARCHAR))), id)
+         <= floor(0.8 * count(*) OVER (PARTITION BY {LABEL})) AS train_{s}""" for s in md.SEEDS) + """
+FROM clean"""))
+def split_columns(spark, sf_dir):
+    """The training parts of the ten seeds, all in one pass."""
+    out = stratified_splits(_clean(spark, sf_dir, shared=True).select("id", LABEL), LABEL, md.SEEDS)
+    return out.select("id", *[F.col("in_train")[i].alias(f"train_{s}") for i, s in enumerate(md.SEEDS)])
+
 
+@register("fold_column", sql=q.with_adapter(CLEAN_LITERAL_SQL, select=f"""
+SELECT id, CAST((row_number() OVER (PARTITION BY {LABEL} ORDER BY md5(concat('987:', CAST(id AS VARCHAR))), id) - 1) % 10 AS INTEGER)
+         AS fold
+FROM clean"""))
+def fold_column(spark, sf_dir):
+    """The ten stratified folds of the cleaned table."""
+    return stratified_folds(_clean(spark, sf_dir, shared=True).select("id", LABEL), LABEL).select("id", "fold")
 
-def _gbt(spark, sf_dir):
-    train, test = md.stored_split(_model2_input(spark, sf_dir), LABEL, 987)
-    return md.fit_gbt(train, LABEL), train, test
+
+def _model2_input(spark, sf_dir):
+    """Boosted-tree input: numbers as doubles, missing values kept."""
+    m2 = cl.model2_dataset(_clean(spark, sf_dir, shared=True))
+    return materialize(m2.select("id", *[F.col(c).cast("double").alias(c) for c in m2.columns if c != "id"]))
 
 
 @register("gbt_repeat_eval")
 def gbt_repeat_eval(spark, sf_dir):
     """The ten boosted rounds of the script (one per seed): held-out
     report and last log losses per seed, plus mean and sd."""
-    return md.repeat_eval(_model2_input(spark, sf_dir), LABEL, one_round=md.gbt_round)
+    return md.round_summary(md.boosted_rounds(_model2_input(spark, sf_dir), LABEL))
 
 
 @register("gbt_importance")
 def gbt_importance(spark, sf_dir):
-    """Boosted trees (depth 3, eta 0.3, 2 rounds) and their importances."""
-    model, train, _ = _gbt(spark, sf_dir)
-    return md.importance(model, md.feature_columns(train, LABEL))
+    """Boosted trees (depth 3, eta 0.3, 2 rounds) and each feature's share of gain, cover and splits."""
+    booster = md.seeded_boosters(_model2_input(spark, sf_dir), LABEL, (987,))[1][987]
+    return spark.createDataFrame(gain_cover_frequency(booster), "feature string, gain double, cover double, frequency double")
 
 
 @register("gbt_eval")
 def gbt_eval(spark, sf_dir):
-    """Logistic loss per round on the train and test sets."""
-    model, train, test = _gbt(spark, sf_dir)
-    return md.gbt_eval(model, train, test, LABEL)
+    """Log loss per round on the train and test sets."""
+    margins = md.seeded_boosters(_model2_input(spark, sf_dir), LABEL, (987,))[0]
+    return md.watch_list(margins).drop("seed")
 
 
 @register("forest_importance")
