@@ -19,16 +19,15 @@ from pyspark.ml.classification import (
     GBTClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IndexToString, PCA, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from ..session import materialize
+from . import moments as mo
 from . import trees
 from .report import classification_report
 from .sampling import stratified_folds, stratified_split, stratified_splits
@@ -321,40 +320,17 @@ def cv_summary(cv_model) -> DataFrame:
     return spark.createDataFrame(rows, "setting string, accuracy double, accuracy_sd double")
 
 
-def assembled(df: DataFrame, cols: list[str], out: str = "features", keep=("id",)) -> DataFrame:
-    """Numeric columns (nulls as 0) to one vector column; row keys kept."""
-    kept = [c for c in keep if c in df.columns]
-    num = df.select(*kept, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    return VectorAssembler(inputCols=cols, outputCol=out).transform(num)
-
-
-def kmeans_best(df: DataFrame, cols: list[str], k: int = KMEANS["k"], starts: int = KMEANS["starts"],
-                seed: int = KMEANS["seed"], parallelism: int = 4, max_iter: int = 10):
-    """``kmeans(nstart=25)``: random starts, keep the least within-cluster
-    sum of squares.  ``max_iter``: at most that many rounds (R's default of
-    ten).  Starts run concurrently as independent Spark jobs over one
-    checkpointed input."""
-    data = materialize(assembled(df, cols))
-
-    def fit(s):
-        return KMeans(k=k, initMode="random", seed=s, featuresCol="features", maxIter=max_iter).fit(data)
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        models = list(pool.map(fit, [seed + i for i in range(starts)]))
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best, data
-
-
-def kmeans_profile(df: DataFrame, cols: list[str], **kw) -> DataFrame:
-    """Cluster sizes and centres of the best start, one row per cluster."""
-    best, data = kmeans_best(df, cols, **kw)
-    sizes = best.transform(data).groupBy(F.col("prediction").alias("cluster")).agg(
-        F.count(F.lit(1)).alias("size"))
-    spark = df.sparkSession
-    centers = spark.createDataFrame(
-        [(i, *[float(x) for x in c]) for i, c in enumerate(best.clusterCenters())],
-        ", ".join(["cluster int"] + [f"{c} double" for c in cols]))
-    return sizes.join(centers, "cluster").withColumn("total_within_ss", F.lit(best.summary.trainingCost))
+def kmeans_profile(df: DataFrame, cols: list[str], k: int = KMEANS["k"], starts: int = KMEANS["starts"],
+                   seed: int = KMEANS["seed"], max_iter: int = 10) -> DataFrame:
+    """``kmeans(nstart=25)``: the start of least within-cluster sum of squares after at most ``max_iter``
+    rounds (R's default of ten): cluster sizes and centres, one row per cluster.  All starts share each reading
+    of the table."""
+    data = materialize(mo.doubles(df, cols))
+    centres, sizes, costs = mo.kmeans(data, cols, mo.start_centres(data, cols, k, starts, seed), max_iter)
+    best = int(costs.argmin())
+    rows = [(i, int(sizes[best, i]), *map(float, centres[best, i]), float(costs[best])) for i in range(k)]
+    schema = ", ".join(["cluster int", "size long", *[f"{c} double" for c in cols], "total_within_ss double"])
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def varying_columns(df: DataFrame, cols: list[str]) -> list[str]:
@@ -365,19 +341,12 @@ def varying_columns(df: DataFrame, cols: list[str]) -> list[str]:
 
 
 def pca(df: DataFrame, cols: list[str], k: int | None = None, flip: bool = True):
-    """PCA of standardised columns (``prcomp(scale=TRUE)``); loadings and
-    scores negated as the notebook does (H25)."""
+    """PCA of standardised columns (``prcomp(scale=TRUE)``) from one moment matrix; loadings and
+    scores negated as the notebook does (H25).  Returns loadings, scores and the shares of variance."""
     k = k or len(cols)
-    data = assembled(df, cols, "raw")
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(data)
-    scaled = scaler.transform(data)
-    model = PCA(k=k, inputCol="features", outputCol="pcs").fit(scaled)
-    sign = -1.0 if flip else 1.0
-    mat = model.pc.toArray()
-    spark = df.sparkSession
-    loadings = spark.createDataFrame(
-        [(cols[i], *[float(sign * mat[i, j]) for j in range(k)]) for i in range(len(cols))],
-        ", ".join(["variable string"] + [f"pc{j + 1} double" for j in range(k)]))
-    scores = model.transform(scaled).select(
-        *[c for c in ("id",) if c in scaled.columns], *[(F.lit(sign) * vector_to_array("pcs")[j]).alias(f"pc{j + 1}") for j in range(k)])
-    return loadings, scores, model.explainedVariance.toArray().tolist()
+    m = mo.moments(df, cols)
+    loadings, variance = mo.principal_components(m)
+    loadings = (-loadings if flip else loadings)[:, :k]
+    table = df.sparkSession.createDataFrame([(c, *map(float, loadings[i])) for i, c in enumerate(cols)],
+                                            ", ".join(["variable string"] + [f"pc{j + 1} double" for j in range(k)]))
+    return table, mo.project(df, cols, m, loadings), (variance / variance.sum()).tolist()[:k]

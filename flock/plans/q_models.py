@@ -10,7 +10,7 @@ from ..operators.sampling import stratified_folds, stratified_splits
 from ..operators.trees import gain_cover_frequency
 from ..session import materialize
 from . import sqltext as q
-from .q_metrics import _people
+from .q_metrics import FEATURES_SQL, _people
 from .q_profile import CLEAN_LITERAL_SQL, SIMPLE_COLUMNS, _clean, _people_shared
 from .registry import register
 
@@ -146,3 +146,18 @@ def pca_scores(spark, sf_dir):
     """Component scores of every person (sign-flipped) over all varying numeric columns."""
     s, cols = _pca(spark, sf_dir)
     return md.pca(s, cols)[1]
+
+
+NORMS_SQL = f"""
+w AS (SELECT id, {', '.join(f"CAST(coalesce({c}, {1000 if c == 'time_to_activate' else 0}) AS DOUBLE) AS {c}" for c in SIMPLE_COLUMNS)} FROM features),
+st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in SIMPLE_COLUMNS)} FROM w)"""
+
+
+@register("pca_norms", sql=q.with_adapter(FEATURES_SQL, NORMS_SQL, select="SELECT id, round(" + " + ".join(
+    f"coalesce(pow((w.{c} - m_{c}) / NULLIF(s_{c}, 0), 2), 0)" for c in SIMPLE_COLUMNS) + ", 6) AS norm FROM w, st"))
+def pca_norms(spark, sf_dir):
+    """L20 check: loadings are a rotation, so a person's squared scores add up to the squares of the
+    standardised columns."""
+    s, cols = _pca(spark, sf_dir)
+    scores = md.pca(s, cols)[1]
+    return scores.select("id", F.round(sum((F.col(c) * F.col(c) for c in scores.columns if c != "id"), F.lit(0.0)), 6).alias("norm"))
