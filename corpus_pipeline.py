@@ -24,8 +24,8 @@ from flock.session import ensure_checkpoint_dir, materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near duplicates: shared five-word shingles of 0.8 or more.
 WIDTH, PERCENT = 5, 80
-#: Pairs of min-hashes by which the line stage tells near copies.
-BANDS = 6
+#: Pairs of least shingle hashes by which the line stage tells near copies.
+BANDS = 7
 
 
 def _row_key() -> Column:
@@ -41,27 +41,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _shingle_hashes(text: Column) -> Column:
     """Hashes of the text's five-word shingles (A-Z lower-cased); fewer words are one shingle."""
     words = F.regexp_extract_all(F.translate(text, ascii_uppercase, ascii_lowercase), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (WIDTH - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, WIDTH)))
 
+    def hashed(w: Column) -> Column:
+        first = F.sequence(F.lit(0), F.greatest(F.size(w) - WIDTH, F.lit(0)))
+        return F.transform(first, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WIDTH)]))
 
-def _bands(hashes: Column) -> Column:
-    """BANDS hashes, each of a pair of min-hashes."""
+    # A lambda's variable is taken once; a text's words named in the inner lambda would be found anew for every
+    # shingle, and a slice would copy them all.
+    return F.transform(F.array(words), hashed)[0]
 
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(seed))))
 
-    return F.array(*[F.xxhash64(F.lit(b), least(2 * b), least(2 * b + 1)) for b in range(BANDS)])
+def _bands(least: Column) -> Column:
+    """Hashes of the neighbouring pairs among a text's least shingle hashes (of the one, if there is but one)."""
+    pair = [F.when(F.get(least, b + 1).isNotNull() | F.lit(b == 0), F.xxhash64(F.get(least, b), F.get(least, b + 1))) for b in range(BANDS)]
+    return F.array_compact(F.array(*pair))
 
 
 def pages(docs: DataFrame) -> DataFrame:
     """(source, md5, page): texts of a source that share a band with another one, and the page they are: the
     least md5 among all that share one with them.  Others are pages of their own.
 
-    Two texts that share 0.8 of their shingles share a band in 998 of 1000 cases, texts with little in common
-    rarely; for the share of a line in its source it hardly matters if they do, since pages and pages with the
+    The BANDS + 1 least of a text's distinct shingle hashes are a random sample of its shingles, and near copies
+    have nearly the same ones: at 0.8 shared shingles a pair of neighbours among them is in both samples more
+    often than not, and one of BANDS pairs almost surely.  Texts with little in common rarely share one; for the share of a line in its source it hardly matters if they do, since pages and pages with the
     line fall alike.  Only hashes travel, least and greatest first taken in each task."""
     keyed = docs.where(F.col("source").isNotNull()).select("source", F.md5("text").alias("md5"), _shingle_hashes(F.col("text")).alias("hashes"))
-    keyed = materialize(keyed.select("source", "md5", F.explode(_bands(F.col("hashes"))).alias("band")))
+    keyed = keyed.select("source", "md5", F.slice(F.sort_array(F.array_distinct("hashes")), 1, BANDS + 1).alias("least"))
+    keyed = materialize(keyed.select("source", "md5", F.explode(_bands(F.col("least"))).alias("band")))
     shared = (keyed.groupBy("source", "band").agg(F.min("md5").alias("least"), F.max("md5").alias("most"))
               .where("least <> most").select("source", "band", "least"))
     met = keyed.join(hint_if_small(materialize(shared), 80), ["source", "band"])
@@ -72,8 +78,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; a source is the site.
 
     Copies and near copies are one page: else the lines of a document that makes much of its source would pass
-    for boilerplate, and every copy of it would lose them.  Near copies are told by min-hashes in DataFrame
-    functions alone.  Texts without words, or null, are one page of a source; a null source has no site."""
+    for boilerplate, and every copy of it would lose them.  Near copies are told by their least shingle hashes in
+    DataFrame functions alone.  Texts without words, or null, are one page of a source; a null source has no site."""
     docs = docs.select(*COLUMNS)
     full = docs.where(F.trim(F.coalesce("text", F.lit(""))) != "")
     other = pages(full).select(F.col("source").alias("_s"), F.col("md5").alias("_m"), "page")
