@@ -178,8 +178,8 @@ def seeded_trees(df: DataFrame, label: str, seeds=SEEDS, min_split: int = TREE["
 
 
 def two_levels(df: DataFrame, label: str) -> tuple:
-    """The two classes of a label in alphabetical order."""
-    levels = sorted(r[0] for r in df.select(label).distinct().limit(3).collect())
+    """The two classes of a label in alphabetical order (twice the one, if there is but one)."""
+    levels = sorted(r[0] for r in df.select(label).distinct().limit(3).collect()) or [None]
     if len(levels) > 2:
         raise ValueError(f"{label} has more than two classes")
     return levels[0], levels[-1]
