@@ -11,8 +11,8 @@ Verbatim stretches need no paragraphs.  Of every WINDOW neighbouring runs of
 GRAM_WORDS words the one with the smallest hash is an anchor, wherever it
 stands, so two texts that share GRAM_WORDS + WINDOW - 1 words in a row share an
 anchor, and the anchors of a stretch leave no word between them.  Only its ends
-remain: there the anchors' runs are lengthened word by word, as far as the
-longer run is in another document too.
+remain: there the words beyond the anchors are sorted, and neighbours in that order
+tell how far each anchor's run goes on in another document too.
 
 Each cluster keeps its first paragraph, each run of words its first document;
 the others are removals.  Neighbouring repeated sentences and stretches form a
@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 from ._util import hint_if_small, unused
 from ._words import U, _ranges, mix, set_keys, sets_of_words, span_hashes, text_slices, word_spans
 from .jaccard_join import ARRAYS, array_batch, resolve, tile_keys, tile_meetings
@@ -49,6 +50,10 @@ PASSAGE_WORDS = 30
 GAP_WORDS = 2 * (SENTENCE_WORDS - 1)
 #: Words of an anchor, and runs of words of which one is an anchor (no more than the words).
 GRAM_WORDS, WINDOW = 25, 25
+#: Bytes of a word's hash where words beyond an anchor are compared (the anchors are equal by 64 bits),
+#: and ends that a task holds at once to fold equal ones.
+WORD_BYTES, FOLD_ROWS = 6, 100_000
+ENDS = ["g", "run", "more", "doc_id", "row", "low", "high"]
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _LOW = 0xFFFFFFFF
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -211,26 +216,142 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   ["doc_id", "row", "word", "lo", "hi", "key"])
 
 
+def _ends(data: np.ndarray, offsets: np.ndarray, lists: pa.Array):
+    """The ends of anchors that may go on (``lists``: each text's word and side of them), with the runs of words that are
+    as much longer as the text allows, WINDOW - 1 words at most: text index, first word of the anchor, whether to the right,
+    words to go, key of the longest run, and the arrays of the texts' words."""
+    starts, ends, first = word_spans(data, offsets)
+    words = span_hashes(data, starts, ends)
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    word, right = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    word = word + first[owner]
+    n = np.clip(np.where(right, first[owner + 1] - word - GRAM_WORDS, word - first[owner]), 0, WINDOW - 1)
+    some = n > 0
+    owner, word, right, n = owner[some], word[some], right[some], n[some]
+    keys = _sequences(words, _BASES[1])(word - np.where(right, 0, n), word + GRAM_WORDS + np.where(right, n, 0))
+    return owner, word, right, n, mix(keys + right.astype(U), 65), (starts, ends, first, words)
+
+
+def _fold(table: pa.Table) -> pa.Table:
+    """One row for each longest run: its first place, and the least and the largest ``row`` that have it."""
+    table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("row", "ascending")], null_placement="at_start"))
+    run, low, high = (table.column(c).to_numpy() for c in ("run", "low", "high"))
+    order = np.argsort(run, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], run[order][1:] != run[order][:-1]]))
+    out = table.select(["g", "run", "more", "doc_id", "row"]).take(pa.array(order[heads]))
+    return out.append_column("low", pa.array(np.minimum.reduceat(low[order], heads))).append_column("high", pa.array(np.maximum.reduceat(high[order], heads)))
+
+
+def _end_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words beyond each end, nearest first, WORD_BYTES each.  ``g``: the anchor, the side and the nearest word."""
+    pending, rows = [], 0
+    for batch in batches:
+        for a, data, offsets in text_slices(batch.column(2)):
+            owner, word, right, n, run, (_, _, _, words) = _ends(data, offsets, batch.column(3).slice(a, len(offsets) - 1))
+            if not len(owner):
+                continue
+            step = np.arange(WINDOW - 1)
+            at = np.where(right, word + GRAM_WORDS, word - 1)[:, None] + np.where(right, 1, -1)[:, None] * step
+            inside = step < n[:, None]
+            beyond = mix(words, 66)[np.where(inside, at, 0)] >> U(64 - 8 * WORD_BYTES)
+            raw = beyond.astype(">u8").view(np.uint8).reshape(len(n), WINDOW - 1, 8)[:, :, 8 - WORD_BYTES:][inside]
+            cuts = np.concatenate([[0], np.cumsum(n * WORD_BYTES)]).astype(np.int32)
+            more = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(raw))])
+            anchor = _sequences(words, _BASES[0])(word, word + GRAM_WORDS)
+            g = mix(mix(anchor + right.astype(U), 67) + beyond[:, 0], 68)
+            place = pa.array(owner + a)
+            row = batch.column(1).take(place)
+            pending.append(pa.table([pa.array(g.view(np.int64)), pa.array(run.view(np.int64)), more, batch.column(0).take(place), row, row, row], ENDS))
+            rows += len(n)
+            if rows > FOLD_ROWS:  # copies in one task are one row
+                pending = [_fold(pa.concat_tables(pending))]
+                rows = len(pending[0])
+                if 2 * rows > FOLD_ROWS:
+                    yield from pending[0].combine_chunks().to_batches()
+                    pending, rows = [], 0
+    if pending:
+        yield from _fold(pa.concat_tables(pending)).combine_chunks().to_batches()
+
+
+def reaches(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ENDS, sorted by (g, more): its words, how many of them a smaller place has too, and how many any other
+    row has.  Rows that share their first m words are neighbours, so each m takes a minimum over runs of rows."""
+    more = pa.concat_arrays(table.column("more").chunks).cast(pa.large_binary())
+    bounds = np.frombuffer(more.buffers()[1], np.int64)[more.offset:more.offset + len(more) + 1]
+    n = np.diff(bounds) // WORD_BYTES
+    g, row, low, high = (table.column(c).to_numpy() for c in ("g", "row", "low", "high"))
+    width = (WINDOW - 1) * WORD_BYTES
+    words = np.zeros((len(n), width), np.uint8)
+    words[np.arange(width) < (n * WORD_BYTES)[:, None]] = np.frombuffer(more.buffers()[2], np.uint8)[bounds[0]:bounds[-1]]
+    same = (words[1:] == words[:-1]).reshape(len(n) - 1, WINDOW - 1, WORD_BYTES).all(2)
+    shared = np.where(same.all(1), WINDOW - 1, same.argmin(1))
+    shared = np.where(g[1:] == g[:-1], np.minimum(shared, np.minimum(n[1:], n[:-1])), 0)
+    order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("row", "ascending")], null_placement="at_start").to_numpy()
+    place = np.empty(len(n), np.int64)
+    place[order] = np.concatenate([[0], np.cumsum(row[order][1:] != row[order][:-1])])
+    smaller, other = np.zeros(len(n), np.int32), np.where(low < high, n, 0).astype(np.int32)
+    for m in range(1, WINDOW):
+        new = np.concatenate([[True], shared < m])
+        if new.all():
+            break
+        heads, part = np.flatnonzero(new), np.cumsum(new) - 1
+        far = n >= m
+        smaller[far & (np.minimum.reduceat(place, heads)[part] < place)] = m
+        wide = np.minimum.reduceat(low, heads) < np.maximum.reduceat(high, heads)
+        other[far & wide[part]] = np.maximum(other[far & wide[part]], m)
+    return n, smaller, other
+
+
+def _reach_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ends whose longest run no smaller place has, from rows of ENDS sorted by (g, more), groups of ``g`` whole."""
+    def work(parts):
+        table = pa.Table.from_batches(parts)
+        n, smaller, other = reaches(table)
+        pick = pa.array(np.flatnonzero(smaller < n))
+        out = pa.table([table.column("row"), table.column("run"), pa.array(smaller), pa.array(other)], ["row", "run", "smaller", "other"]).take(pick)
+        yield from out.combine_chunks().to_batches()
+
+    pending: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(g, g[-1], "left"))
+        if pending and (cut or pending[-1].column(0)[-1].as_py() != g[0]):
+            yield from work(pending + [batch.slice(0, cut)])
+            pending = []
+        elif cut:
+            yield from work([batch.slice(0, cut)])
+        pending.append(batch.slice(cut))
+    if pending:
+        yield from work(pending)
+
+
 def _longer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of words around anchors that are 1 to WINDOW - 1 words longer, to the left or to the right."""
+    """The runs of words around anchors, lengthened as far as a smaller place has them too, and as far as any other has."""
     for batch in batches:
         for a, data, offsets in text_slices(batch.column(2)):
-            starts, ends, first = word_spans(data, offsets)
-            key = _sequences(span_hashes(data, starts, ends), _BASES[1])
-            lists = batch.column(3).slice(a, len(first) - 1)
-            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            word, right = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            word = word + first[owner]
-            room = np.where(right, first[owner + 1] - word - GRAM_WORDS, word - first[owner])
-            n = np.clip(room, 0, WINDOW - 1)
-            more = _ranges(np.ones(len(n), np.int64), n)
-            word, right, owner = np.repeat(word, n), np.repeat(right, n), np.repeat(owner, n)
-            low, high = word - np.where(right, 0, more), word + GRAM_WORDS + np.where(right, more, 0)
-            rows = pa.array(owner + a)
-            ints = [low - first[owner], high - first[owner]]
-            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(x.astype(np.int32)) for x in ints],
-                                   *[pa.array(x) for x in _bounds(starts, ends, offsets, owner, low, high)], pa.array(key(low, high).view(np.int64))],
-                                  ["doc_id", "row", "word", "word_end", "lo", "hi", "key"])
+            owner, word, right, n, run, (starts, ends, first, _) = _ends(data, offsets, batch.column(3).slice(a, len(offsets) - 1))
+            known = batch.column(4).slice(a, len(offsets) - 1)
+            text = np.repeat(np.arange(len(known)), known.value_lengths().to_numpy(zero_copy_only=False))
+            key, smaller, other = (known.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            key = mix(mix(text.astype(U), 69) + key.view(U), 70)
+            order = np.argsort(key)
+            mine = mix(mix(owner.astype(U), 69) + run, 70)
+            at = np.minimum(np.searchsorted(key[order], mine), max(len(key) - 1, 0))
+            reach = [n, n]  # an end that is not told of has a copy in a smaller place
+            if len(key):
+                told = key[order][at] == mine
+                reach = [np.where(told, x[order][at], n) for x in (smaller, other)]
+            for kept, far, pick in ((False, reach[0], reach[0] > 0), (True, reach[1], reach[1] > reach[0])):
+                w, o, side, far = word[pick], owner[pick], right[pick], far[pick]
+                low, high = w - np.where(side, 0, far), w + GRAM_WORDS + np.where(side, far, 0)
+                rows = pa.array(o + a)
+                ids = batch.column(0).take(rows)
+                ints = [low - first[o], high - first[o]]
+                yield pa.record_batch([ids, batch.column(1).take(rows), pa.array(np.full(len(o), kept)), *[pa.array(x.astype(np.int32)) for x in ints],
+                                       *[pa.array(x) for x in _bounds(starts, ends, offsets, o, low, high)], ids if kept else pa.nulls(len(o), ids.type)],
+                                      ["doc_id", "row", "kept", "word", "word_end", "lo", "hi", "home"])
 
 
 def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,12 +379,13 @@ def _stretches(d: DataFrame, kind: str) -> DataFrame:
     """Runs of words that repeat verbatim in another document, those of one ``kept`` that touch as one."""
     place, text = F.struct("doc_id", "row"), ["doc_id", "row"]
 
-    def repeated(runs: DataFrame) -> DataFrame:
-        maybe = runs.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min(place).alias("first")).where("low <> high")
-        found = runs.join(hint_if_small(materialize(maybe.select("key", "first")), 40), "key")
-        return found.withColumn("kept", F.col("row") == F.col("first.row")).withColumn("home", F.col("first.doc_id"))
-    found = materialize(d.mapInArrow(_anchor_rows, f"doc_id {kind}, row long, word int, lo long, hi long, key long"))
-    found = materialize(repeated(found).drop("first").withColumn("word_end", F.col("word") + GRAM_WORDS))
+    every = materialize(d.mapInArrow(_anchor_rows, f"doc_id {kind}, row long, word int, lo long, hi long, key long"))
+    again = every.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min(place).alias("first")).where("low <> high")
+    again = materialize(again.select("key", "first"))
+    found = every.join(hint_if_small(again, 40), "key").select(
+        *text, "word", (F.col("word") + GRAM_WORDS).alias("word_end"), "lo", "hi", "key", (F.col("row") == F.col("first.row")).alias("kept"), F.col("first.doc_id").alias("home"))
+    found = materialize(found)
+    release(every, again)
     # anchors near an end of a stretch, and where these anchors stand in all documents
     inside = Window.partitionBy(*text).orderBy("word")
     ends = found.select(*text, "word", "key", (F.col("word") - F.lag("word").over(inside) <= GRAM_WORDS).alias("goes_on"))
@@ -275,10 +397,17 @@ def _stretches(d: DataFrame, kind: str) -> DataFrame:
         "row", F.explode(F.filter(F.array(F.when(F.col("left"), F.struct("word", F.lit(False).alias("right"))),
                                           F.when(F.col("right"), F.struct("word", F.lit(True).alias("right")))), lambda x: x.isNotNull())).alias("spot"))
     spots = materialize(spots.groupBy("row").agg(F.collect_set("spot").alias("spots")))  # a document's own
-    longer = d.join(hint_if_small(spots, 200), "row").select(*text, "text", "spots").mapInArrow(
-        _longer_rows, f"doc_id {kind}, row long, word int, word_end int, lo long, hi long, key long")
+    release(ends)
+    beyond = d.join(hint_if_small(spots, 200), "row").select(*text, "text", "spots").mapInArrow(
+        _end_rows, f"g long, run long, more binary, doc_id {kind}, row long, low long, high long")
+    far = beyond.repartition("g").sortWithinPartitions("g", "more").mapInArrow(_reach_rows, "row long, run long, smaller int, other int")
+    far = far.groupBy("row").agg(F.collect_set(F.struct("run", "smaller", "other")).alias("far"))  # a document's own
+    both = spots.join(hint_if_small(materialize(far), 200), "row", "left")
+    both = materialize(both.withColumn("far", F.coalesce("far", F.array().cast(far.schema["far"].dataType))))
+    longer = d.join(hint_if_small(both, 400), "row").select(*text, "text", "spots", "far").mapInArrow(
+        _longer_rows, f"doc_id {kind}, row long, kept boolean, word int, word_end int, lo long, hi long, home {kind}")
     columns = [*text, "kept", "word", "word_end", "lo", "hi", "home"]
-    ranges = found.select(columns).unionByName(repeated(materialize(longer)).select(columns))
+    ranges = found.select(columns).unionByName(longer.select(columns))
     alike = Window.partitionBy(*text, "kept").orderBy("word")
     reach = F.max("word_end").over(alike.rowsBetween(Window.unboundedPreceding, -1))
     ranges = ranges.withColumn("new", F.when(F.col("word") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(alike.rowsBetween(Window.unboundedPreceding, 0)))
@@ -360,11 +489,12 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     * Null and empty texts have no passages.  Null ids sort first.  Documents
       without a repeat give no row.  Other columns are not read.
 
-    Scale: texts are read six times and not shuffled (unless the documents with
+    Scale: texts are read seven times and not shuffled (unless the documents with
     anchors that repeat are too many to broadcast; then they are joined).  Shuffled are
     the keys of sentences and of anchors (combined per task, so a hot passage is one row
-    per task; an anchor for every 13 words), up to WINDOW - 1 rows for an anchor near
-    the end of a stretch, and the tile and band rows of paragraphs, where copies in a task count once.  A band's c paragraphs give
+    per task; an anchor for every 13 words), a row with the next WINDOW - 1 words for an anchor near
+    the end of a stretch (equal ones of a task are one; they are dealt by anchor, side and nearest word, so a
+    task holds the different ends that share these), and the tile and band rows of paragraphs, where copies in a task count once.  A band's c paragraphs give
     c - 1 meetings, and clusters are verified in bounded chunks.
     """
     d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
@@ -403,6 +533,8 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
         *spot, ((F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line")) & same).alias("head"), F.col("first.doc_id").alias("home"))
     marked = (by_sentence.unionByName(by_near).groupBy("doc_id", "row", "ordinal")
               .agg(*[F.min(c).alias(c) for c in ("word", "word_end", "lo", "hi")], F.min("head").alias("kept"), F.min("home").alias("home")))
+    marked = materialize(marked)
+    release(sentences, again, equal, lines, met, near)
     ranges = marked.unionByName(_stretches(d, kind).withColumn("ordinal", F.lit(-1)))
     ranges = ranges.groupBy("doc_id", "row").agg(F.collect_list(F.struct("word", "word_end", "lo", "hi", "kept", "ordinal", "home")).alias("ranges"))  # a document's own
     out = ranges.mapInArrow(_passage_rows(passage_words), f"doc_id {kind}, text_key long, start long, length long, n_words long, kept boolean, homes array<{kind}>")
