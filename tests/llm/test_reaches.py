@@ -30,7 +30,7 @@ def brute(batch):
         own = len(r["more"]) // module.WORD_BYTES
         near = [(x, shared(r["more"], x["more"])) for x in rows if x["g"] == r["g"]]
         smaller = max([n for x, n in near if key(x) < key(r)], default=0)
-        other = max([n for x, n in near if x["row"] != r["row"]] + [own if r["low"] < r["high"] else 0], default=0)
+        other = max([n for x, n in near if {x["row"], x["low"], x["high"]} != {r["row"]}], default=0)
         out.append((own, smaller, other))
     return out
 
