@@ -9,7 +9,7 @@ from flock.llm import substring_dedup as module
 
 def ends(rows):
     """Rows of ENDS, sorted, from (g, words, doc_id, row, low, high)."""
-    raw = sorted((g, b"".join(w.to_bytes(module.WORD_BYTES, "big") for w in words), *rest) for g, words, *rest in rows)
+    raw = sorted(((g, b"".join(w.to_bytes(module.WORD_BYTES, "big") for w in words), *rest) for g, words, *rest in rows), key=lambda r: r[:2])
     g, more, doc, row, low, high = (list(c) for c in zip(*raw))
     run = [hash((a, b)) >> 1 for a, b in zip(g, more)]
     return pa.record_batch([pa.array(g, pa.int64()), pa.array(run, pa.int64()), pa.array(more, pa.binary()), pa.array(doc, pa.int64()),
