@@ -38,7 +38,18 @@ def recode_exact(c, mapping: dict) -> Column:
     return expr.otherwise(col) if expr is not None else col
 
 
+#: Texts that are numbers: a decimal with an optional exponent, blanks around it.  Spark's own cast also
+#: takes a type letter at the end (``12f``), which is no number here.
+NUMBER_TEXT = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
+
+
+def r_numeric(c) -> Column:
+    """R ``as.numeric`` of text or numbers: text that is no decimal number becomes null."""
+    text = _c(c).cast("string")
+    return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
+
+
 def r_integer(c) -> Column:
-    """R ``as.integer`` of text: truncate a number, bad text becomes null."""
-    return F.expr(f"try_cast(try_cast({c} as double) as int)") if isinstance(c, str) else \
-        c.try_cast("double").try_cast("int")
+    """R ``as.integer`` of text or numbers: truncated towards zero; bad text and what 32 bits
+    cannot hold become null."""
+    return r_numeric(c).try_cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import r_integer, r_numeric
 from ..operators import clean as cl
 from ..operators import profile as pr
 from ..operators.people import FEATURE_COLUMNS
@@ -395,6 +396,38 @@ def kde(spark, sf_dir):
     return d.withColumn("density", F.round("density", 9))
 
 
+@register("kde_binned", sql=q.with_adapter(RETENTION_SQL, KDE_SQL + """,
+b AS (SELECT p.*, value, coalesce((value - lo) / nullif((hi - lo) / 511, 0), 0) AS pos FROM v JOIN p USING (key)),
+l AS (SELECT key, pos, least(floor(pos), 510) AS j FROM b),
+w AS (SELECT key, j, sum(w) AS w FROM (SELECT key, j, 1 - (pos - j) AS w FROM l UNION ALL SELECT key, j + 1, pos - j FROM l) GROUP BY key, j)""", select="""
+SELECT g.key, g.i, round(g.x, 9) AS x,
+       round(coalesce(sum(w.w * exp(-0.5 * pow((g.i - w.j) * (hi - lo) / 511 / g.bw, 2))
+                          ) FILTER (abs(g.i - w.j) <= least(ceil(coalesce(8 * g.bw / nullif((hi - lo) / 511, 0), 512)), 512)), 0)
+             / 2.5066282746310002 / (g.n * g.bw), 9) AS density
+FROM g JOIN w ON w.key = g.key GROUP BY g.key, g.i, g.x, g.n, g.bw"""))
+def kde_binned(spark, sf_dir):
+    """The same density by linear binning on the grid."""
+    r = _retention(spark, sf_dir).where(F.col("retention_days") < 60)
+    d = pr.kde_binned(pr.gather(r, ["retention_days"]))
+    return d.withColumn("density", F.round("density", 9)).withColumn("x", F.round("x", 9))
+
+
+NUMBER_TEXTS = {"plain": "CAST(c_acctbal AS STRING)", "signed": "concat('-', substr(c_name, 10), '.75')", "blanks": "concat('  ', substr(c_name, 10), ' ')",
+                "exponent": "concat(substr(c_name, 10), 'e4')", "letter": "concat(substr(c_name, 10), 'f')", "words": "c_mktsegment", "missing": "CAST(NULL AS STRING)"}
+
+
+@register("text_numbers", sql="WITH t AS (" + "\nUNION ALL ".join(
+    f"SELECT c_custkey, '{k}' AS key, {e} AS text FROM customer" for k, e in NUMBER_TEXTS.items()) + r"""),
+n AS (SELECT c_custkey, key, CASE WHEN regexp_full_match(trim(text), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
+      THEN TRY_CAST(trim(text) AS DOUBLE) END AS as_numeric FROM t)
+SELECT c_custkey, key, as_numeric, TRY_CAST(trunc(as_numeric) AS INTEGER) AS as_integer FROM n""")
+def text_numbers(spark, sf_dir):
+    """Text as number and as integer, texts that are none of them as null."""
+    pairs = ", ".join(f"'{k}', {e}" for k, e in NUMBER_TEXTS.items())
+    t = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"stack({len(NUMBER_TEXTS)}, {pairs}) AS (key, text)")
+    return t.select("c_custkey", "key", r_numeric("text").alias("as_numeric"), r_integer("text").alias("as_integer"))
+
+
 @register("top_rows", sql=q.with_adapter(FEATURES_SQL, select="""
 SELECT id, total_check_ins, first_attendance FROM features ORDER BY id LIMIT 6"""))
 def top_rows(spark, sf_dir):

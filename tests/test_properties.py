@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from flock.functions import numeric
 from flock.operators import metrics, profile, ranks, sampling, smooth
 
 
@@ -53,6 +54,31 @@ def test_kde_equals_direct_sum(spark):
     assert np.allclose(got.density.to_numpy(), want, rtol=1e-10)
 
 
+def test_binned_kde_within_its_bound(spark):
+    x = np.random.default_rng(3).gamma(2.0, 5.0, 2000)
+    rows = [("a", float(v)) for v in x] + [("b", 4.0)] * 5 + [("c", 1.0), ("c", 900.0), ("a", None)]
+    long = spark.createDataFrame(rows, "key string, value double")
+    exact = profile.kde(long, n_points=128).toPandas().sort_values(["key", "i"])
+    got = profile.kde_binned(long, n_points=128).toPandas().sort_values(["key", "i"])
+    assert got[["key", "i"]].values.tolist() == exact[["key", "i"]].values.tolist() and np.allclose(got.x, exact.x)
+    q1, q3 = np.percentile(x, [25, 75])
+    bw = 0.9 * min(np.std(x, ddof=1), (q3 - q1) / 1.34) * len(x) ** -0.2
+    step = (x.max() - x.min()) / 127
+    off = np.abs(got.density.to_numpy() - exact.density.to_numpy())[(got.key == "a").to_numpy()]
+    assert 0 < off.max() <= step ** 2 / (8 * math.sqrt(2 * math.pi) * bw ** 3) + math.exp(-32) / bw
+    for key in "bc":
+        assert np.allclose(got.density[got.key == key].to_numpy(), exact.density[exact.key == key].to_numpy(), rtol=1e-9)
+    assert profile.kde_binned(long.where("false")).count() == 0
+
+
+def test_text_as_numbers(spark):
+    cases = {"12": (12.0, 12), " -3.9 ": (-3.9, -3), "1e3": (1000.0, 1000), ".5": (0.5, 0), "7.": (7.0, 7), "3e9": (3e9, None),
+             "12f": (None, None), "4D": (None, None), "1,000": (None, None), "": (None, None), "e5": (None, None), "x1": (None, None), None: (None, None)}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = df.select("t", numeric.r_numeric("t").alias("n"), numeric.r_integer(F.col("t")).alias("i")).collect()
+    assert {r.t: (r.n, r.i) for r in got} == cases
+
+
 def test_loess_reproduces_quadratic(spark):
     x = np.arange(40, dtype=float)
     y = 3 + 0.5 * x - 0.02 * x ** 2
