@@ -95,11 +95,14 @@ def _closed(stats: DataFrame, as_of, closed_filter: str) -> DataFrame:
 
 def account_stats(person: DataFrame, attendance: DataFrame, gift: DataFrame, person_att: DataFrame,
                   as_of, closed_filter: str = "literal", exclude_imported: bool = True) -> DataFrame:
-    """K4: accounts joined with first/last check-ins per month, closed months only."""
+    """K4: accounts joined with first/last check-ins per month, closed months only, in the
+    reference's order: months of first check-ins descending, months without any last."""
     acc = accounts(person, attendance, gift, exclude_imported)
     first, last = first_last_checkins(person_att)
+    first = first.withColumn("first_mo", F.col("mo"))
     stats = acc.join(first, "mo", "left").join(last, "mo", "left")
-    return _closed(stats, as_of, closed_filter).select(*STAT_COLUMNS)
+    order = F.col("first_mo").desc_nulls_last(), F.col("mo"), F.col("week_number")
+    return _closed(stats, as_of, closed_filter).orderBy(*order).select(*STAT_COLUMNS)
 
 
 def account_stats_v1(person: DataFrame, person_att: DataFrame, as_of) -> DataFrame:

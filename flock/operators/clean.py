@@ -130,6 +130,18 @@ def model2_dataset(clean: DataFrame, gender: str = "null") -> DataFrame:
     return df.withColumn("gender", g).withColumn(LABEL, label)
 
 
+def model2_dataset_v1(clean: DataFrame, person_type: int = 1) -> DataFrame:
+    """L10 of the first notebook: people of ``person_type``, adults and children, label 1 = stays.
+
+    ``clean``: the result of ``clean_people_v1``.  Gender, age class and the import flag become level indexes
+    (1-based, alphabetical over the levels of ``clean``, taken before any row is left out); a null stays null."""
+    df = clean.where((F.col("person_type") == person_type) & F.col("age_classification").isin(1, 2))
+    df = df.drop("person_type", "marital_status_value_id")
+    for col in ("gender", "age_classification", "is_imported"):
+        df = df.join(_levels(clean, col), col, "left").drop(col).withColumnRenamed("_level", col)
+    return df.withColumn(LABEL, F.when(F.col(LABEL) == "StayAtChurch", 1.0).otherwise(0.0))
+
+
 def _levels(df: DataFrame, col: str) -> DataFrame:
     """Level index of a factor (1-based, alphabetical).  The level table has one
     row per distinct value; it is joined back by value."""

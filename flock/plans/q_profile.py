@@ -258,7 +258,7 @@ def clean_people_fixed(spark, sf_dir):
     return _clean(spark, sf_dir, "fixed", keep_serving=True)
 
 
-@register("clean_people_v1", sql=q.with_adapter(OUTLIER_SQL, select=f"""
+CLEAN_V1_SQL = f"""
 SELECT id, person_type, total_check_ins, time_to_activate, is_imported, days_to_first_attendance,
        months_between_first_and_last_attendance, gender, coalesce(age, 0) AS age,
        {first_match_sql('CAST(marital_status_value_id AS VARCHAR)', cl.MARITAL_RECODE_V1)}
@@ -269,12 +269,29 @@ SELECT id, person_type, total_check_ins, time_to_activate, is_imported, days_to_
          AS two_months_without_activity
 FROM features
 WHERE time_to_activate > 0 AND {not_outlier('age', 'coalesce(age, 0)')} AND {not_outlier('people_in_family')}
-  AND {not_outlier('time_to_activate')} AND {not_outlier('months_between_first_and_last_attendance')}"""))
+  AND {not_outlier('time_to_activate')} AND {not_outlier('months_between_first_and_last_attendance')}"""
+
+
+@register("clean_people_v1", sql=q.with_adapter(OUTLIER_SQL, select=CLEAN_V1_SQL))
 def clean_people_v1(spark, sf_dir):
     """The first notebook's cleaning."""
     return cl.clean_people_v1(_people_shared(spark, sf_dir))
 
 
+@register("model2_dataset_v1", sql=q.with_adapter(OUTLIER_SQL, f"clean AS ({CLEAN_V1_SQL})", select="""
+SELECT c.* EXCLUDE (person_type, marital_status_value_id)
+       REPLACE (g.lvl AS gender, a.lvl AS age_classification, m.lvl AS is_imported,
+                CASE WHEN two_months_without_activity = 'StayAtChurch' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS two_months_without_activity)
+FROM clean c""" + "".join(f"""
+LEFT JOIN (SELECT {col} AS v, CAST(dense_rank() OVER (ORDER BY CAST({col} AS VARCHAR)) AS DOUBLE) AS lvl
+           FROM clean WHERE {col} IS NOT NULL GROUP BY {col}) {t} ON {t}.v = c.{col}"""
+    for t, col in (("g", "gender"), ("a", "age_classification"), ("m", "is_imported"))) + """
+WHERE person_type = 1 AND c.age_classification IN (1, 2)"""))
+def model2_dataset_v1(spark, sf_dir):
+    """L10 of the first notebook: one person type, gender as level index."""
+    return cl.model2_dataset_v1(materialize(cl.clean_people_v1(_people_shared(spark, sf_dir))))
+
+
 MODEL2_SQL = """
 lv_age AS (SELECT age_classification,
                   CAST(row_number() OVER (ORDER BY CAST(age_classification AS VARCHAR)) AS DOUBLE) AS lvl
