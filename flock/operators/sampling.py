@@ -33,8 +33,9 @@ def _in_buckets(df: DataFrame, strata: str, seed: int, key: str) -> DataFrame:
     offsets = (buckets.withColumn("_off", F.coalesce(F.sum("_cnt").over(ordered), F.lit(0)))
                .withColumn("_n", F.sum("_cnt").over(Window.partitionBy(strata)))
                .select(F.col(strata).alias("_s"), F.col("_b").alias("_bb"), "_off", "_n"))
-    # null strata form their own stratum (null-safe join)
-    j = h.join(offsets, F.col(strata).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_bb"))) \
+    # null strata form their own stratum (null-safe join); every row has its bucket, the outer join only keeps the
+    # rows, whose size is guessed too small from compressed files, from being the side that is broadcast
+    j = h.where(F.col("_b").isNotNull()).join(offsets, F.col(strata).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_bb")), "left") \
         .drop("_s", "_bb")
     rank = F.col("_off") + F.row_number().over(Window.partitionBy(strata, "_b").orderBy("_h", key))
     return j.withColumn("_rank", rank).drop("_h", "_b", "_off")
@@ -58,28 +59,35 @@ def stratified_folds(df: DataFrame, strata: str, folds: int = 10, seed: int = 98
 def stratified_splits(df: DataFrame, strata: str, seeds: tuple[int, ...], prop: float = 0.8, key: str = "id",
                       out: str = "in_train") -> DataFrame:
     """Adds the array ``out``: for each seed, whether the row is in the training part that
-    ``stratified_split`` gives it.  ``df`` is read twice for all seeds together and never moved.
+    ``stratified_split`` gives it.  ``df`` is read three times for all seeds together and never moved.
 
     A split is told by one row of each stratum, the last training row by (hash, key).  Counts per (seed, stratum,
     hash bucket) find the bucket it lies in, and only the rows of these buckets (n / 65,536 of a stratum) are
     ordered.  Each row is then compared with its stratum's last training rows."""
     hashes = F.array(*[hash_rank(s, key) for s in seeds])
-    each = df.select(F.col(strata).alias("_s"), F.col(key).alias("_k"), F.posexplode(hashes).alias("_i", "_h"))
-    each = each.withColumn("_b", F.substring("_h", 1, BUCKET_HEX))
-    per = each.groupBy("_i", "_s", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    each = df.select(F.col(strata).alias("_s"), F.posexplode(hashes).alias("_i", "_h"))
+    per = each.groupBy("_i", "_s", F.substring("_h", 1, BUCKET_HEX).alias("_b")).agg(F.count(F.lit(1)).alias("_cnt"))
     whole = Window.partitionBy("_i", "_s")
     before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = (per.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
            .withColumn("_take", F.floor(F.sum("_cnt").over(whole) * prop)))
     here = per.where((F.col("_off") < F.col("_take")) & (F.col("_off") + F.col("_cnt") >= F.col("_take")))
-    here = here.select(F.col("_i").alias("_i2"), F.col("_s").alias("_s2"), F.col("_b").alias("_b2"), "_off", "_take")
-    found = each.join(here, (F.col("_i") == F.col("_i2")) & F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_b") == F.col("_b2")))
+    # one row per stratum: the bucket of its last training row under each seed.  The hint names the side to broadcast
+    # (a row a stratum): left to itself Spark may take the rows, whose size it guesses from compressed files and
+    # before the hashes of all seeds are made
+    here = here.groupBy(F.col("_s").alias("_s2")).agg(*[F.max(F.when(F.col("_i") == i, F.struct("_b", "_off", "_take"))).alias(f"_at{i}")
+                                                       for i in range(len(seeds))])
+    near = [F.when(F.substring(hash_rank(s, key), 1, BUCKET_HEX) == F.col(f"_at{i}._b"),
+                   F.struct(F.lit(i).alias("_i"), hash_rank(s, key).alias("_h"), f"_at{i}._b", f"_at{i}._off", f"_at{i}._take"))
+            for i, s in enumerate(seeds)]
+    found = df.join(F.broadcast(here), F.col(strata).eqNullSafe(F.col("_s2"))).select(
+        F.col(strata).alias("_s"), F.col(key).alias("_k"), F.inline(F.filter(F.array(*near), F.isnotnull)))
     rank = F.col("_off") + F.row_number().over(Window.partitionBy("_i", "_s", "_b").orderBy("_h", "_k"))
     last = found.withColumn("_r", rank).where(F.col("_r") == F.col("_take"))
     # one row per stratum: its last training row under each seed
     ends = last.groupBy(F.col("_s").alias("_s2")).agg(*[F.max(F.when(F.col("_i") == i, F.struct("_h", "_k"))).alias(f"_end{i}")
                                                        for i in range(len(seeds))])
-    j = df.join(ends, F.col(strata).eqNullSafe(F.col("_s2")), "left")
+    j = df.join(F.broadcast(ends), F.col(strata).eqNullSafe(F.col("_s2")), "left")
     mine = [F.coalesce(F.struct(hash_rank(s, key).alias("_h"), F.col(key).alias("_k")) <= F.col(f"_end{i}"), F.lit(False))
             for i, s in enumerate(seeds)]
     return j.withColumn(out, F.array(*mine)).drop("_s2", *[f"_end{i}" for i in range(len(seeds))])

@@ -33,6 +33,18 @@ def test_splits_of_all_seeds_equal_each_split(spark):
     assert all(v == [False] for v in (r.in_train for r in sm.stratified_splits(df, "s", (1,), prop=0.0).collect()))
 
 
+def test_splits_never_broadcast_the_rows(spark, tmp_path):
+    path = str(tmp_path / "people")
+    spark.range(4000).select("id", F.when(F.col("id") % 7 > 0, "a").otherwise("b").alias("s")).write.parquet(path)
+    df = spark.read.parquet(path)
+    out = sm.stratified_splits(df, "s", md.SEEDS)
+    got = out.collect()
+    train = {"a": 3428 * 8 // 10, "b": 572 * 8 // 10}
+    assert all(sum(r.in_train[i] for r in got if r.s == s) == n for s, n in train.items() for i in range(len(md.SEEDS)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "BuildRight" in plan and "BuildLeft" not in plan
+
+
 def test_folds_do_not_change_with_the_layout(spark):
     df = _people(spark, 203)
     a, b = ({r.id: r.fold for r in sm.stratified_folds(df.repartition(p), "y", 10, 987).collect()} for p in (1, 7))
