@@ -1,12 +1,12 @@
 """Histogram trees grown level by level: L6 (class trees), L12-L14 (second-order boosting).
 
 Rows carry the bin of every feature (an array) and the sums a split is judged
-by: class weights for a class tree, gradient and Hessian for boosting.  A round
-sends every open node of every tree through one grouped aggregate over (tree,
-node, feature, bin), combined in each task before the exchange; the split of a
-node is then searched in its own histogram (features x bins rows, whatever the
-data).  Only the chosen splits, a row per node, reach the driver, and rows find
-their node by an expression, so the data is read once a round and never moved.
+by: class weights for a class tree, gradient and Hessian for boosting.  In a
+round each task leads its rows down the splits so far and sums those in open
+nodes per (tree, node, feature, bin) in arrays of bounded size; only these sums
+meet in the exchange, and the split of a node is then searched in its own
+histogram (features x bins rows, whatever the data).  Only the chosen splits, a
+row per node, reach the driver; the data is read once a round and never moved.
 Several trees (ten seeds, say) grow in the same rounds.
 """
 
@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,43 +149,104 @@ def best_split(hist: pd.DataFrame, text: set[int], rules: Rules) -> pd.DataFrame
 
     Bins of a text feature are tried in the order of their b / a, which finds the best two sets for two classes.
     Missing values go to the side that gains more (the right one in a tie).  Ties: first feature, first cut."""
-    first = hist["feature"].min()
-    whole = hist.loc[hist["feature"] == first, ["n", "a", "b"]].sum()
-    n, a, b = (float(whole[c]) for c in ("n", "a", "b"))
+    hist = hist.sort_values(["feature", "bin"])
+    at, bin_, sums = hist["feature"].to_numpy(), hist["bin"].to_numpy(), hist[["n", "a", "b"]].to_numpy(dtype=float)
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    whole = sums[at == at[0]].sum(axis=0)
+    n, a, b = map(float, whole)
     best = (rules.min_gain, -1, (), False, 0.0, 0.0, 0.0)
     base = float(rules.score(np.array(a), np.array(b)))
-    for f, h in hist.groupby("feature", sort=True):
-        miss = h[h["bin"] == MISSING][["n", "a", "b"]].sum().to_numpy(dtype=float)
-        h = h[h["bin"] != MISSING]
+    for lo, hi in zip(starts, [*starts[1:], len(at)]):
+        f, h, values = int(at[lo]), sums[lo:hi], bin_[lo:hi]
+        miss = np.zeros(3)
+        if values[0] == MISSING:
+            miss, h, values = h[0], h[1:], values[1:]
         if f in text:
-            h = h.assign(rate=h["b"] / np.where(h["a"] == 0, 1e-300, h["a"])).sort_values(["rate", "bin"])
-        else:
-            h = h.sort_values("bin")
-        cum = h[["n", "a", "b"]].to_numpy(dtype=float).cumsum(axis=0)
+            order = np.lexsort((values, h[:, 2] / np.where(h[:, 1] == 0, 1e-300, h[:, 1])))
+            h, values = h[order], values[order]
+        cum = h.cumsum(axis=0)
         for to_left in ((False, True) if miss[0] else (False,)):
             left = cum + miss if to_left else cum
-            right = np.array([n, a, b]) - left
+            right = whole - left
             ok = (left[:, 0] >= rules.min_rows) & (right[:, 0] >= rules.min_rows) & (left[:, 1] >= rules.min_a) & (right[:, 1] >= rules.min_a)
             if not ok.any():
                 continue
             gain = np.where(ok, rules.score(left[:, 1], left[:, 2]) + rules.score(right[:, 1], right[:, 2]) - base, -np.inf)
             i = int(gain.argmax())
             if gain[i] > best[0] * (1 + 1e-12):
-                bins = h["bin"].to_numpy()[:i + 1]
-                bins = bins if f in text else np.arange(bins.max() + 1)
-                best = (float(gain[i]), int(f), tuple(int(x) for x in bins), to_left, *map(float, left[i]))
+                bins = values[:i + 1] if f in text else np.arange(values[i] + 1)
+                best = (float(gain[i]), f, tuple(int(x) for x in bins), to_left, *map(float, left[i]))
     gain, feature, bins, to_left, ln, la, lb = best
     return pd.DataFrame({"tree": [hist["tree"].iloc[0]], "node": [hist["node"].iloc[0]], "n": [n], "a": [a], "b": [b],
                          "gain": [gain if feature >= 0 else 0.0], "feature": [feature], "left_bins": [list(bins)], "missing_left": [to_left],
                          "ln": [ln], "la": [la], "lb": [lb]})
 
 
-def _histograms(rows: dict[int, DataFrame], node: dict[int, Column]) -> DataFrame:
-    """Of the open nodes of all trees; each tree's rows find their node by its own expression."""
-    each = [rows[t].select(F.lit(t).alias("tree"), at.alias("node"), "a", "b", "bins").where(F.col("node").isNotNull()) for t, at in node.items()]
-    open_rows = reduce(DataFrame.unionAll, each)
-    long = open_rows.select("tree", "node", "a", "b", F.posexplode("bins").alias("feature", "bin"))
-    return long.groupBy("tree", "node", "feature", "bin").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+#: Histogram cells (nodes x bins of all features) that one task holds for a tree; more nodes go to several readings.
+MAX_CELLS = 1 << 21
+_CELLS = "tree int, node long, feature int, bin int, n double, a double, b double"
+
+
+def _widths(features: list[Feature]) -> list[int]:
+    """Cells of each feature: its bins and one for MISSING, which comes first."""
+    return [max(len(f.cuts) + 1 if f.levels is None else len(f.levels), 1) + 1 for f in features]
+
+
+def _histograms(rows: dict[int, DataFrame], wanted: dict[int, list[int]], known: dict[int, dict[int, Node]], features: list[Feature]) -> DataFrame:
+    """Of the wanted nodes of all trees: each task leads its rows down the known splits and sums them per (tree, node,
+    feature, bin); the sums of all tasks meet in one exchange, a row a cell."""
+    widths = _widths(features)
+    most = max(1, MAX_CELLS // max(1, sum(widths)))
+    each = [rows[t].select("bins", F.col("a").cast("double"), F.col("b").cast("double")).mapInArrow(
+        _partial_sums(t, nodes[i:i + most], known.get(t, {}), widths), _CELLS)
+        for t, nodes in wanted.items() for i in range(0, len(nodes), most)]
+    cells = reduce(DataFrame.unionAll, each)
+    return cells.groupBy("tree", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in "nab"])
+
+
+def _partial_sums(tree: int, wanted: list[int], known: dict[int, Node], widths: list[int]):
+    """For ``mapInArrow`` over (bins, a, b): the sums of a task's rows for the wanted nodes of one tree."""
+    slots = {k: i for i, k in enumerate(wanted)}  # the wanted nodes, then the splits above them
+    for k in wanted:
+        while k > 1:
+            k >>= 1
+            slots.setdefault(k, len(slots))
+    inner = list(slots)[len(wanted):]
+    feature = np.array([0] * len(wanted) + [known[k].feature for k in inner])
+    child = np.full((len(slots), 2), -1)  # left, right; -1: no wanted node lies there
+    left = np.zeros((len(slots), max(widths, default=1)), dtype=bool)
+    for k in inner:
+        child[slots[k]] = [slots.get(2 * k, -1), slots.get(2 * k + 1, -1)]
+        left[slots[k], [b + 1 for b in known[k].left_bins]] = True
+        left[slots[k], MISSING + 1] = known[k].missing_left
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((3, len(wanted) * w)) for w in widths]
+        for batch in batches:
+            cell = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(widths)) + 1
+            at = np.full(batch.num_rows, slots[1])
+            moving = np.flatnonzero(at >= len(wanted))
+            while len(moving):
+                k = at[moving]
+                k = child[k, np.where(left[k, cell[moving, feature[k]]], 0, 1)]
+                at[moving] = k
+                moving = moving[k >= len(wanted)]
+            here = np.flatnonzero(at >= 0)
+            if not len(here):
+                continue
+            at, cell = at[here], cell[here]
+            a, b = (np.nan_to_num(batch.column(i).to_numpy(zero_copy_only=False)[here]) for i in (1, 2))
+            for f, w in enumerate(widths):
+                key = at * w + cell[:, f]
+                for total, weights in zip(sums[f], (None, a, b)):
+                    total += np.bincount(key, weights, len(total))
+        for f, w in enumerate(widths):
+            found = np.flatnonzero(sums[f][0])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(found), tree), pa.int32()), pa.array([wanted[i] for i in found // w], pa.int64()),
+                pa.array(np.full(len(found), f), pa.int32()), pa.array(found % w - 1, pa.int32()),
+                *[pa.array(total[found], pa.float64()) for total in sums[f]]], names=["tree", "node", "feature", "bin", "n", "a", "b"])
+    return run
 
 
 def grow(rows: dict[int, DataFrame], features: list[Feature], rules: Rules) -> dict[int, Tree]:
@@ -199,17 +261,13 @@ def grow(rows: dict[int, DataFrame], features: list[Feature], rules: Rules) -> d
     def search(hist: pd.DataFrame) -> pd.DataFrame:
         return best_split(hist, text, rules)
 
-    def ask(wanted: dict[int, list[int]] | None) -> None:
-        if wanted is None:
-            node = {t: F.lit(1).cast("long") for t in rows}
-        else:
-            node = {t: _open_node(known[t], nodes) for t, nodes in wanted.items()}
-        for r in _histograms(rows, node).groupBy("tree", "node").applyInPandas(search, _BEST).collect():
+    def ask(wanted: dict[int, list[int]]) -> None:
+        for r in _histograms(rows, wanted, known, features).groupBy("tree", "node").applyInPandas(search, _BEST).collect():
             known.setdefault(r.tree, {})[r.node] = Node(r.n, r.a, r.b, r.gain, r.feature, tuple(r.left_bins), r.missing_left)
             if r.feature >= 0:
                 sums[r.tree, 2 * r.node], sums[r.tree, 2 * r.node + 1] = (r.ln, r.la, r.lb), (r.n - r.ln, r.a - r.la, r.b - r.lb)
 
-    ask(None)
+    ask({t: [1] for t in rows})
     while True:
         shapes = {t: _expand(known[t], {k: s for (u, k), s in sums.items() if u == t}, rules) for t in known}
         wanted = {t: missing for t, (_, missing) in shapes.items() if missing}
@@ -246,23 +304,6 @@ def _expand(known: dict[int, Node], sums: dict[int, tuple[float, float, float]],
     return tree, ([] if full and all(k >> 1 == last for k in missing) else missing)
 
 
-def _open_node(known: dict[int, Node], wanted: list[int]) -> Column:
-    """The wanted node that a row lies in, or null."""
-    paths = set()
-    for k in wanted:
-        while k:
-            paths.add(k)
-            k >>= 1
-
-    def at(k: int) -> Column:
-        if k in wanted:
-            return F.lit(k).cast("long")
-        if k not in paths:
-            return F.lit(None).cast("long")
-        return F.when(goes_left(F.col("bins"), known[k]), at(2 * k)).otherwise(at(2 * k + 1))
-    return at(1)
-
-
 # ---- class trees -------------------------------------------------------------------
 
 def gini_worth(a: np.ndarray, b: np.ndarray) -> np.ndarray:

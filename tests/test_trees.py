@@ -81,6 +81,22 @@ def test_several_trees_at_once_and_layout(spark):
         assert many[t].nodes == alone.nodes
 
 
+def test_histograms_are_summed_in_the_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(150, 2)).round(1)
+    m[::7, 1] = np.nan
+    rows, features = _rows(spark, m, (m[:, 0] > 0.2).astype(int) ^ (rng.random(150) < 0.2))
+    stats = {3: rows.select("bins", F.lit(1.0).alias("a"), F.col("label").alias("b"))}
+    rules = tr.class_rules(max_leaves=8, cp=0.0)
+    whole = tr.grow(stats, features, rules)
+    cells = tr._histograms(stats, {3: [2, 3]}, whole | {3: whole[3].nodes}, features)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan  # no row a feature of every row
+    assert {r.node: r.n for r in cells.groupBy("node", "feature").agg(F.sum("n").alias("n")).collect()} == {k: whole[3].nodes[k].n for k in (2, 3)}
+    monkeypatch.setattr(tr, "MAX_CELLS", 1)  # a reading for every node
+    assert tr.grow(stats, features, rules)[3].nodes == whole[3].nodes
+
+
 def test_text_levels_and_unseen(spark):
     rows = [(i, "abcde"[i % 5], float(i % 5 in (1, 4))) for i in range(100)]
     df = spark.createDataFrame(rows, "id long, kind string, label double")
