@@ -326,27 +326,37 @@ def prune(tree: Tree, cp: float) -> Tree:
     most ``cp`` of the root's errors."""
     nodes = dict(tree.nodes)
     limit = cp * _risk(nodes[1])
+    below: dict[int, tuple[float, int]] = {}  # errors and number of the leaves under each node
+    saves: dict[int, float] = {}  # errors that each split saves for every leaf it adds
 
-    def below(k: int) -> tuple[float, int]:
+    def sum_up(k: int) -> None:
         if nodes[k].feature < 0:
-            return _risk(nodes[k]), 1
-        (r, m), (s, n) = below(2 * k), below(2 * k + 1)
-        return r + s, m + n
+            below[k] = _risk(nodes[k]), 1
+            return
+        (r, m), (s, n) = below[2 * k], below[2 * k + 1]
+        below[k] = r + s, m + n
+        saves[k] = (_risk(nodes[k]) - below[k][0]) / (below[k][1] - 1)
 
     def drop(k: int) -> None:
         if nodes[k].feature >= 0:
+            saves.pop(k)
             for c in (2 * k, 2 * k + 1):
                 drop(c)
-                del nodes[c]
-
-    while True:
-        weakest = min((((_risk(v) - below(k)[0]) / (below(k)[1] - 1), k) for k, v in nodes.items() if v.feature >= 0), default=None)
-        if weakest is None or weakest[0] > limit:
-            return Tree(nodes)
-        k = weakest[1]
+                del nodes[c], below[c]
+
+    for k in sorted(nodes, reverse=True):  # children before their parents
+        sum_up(k)
+    while saves:
+        weakest, k = min((v, k) for k, v in saves.items())
+        if weakest > limit:
+            break
         drop(k)
         v = nodes[k]
         nodes[k] = Node(v.n, v.a, v.b)
+        while k:  # only the nodes above have changed
+            sum_up(k)
+            k >>= 1
+    return Tree(nodes)
 
 
 def majority(node: Node) -> float:

@@ -127,6 +127,40 @@ def test_pruning_by_complexity():
     assert set(tr.prune(tree, 0.6).nodes) == {1}
 
 
+def test_pruning_of_a_large_tree_is_not_repeated_for_every_node(monkeypatch):
+    rng = np.random.default_rng(4)
+    nodes, deep = {1: tr.Node(4096, 4096, 1500)}, []
+    for k in range(1, 2 ** 9):  # every node sums up its subtree, pruned or not
+        v, share = nodes[k], rng.uniform(0.2, 0.8, 2)
+        nodes[k] = tr.Node(v.n, v.a, v.b, feature=0)
+        a = v.a * share[0]
+        b = min(a, v.b * share[1])
+        nodes[2 * k], nodes[2 * k + 1] = tr.Node(a, a, b), tr.Node(v.a - a, v.a - a, min(v.b - b, v.a - a))
+
+    def leaves(k, kept):
+        return [k] if kept[k].feature < 0 else leaves(2 * k, kept) + leaves(2 * k + 1, kept)
+
+    want = dict(nodes)  # the plain way: the weakest split of the tree as it is, again and again
+    while inner := [k for k in want if want[k].feature >= 0]:
+        cost = {k: (tr._risk(want[k]) - sum(tr._risk(want[j]) for j in under)) / (len(under) - 1) for k in inner for under in [leaves(k, want)]}
+        k = min(cost, key=cost.get)
+        if cost[k] > 0.002 * tr._risk(nodes[1]):
+            break
+        keep, stack = {1}, [1]
+        want[k] = tr.Node(want[k].n, want[k].a, want[k].b)
+        while stack:
+            j = stack.pop()
+            if want[j].feature >= 0:
+                keep |= {2 * j, 2 * j + 1}
+                stack += [2 * j, 2 * j + 1]
+        want = {j: want[j] for j in keep}
+    risk = tr._risk
+    monkeypatch.setattr(tr, "_risk", lambda v: deep.append(1) or risk(v))
+    got = tr.prune(tr.Tree(nodes), 0.002)
+    assert set(got.nodes) == set(want) and 1 < len(want) < len(nodes)
+    assert len(deep) < 20 * len(nodes)  # each node once, then the nodes above a pruned one
+
+
 def plain_boost(m, y, rounds, eta, depth, reg, min_child):
     margin, total = np.zeros(len(y)), []
     for _ in range(rounds):
