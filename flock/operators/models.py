@@ -1,4 +1,4 @@
-"""Churn models on ``pyspark.ml`` (distributed trainers).
+"""Churn models on histogram trees, forests of full trees and ``pyspark.ml`` (distributed trainers).
 
 R's generator and single-machine trainers cannot be reproduced bit for bit
 (S38, S39): splits come from the keyed-hash stratified split, trees from
@@ -10,6 +10,7 @@ checkpoint.
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from ..session import materialize
+from . import forest as fo
 from . import moments as mo
 from . import trees
 from .report import classification_report
 from .sampling import stratified_folds, stratified_split, stratified_splits
+from .trees import fit_bins
 
 # Fixed values (reference): the ten split seeds and the model settings.
 SEEDS = (987, 887, 787, 687, 587, 487, 387, 287, 187, 87)
@@ -259,22 +262,24 @@ def gbt_round(df: DataFrame, label: str, seed: int) -> DataFrame:
 
 def importance(model, features: list[str]) -> DataFrame:
     """Feature importances as (feature, importance), largest first."""
-    est = model.stages[-1]
-    assembler = [s for s in model.stages if isinstance(s, VectorAssembler)][-1]
-    names = [c[:-5] if c.endswith("__idx") else c for c in assembler.getInputCols()]
-    imp = est.featureImportances.toArray().tolist()
-    return _spark().createDataFrame(list(zip(names, [float(x) for x in imp])), "feature string, importance double") \
-        .orderBy(F.desc("importance"), "feature")
+    if isinstance(model, fo.Forest):
+        table = model.importance()
+    else:
+        assembler = [s for s in model.stages if isinstance(s, VectorAssembler)][-1]
+        names = [c[:-5] if c.endswith("__idx") else c for c in assembler.getInputCols()]
+        table = list(zip(names, [float(x) for x in model.stages[-1].featureImportances.toArray().tolist()]))
+    return _spark().createDataFrame(table, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 def fit_forest(df: DataFrame, label: str, features: list[str] | None = None, trees: int = FOREST_TREES,
-               seed: int = 987, mtry: int | None = None, node_size: int = 1, max_depth: int = 30):
-    """Random forest of ``trees`` trees (sqrt(p) features per split unless ``mtry``)."""
+               seed: int = 987, mtry: int | None = None, node_size: int = 1, max_depth: int = 30) -> fo.Forest:
+    """Random forest of ``trees`` trees (sqrt(p) features per split unless ``mtry``) for a label of two classes."""
     features = features or feature_columns(df, label)
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, seed=seed,
-                                featureSubsetStrategy=str(mtry) if mtry else "sqrt",
-                                minInstancesPerNode=node_size, maxDepth=max_depth, maxBins=max_bins(df, features))
-    return Pipeline(stages=_label_stages(label) + feature_stages(df, features) + [rf]).fit(df)
+    high = two_levels(df, label)[1]
+    bins = fit_bins(df, features, max_bins(df, features))
+    rows = materialize(fo.rows_to_draw(df, F.col(label) == F.lit(high), bins))
+    mtry = min(mtry or math.ceil(math.sqrt(len(features))), len(features))
+    return fo.fit(rows, bins, fo.Settings(trees, mtry, node_size, max_depth, seed))
 
 
 def depth_for_leaves(max_nodes: int) -> int:

@@ -187,7 +187,7 @@ MAX_CELLS = 1 << 21
 _CELLS = "tree int, node long, feature int, bin int, n double, a double, b double"
 
 
-def _widths(features: list[Feature]) -> list[int]:
+def widths(features: list[Feature]) -> list[int]:
     """Cells of each feature: its bins and one for MISSING, which comes first."""
     return [max(len(f.cuts) + 1 if f.levels is None else len(f.levels), 1) + 1 for f in features]
 
@@ -195,17 +195,17 @@ def _widths(features: list[Feature]) -> list[int]:
 def _histograms(rows: dict[int, DataFrame], wanted: dict[int, list[int]], known: dict[int, dict[int, Node]], features: list[Feature]) -> DataFrame:
     """Of the wanted nodes of all trees: each task leads its rows down the known splits and sums them per (tree, node,
     feature, bin); the sums of all tasks meet in one exchange, a row a cell."""
-    widths = _widths(features)
-    most = max(1, MAX_CELLS // max(1, sum(widths)))
+    cells_of = widths(features)
+    most = max(1, MAX_CELLS // max(1, sum(cells_of)))
     each = [rows[t].select("bins", F.col("a").cast("double"), F.col("b").cast("double")).mapInArrow(
-        _partial_sums(t, nodes[i:i + most], known.get(t, {}), widths), _CELLS)
+        _partial_sums(t, nodes[i:i + most], known.get(t, {}), cells_of), _CELLS)
         for t, nodes in wanted.items() for i in range(0, len(nodes), most)]
     cells = reduce(DataFrame.unionAll, each)
     return cells.groupBy("tree", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in "nab"])
 
 
-def _partial_sums(tree: int, wanted: list[int], known: dict[int, Node], widths: list[int]):
-    """For ``mapInArrow`` over (bins, a, b): the sums of a task's rows for the wanted nodes of one tree."""
+def router(wanted: list[int], known: dict[int, Node], widths: list[int]) -> Callable[[np.ndarray], np.ndarray]:
+    """For the bins of many rows (rows x features): the place in ``wanted`` of the node that each row comes to, -1 if none."""
     slots = {k: i for i, k in enumerate(wanted)}  # the wanted nodes, then the splits above them
     for k in wanted:
         while k > 1:
@@ -220,21 +220,31 @@ def _partial_sums(tree: int, wanted: list[int], known: dict[int, Node], widths:
         left[slots[k], [b + 1 for b in known[k].left_bins]] = True
         left[slots[k], MISSING + 1] = known[k].missing_left
 
+    def run(bins: np.ndarray) -> np.ndarray:
+        at = np.full(len(bins), slots[1])
+        moving = np.flatnonzero(at >= len(wanted))
+        while len(moving):
+            k = at[moving]
+            k = child[k, np.where(left[k, bins[moving, feature[k]] + 1], 0, 1)]
+            at[moving] = k
+            moving = moving[k >= len(wanted)]
+        return at
+    return run
+
+
+def _partial_sums(tree: int, wanted: list[int], known: dict[int, Node], widths: list[int]):
+    """For ``mapInArrow`` over (bins, a, b): the sums of a task's rows for the wanted nodes of one tree."""
+    route = router(wanted, known, widths)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros((3, len(wanted) * w)) for w in widths]
         for batch in batches:
-            cell = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(widths)) + 1
-            at = np.full(batch.num_rows, slots[1])
-            moving = np.flatnonzero(at >= len(wanted))
-            while len(moving):
-                k = at[moving]
-                k = child[k, np.where(left[k, cell[moving, feature[k]]], 0, 1)]
-                at[moving] = k
-                moving = moving[k >= len(wanted)]
+            bins = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(widths))
+            at = route(bins)
             here = np.flatnonzero(at >= 0)
             if not len(here):
                 continue
-            at, cell = at[here], cell[here]
+            at, cell = at[here], bins[here] + 1
             a, b = (np.nan_to_num(batch.column(i).to_numpy(zero_copy_only=False)[here]) for i in (1, 2))
             for f, w in enumerate(widths):
                 key = at * w + cell[:, f]
