@@ -65,17 +65,20 @@ class Forest:
         return [(f.name, found.get(i, 0.0) / whole) for i, f in enumerate(self.features)]
 
 
-def rows_to_draw(df: DataFrame, target: Column, features: list[tr.Feature]) -> DataFrame:
-    """(key, target, bins) of all rows: a missing value or unseen level has a bin of its own, the last one, and equal
-    rows have keys of their own."""
-    widths = tr.widths(features)
-    rows = tr.binned(df.withColumn("_target", target.cast("double")), features, "_bins")
-    last = F.array(*[F.lit(w - 1) for w in widths])
-    bins = F.zip_with("_bins", last, lambda b, w: F.when(b == tr.MISSING, w).otherwise(b))
-    same = rows.select(F.xxhash64(*df.columns).alias("_key"), "_target", bins.alias("bins")).groupBy("_key", "_target", "bins").agg(
+def with_bins(df: DataFrame, features: list[tr.Feature], out: str) -> DataFrame:
+    """``df`` with the array ``out``: a missing value or unseen level has a bin of its own, the last one."""
+    last = F.array(*[F.lit(w - 1) for w in tr.widths(features)])
+    return tr.binned(df, features, out).withColumn(out, F.zip_with(out, last, lambda b, w: F.when(b == tr.MISSING, w).otherwise(b)))
+
+
+def rows_to_draw(df: DataFrame, target: Column, features: list[tr.Feature], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, target, bins) of all rows and the columns ``keep``, bins as ``with_bins`` has them; equal rows have keys of
+    their own."""
+    rows = with_bins(df.withColumn("_target", target.cast("double")), features, "_bins")
+    same = rows.select(F.xxhash64(*df.columns).alias("_key"), "_target", F.col("_bins").alias("bins"), *keep).groupBy("_key", "_target", "bins", *keep).agg(
         F.count(F.lit(1)).alias("_count"))
-    each = same.select("_key", F.col("_target").alias("target"), "bins", F.explode(F.sequence(F.lit(1), F.col("_count").cast("int"))).alias("_copy"))
-    return each.select(F.xxhash64("_key", "target", "bins", "_copy").alias("key"), "target", "bins")
+    each = same.select("_key", F.col("_target").alias("target"), "bins", *keep, F.explode(F.sequence(F.lit(1), F.col("_count").cast("int"))).alias("_copy"))
+    return each.select(F.xxhash64("_key", "target", "bins", "_copy").alias("key"), "target", "bins", *keep)
 
 
 def fit(rows: DataFrame, features: list[tr.Feature], settings: Settings) -> Forest:

@@ -10,24 +10,25 @@ checkpoint.
 
 from __future__ import annotations
 
+import itertools
 import math
+import statistics
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from ..session import materialize
+from . import fold_forest as ff
 from . import forest as fo
 from . import moments as mo
 from . import trees
@@ -288,41 +289,61 @@ def depth_for_leaves(max_nodes: int) -> int:
     return max(1, (max_nodes - 1).bit_length())
 
 
+@dataclass
+class CvForest:
+    """``settings`` searched, the accuracy of every fold for each (``accuracy``), and the forests of the best one, of
+    which the last is fitted on all rows."""
+
+    label: str
+    levels: tuple
+    settings: list[dict]
+    accuracy: list[list[float]]
+    best: ff.FoldForests
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """``df`` with the predicted class, the label column as ``actual``."""
+        low, high = self.levels
+        out = self.best.second_class(df, "_second")
+        return out.withColumn("predicted", F.when(F.col("_second"), F.lit(high)).otherwise(F.lit(low))).drop("_second") \
+            .withColumnRenamed(self.label, "actual")
+
+
 def cv_forest(train: DataFrame, label: str, folds: int = CV["folds"], mtry: int = CV["mtry"],
               node_size: int = CV["node_size"], max_nodes: int = CV["max_nodes"], trees: int = FOREST_TREES,
-              seed: int = 987, grid: dict | None = None, parallelism: int = 4):
-    """K-fold cross-validated forest; ``grid`` maps a parameter name
+              seed: int = 987, grid: dict | None = None) -> CvForest:
+    """K-fold cross-validated forest for a label of two classes; ``grid`` maps a parameter name
     ('mtry', 'max_nodes', 'trees') to the values to search.  Folds are stratified by the label and dealt by
-    hash rank of the id: they do not change with the partitioning."""
+    hash rank of the id: they do not change with the partitioning.  The forests of all folds and of the whole table
+    grow together (``fold_forest``); cuts lie between values of the whole table."""
     features = feature_columns(train, label)
+    low, high = two_levels(train, label)
     train = materialize(stratified_folds(train, label, folds, seed))
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, seed=seed,
-                                featureSubsetStrategy=str(mtry), minInstancesPerNode=node_size,
-                                maxDepth=depth_for_leaves(max_nodes), maxBins=max_bins(train, features))
-    pipe = Pipeline(stages=_label_stages(label) + feature_stages(train, features) + [rf])
-    builder = ParamGridBuilder()
+    bins = fit_bins(train, features, max_bins(train, features))
+    rows = materialize(fo.rows_to_draw(train, F.col(label) == F.lit(high), bins, keep=("fold",)))
+    sizes = {r.fold: r["count"] for r in rows.groupBy("fold").count().collect()}
+    if len(sizes) < max(2, folds):
+        raise ValueError("a fold is empty")
     grid = grid or {"mtry": [mtry]}
-    if "mtry" in grid:
-        builder = builder.addGrid(rf.featureSubsetStrategy, [str(v) for v in grid["mtry"]])
-    if "max_nodes" in grid:
-        builder = builder.addGrid(rf.maxDepth, [depth_for_leaves(v) for v in grid["max_nodes"]])
-    if "trees" in grid:
-        builder = builder.addGrid(rf.numTrees, list(grid["trees"]))
-    ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="accuracy")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=builder.build(), evaluator=ev, numFolds=folds,
-                        foldCol="fold", seed=seed, parallelism=parallelism)
-    return cv.fit(train)
-
-
-def cv_summary(cv_model) -> DataFrame:
+    values = {"featureSubsetStrategy": list(grid.get("mtry", [mtry])),
+              "maxDepth": [depth_for_leaves(v) for v in grid.get("max_nodes", [max_nodes])],
+              "numTrees": list(grid.get("trees", [trees]))}
+    searched = [name for name, key in (("featureSubsetStrategy", "mtry"), ("maxDepth", "max_nodes"), ("numTrees", "trees")) if key in grid]
+    settings, accuracy, best = [], [], None
+    for m, depth, n in itertools.product(*values.values()):
+        forests = ff.fit(rows, bins, fo.Settings(n, min(m, len(features)), node_size, depth, seed), folds)
+        right = forests.right_in_folds(rows)
+        accuracy.append([right[f][1] / right[f][0] for f in range(folds)])
+        settings.append({k: v for k, v in zip(values, (m, depth, n)) if k in searched})
+        if best is None or math.fsum(accuracy[-1]) > best[0]:
+            best = math.fsum(accuracy[-1]), forests
+    return CvForest(label, (low, high), settings, accuracy, best[1])
+
+
+def cv_summary(cv: CvForest) -> DataFrame:
     """Mean and standard deviation of the fold accuracy per parameter setting."""
-    spark = _spark()
-    rows = []
-    std = getattr(cv_model, "stdMetrics", None) or [None] * len(cv_model.avgMetrics)
-    for pm, avg, sd in zip(cv_model.getEstimatorParamMaps(), cv_model.avgMetrics, std):
-        setting = ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
-        rows.append((setting, float(avg), None if sd is None else float(sd)))
-    return spark.createDataFrame(rows, "setting string, accuracy double, accuracy_sd double")
+    rows = [(", ".join(f"{k}={v}" for k, v in sorted(s.items())), math.fsum(a) / len(a), statistics.pstdev(a))
+            for s, a in zip(cv.settings, cv.accuracy)]
+    return _spark().createDataFrame(rows, "setting string, accuracy double, accuracy_sd double")
 
 
 def kmeans_profile(df: DataFrame, cols: list[str], k: int = KMEANS["k"], starts: int = KMEANS["starts"],

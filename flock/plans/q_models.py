@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as cl
 from ..operators import models as md
+from ..operators.report import classification_report
 from ..operators.sampling import stratified_folds, stratified_splits
 from ..operators.trees import gain_cover_frequency
 from ..session import materialize
@@ -103,11 +104,8 @@ def cv_forest(spark, sf_dir):
     """10-fold CV forest (mtry 8, node size 14, 14 leaves, 500 trees) on the
     training split, confusion statistics on the held-out split."""
     train, test = _split(_model_input(spark, sf_dir))
-    cvm = md.cv_forest(train, LABEL)
-    from ..operators.report import classification_report
-    best = cvm.bestModel
-    pred = md.predict(best, test, LABEL)
-    return classification_report(pred, "actual", "predicted", best.stages[0].labels[0])
+    cv = md.cv_forest(train, LABEL)
+    return classification_report(cv.predict(test), "actual", "predicted", cv.levels[0])
 
 
 def grid_search(spark, sf_dir, grid=None, folds=10, trees=md.FOREST_TREES):
