@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from ._words import U, _ranges, mix, parity_bitmaps, set_keys, shingle_sets, tex
 SIGNATURE_BITS = 1024
 #: Bytes of sets that one comparing task holds.
 CHUNK_BYTES = 8 << 20
+#: Sets of a cluster up to which it is compared together with others, and members that are intersected at once.
+FEW, MEMBERS = 32, 4 << 20
 
 
 def bands(percent: int, most: int = 1 << 40) -> np.ndarray:
@@ -182,18 +185,120 @@ def link_pairs(sizes: np.ndarray, marks: list[np.ndarray], members: list[np.ndar
     return links
 
 
+def _pairs_of(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows inside each run of ``counts`` rows from ``starts``."""
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for c in np.unique(counts[counts > 1]).tolist():
+        i, j = np.triu_indices(c, 1)
+        from_row = starts[counts == c][:, None]
+        x.append((from_row + i).ravel())
+        y.append((from_row + j).ravel())
+    return np.concatenate(x), np.concatenate(y)
+
+
+def _shared(members: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Members that the sets x[i] and y[i] have in common, for each i."""
+    ids = np.unique(members, return_inverse=True)[1].astype(U)
+    n, out = np.diff(at), np.zeros(len(x), np.int64)
+    block = np.cumsum(n[x] + n[y]) // MEMBERS
+    for pick in np.split(np.arange(len(x)), np.flatnonzero(np.diff(block)) + 1):
+        pair = np.arange(len(pick), dtype=U) << U(32)
+        both = np.sort(np.concatenate([np.repeat(pair, n[rows]) + ids[_ranges(at[rows], n[rows])] for rows in (x[pick], y[pick])]))
+        out[pick] = np.bincount((both[1:][both[1:] == both[:-1]] >> U(32)).astype(np.int64), minlength=len(pick))
+    return out
+
+
+def few_links(starts: np.ndarray, counts: np.ndarray, sizes: np.ndarray, marks: np.ndarray, members: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``link_pairs`` connects in each of many small clusters, runs of ``counts`` rows from ``starts``: pairs
+    of a row and the first one connected with it.  ``marks``: a row of equally many words for each set;
+    ``members``: all sets end to end."""
+    x, y = _pairs_of(starts, counts)
+    near = np.maximum(sizes[x], sizes[y]) <= np.minimum(sizes[x], sizes[y]) * 100 // percent
+    x, y = x[near], y[near]
+    differ = np.zeros(len(x), np.int64)
+    for w in range(marks.shape[1]):
+        differ += np.bitwise_count(marks[x, w] ^ marks[y, w])
+    total = sizes[x] + sizes[y]
+    most = (total - differ) // 2
+    may = 100 * most >= percent * (total - most)
+    x, y, total = x[may], y[may], total[may]
+    if members is not None and len(x):
+        both = _shared(members, np.concatenate([[0], np.cumsum(sizes)]), x, y)
+        linked = 100 * both >= percent * (total - both)
+        x, y = x[linked], y[linked]
+    first = np.arange(len(sizes))
+    while (first[x] != first[y]).any():
+        low = np.minimum(first[x], first[y])
+        np.minimum.at(first, x, low)
+        np.minimum.at(first, y, low)
+        first = first[first]
+    rows = np.flatnonzero(first != np.arange(len(first)))
+    return first[rows], rows
+
+
+DEALT = ["cluster", "band", "chunk", "band2", "chunk2"]
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of a binary column, end to end, as 64-bit words."""
+    whole = pa.concat_arrays(column.chunks).cast(pa.large_binary())
+    bounds = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset:whole.offset + len(whole) + 1]
+    return np.frombuffer(whole.buffers()[2] or b"", np.uint8)[bounds[0]:bounds[-1]].copy().view(U)
+
+
 def _compare(percent: int, exact: bool):
-    def run(key, table):
-        _, band, chunk, band2, chunk2 = (k.as_py() for k in key)
+    """Links of whole clusters, rows sorted by DEALT.  A task holds a batch and a cluster's rows at most."""
+    def one(table: pa.Table) -> list[tuple[int, int]]:
+        _, band, chunk, band2, chunk2 = (table.column(c)[0].as_py() for c in DEALT)
         side = None if (band, chunk) == (band2, chunk2) else table.column("side").to_numpy()
-        pairs = []
-        if side is None or 0 < side.sum() < len(side):
-            marks = [np.frombuffer(x, U) for x in table.column("marks").to_pylist()]
-            members = [np.frombuffer(x, U) for x in table.column("members").to_pylist()] if exact else None
-            pairs = link_pairs(table.column("n").to_numpy(), marks, members, side, percent)
-        x, y = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        if side is not None and not 0 < side.sum() < len(side):
+            return []
+        marks = [np.frombuffer(x, U) for x in table.column("marks").to_pylist()]
+        members = [np.frombuffer(x, U) for x in table.column("members").to_pylist()] if exact else None
+        return link_pairs(table.column("n").to_numpy(), marks, members, side, percent)
+
+    def work(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        keys = [table.column(c).to_numpy() for c in DEALT]
+        new = np.ones(len(table), bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        starts = np.flatnonzero(new)
+        counts = np.diff(np.append(starts, len(table)))
+        long = pc.binary_length(table.column("marks")).to_numpy() != SIGNATURE_BITS // 8
+        apart = (keys[1] != keys[3]) | (keys[2] != keys[4])
+        few = (counts <= FEW) & ~np.logical_or.reduceat(long | apart, starts)
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        rows = _ranges(starts[few & (counts > 1)], counts[few & (counts > 1)])
+        if len(rows):
+            some, n = table.take(pa.array(rows)), counts[few & (counts > 1)]
+            i, j = few_links(np.cumsum(n) - n, n, some.column("n").to_numpy(), _flat(some.column("marks")).reshape(len(rows), -1),
+                             _flat(some.column("members")) if exact else None, percent)
+            x.append(rows[i])
+            y.append(rows[j])
+        for a, c in zip(starts[~few].tolist(), counts[~few].tolist()):
+            pairs = np.array(one(table.slice(a, c)), np.int64).reshape(-1, 2)
+            x.append(a + pairs[:, 0])
+            y.append(a + pairs[:, 1])
+        x, y = np.concatenate(x), np.concatenate(y)
         k1, k2 = table.column("k1").to_numpy(), table.column("k2").to_numpy()
-        return pa.table({"a1": k1[x], "a2": k2[x], "b1": k1[y], "b2": k2[y]})
+        yield pa.record_batch([pa.array(v) for v in (k1[x], k2[x], k1[y], k2[y])], ["a1", "a2", "b1", "b2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c).to_numpy() for c in DEALT]
+            other = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last cluster may go on in the next batch
+            if pending and (cut or any(pending[-1].column(c)[-1].as_py() != k[0] for c, k in zip(DEALT, keys))):
+                yield from work([*pending, batch.slice(0, cut)])
+                pending = []
+            elif cut:
+                yield from work([batch.slice(0, cut)])
+            pending.append(batch.slice(cut))
+        if pending:
+            yield from work(pending)
     return run
 
 
@@ -249,10 +354,9 @@ def compared(sets: DataFrame, weight: Column, percent: int, exact: bool) -> Data
     else:
         one, met = _size_banded(one, large, percent)
     values = ["k1", "k2", "n", "marks", *(["members"] if exact else [])]
-    keys = ["cluster", "band", "chunk", "band2", "chunk2"]
     dealt = one.select("cluster", *values, F.explode(met).alias("met")).select("cluster", "met.*", *values)
     # dealt by the whole key, else the tasks of a cluster would follow one another in one
-    links = dealt.repartition(*keys).groupBy(*keys).applyInArrow(_compare(percent, exact), "a1 long, a2 long, b1 long, b2 long")
+    links = dealt.repartition(*DEALT).sortWithinPartitions(*DEALT).mapInArrow(_compare(percent, exact), "a1 long, a2 long, b1 long, b2 long")
     key = lambda x, y: F.struct(F.col(x).alias("k1"), F.col(y).alias("k2"))
     return components(materialize(links).select(key("a1", "a2").alias("a"), key("b1", "b2").alias("b")))
 

@@ -29,10 +29,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, release
+from ..session import intermediates, materialize, release
 from ._util import hint_if_small, unused
 from ._words import U, _ranges, mix, set_keys, sets_of_words, span_hashes, text_slices, word_spans
-from .jaccard_join import ARRAYS, array_batch, resolve, tile_keys, tile_meetings
+from .jaccard_join import ARRAYS, array_batch, resolve, tile_keys
 
 WIDTH, PERCENT = 5, 80
 #: Recall of a pair at 0.8: 1 - (1 - 0.8**5)**16 = 99.8 %, at 0.85 99.99 %.
@@ -53,6 +53,9 @@ GRAM_WORDS, WINDOW = 25, 25
 #: Bytes of a word's hash where words beyond an anchor are compared (the anchors are equal by 64 bits),
 #: and ends that a task holds at once to fold equal ones.
 WORD_BYTES, FOLD_ROWS = 6, 100_000
+#: Bytes of a tile's hash that travel (a false meeting is compared like a true one), tiles worked on at once, and
+#: paragraphs whose tiles go to one task.
+TILE_BYTES, PACKED, TASK_PARAGRAPHS = 6, 1 << 20, 200_000
 ENDS = ["g", "run", "more", "doc_id", "row", "low", "high"]
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _LOW = 0xFFFFFFFF
@@ -157,11 +160,93 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.concatenate(tiles).view(np.int64)), pa.array(np.tile(k1[rows], BANDS).view(np.int64))], ["tile", "k1"])
 
 
+def _packed_rows(buckets: int):
+    """The rows of ``_band_rows``, PACKED at a time, as bytes: for each bucket the tiles in ascending order (TILE_BYTES
+    each, byte by byte: the first ones hardly change and compress) and the keys."""
+    def pack(tile: np.ndarray, k1: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(tile)
+        tile, k1 = tile[order], k1[order]
+        bucket = (tile >> U(32)) * U(buckets) >> U(32)
+        heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = np.append(heads[1:], len(tile))
+        raw = tile.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :TILE_BYTES]
+        data = [raw[a:b].T.tobytes() + k1[a:b].tobytes() for a, b in zip(heads.tolist(), ends.tolist())]
+        return pa.record_batch([pa.array(bucket[heads].astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "pairs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending, rows = [], 0
+        for batch in _band_rows(batches):
+            pending.append([c.to_numpy() for c in batch.columns])
+            rows += batch.num_rows
+            if rows >= PACKED:
+                yield pack(*(np.concatenate(c) for c in zip(*[(t.view(U), k) for t, k in pending])))
+                pending, rows = [], 0
+        if rows:
+            yield pack(*(np.concatenate(c) for c in zip(*[(t.view(U), k) for t, k in pending])))
+    return run
+
+
+def meet(tile: np.ndarray, k1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tiles, the smallest key of each, and the distinct pairs of such a key with the others of its tile."""
+    order = np.argsort(tile)
+    tile, k1 = tile[order], k1[order]
+    new = np.concatenate([[True], tile[1:] != tile[:-1]])
+    heads = np.flatnonzero(new)
+    low = np.minimum.reduceat(k1, heads)
+    a = low[np.cumsum(new) - 1]
+    pairs = np.unique(np.stack([a, k1], 1)[a != k1], axis=0)
+    return tile[heads], low, pairs[:, 0], pairs[:, 1]
+
+
+def _meeting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of keys that share a tile; each tile's keys are connected.  Tiles met are one row each, however many have them."""
+    known, pending, rows = (np.zeros(0, U), np.zeros(0, np.int64)), [], 0
+
+    def work() -> Iterator[pa.RecordBatch]:
+        nonlocal known, pending, rows
+        tile, low, a, b = meet(*(np.concatenate(c) for c in zip(known, *pending)))
+        known, pending, rows = (tile, low), [], 0
+        yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        for raw in batch.column(1):
+            raw = np.frombuffer(raw.as_buffer(), np.uint8)
+            n = len(raw) // (TILE_BYTES + 8)
+            tile = np.zeros((n, 8), np.uint8)
+            tile[:, :TILE_BYTES] = raw[:TILE_BYTES * n].reshape(TILE_BYTES, n).T
+            pending.append((tile.view(">u8").ravel().astype(U), raw[TILE_BYTES * n:].copy().view(np.int64)))
+            rows += n
+            if rows >= PACKED:
+                yield from work()
+    if rows:
+        yield from work()
+
+
+def _meetings(texts: DataFrame, paragraphs: int) -> DataFrame:
+    """(a, b): the paragraphs' keys that share a tile or a band, connected.  ``texts``: the column text."""
+    least = -(-paragraphs // TASK_PARAGRAPHS)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * max(least, parts)
+    packed = texts.mapInArrow(_packed_rows(buckets), "bucket int, pairs binary")
+    dealt = packed.repartition(least, "bucket") if least > parts else packed.repartition("bucket")
+    return dealt.mapInArrow(_meeting_rows, "a long, b long").distinct()
+
+
 def _array_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrays of those paragraphs of each text whose first key its list has, equal ones of some texts once."""
     for batch in batches:
-        for _, data, offsets in text_slices(batch.column(0)):
-            sets, at, *_ = _paragraphs(data, offsets)
-            yield array_batch(sets, at)
+        for a, data, offsets in text_slices(batch.column(0)):
+            sets, at, owner, *_ = _paragraphs(data, offsets)
+            k1, k2 = set_keys(sets, at)
+            lists = batch.column(1).slice(a, len(offsets) - 1)
+            text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            wanted = mix(mix(text.astype(U), 69) + lists.flatten().to_numpy(zero_copy_only=False).view(U), 70)
+            pick = np.flatnonzero(np.isin(mix(mix(owner.astype(U), 69) + k1, 70), wanted))
+            if not len(pick):
+                continue
+            pick = pick[np.unique(np.stack([k1[pick], k2[pick]], 1), axis=0, return_index=True)[1]]
+            n = np.diff(at)[pick]
+            yield array_batch(sets[_ranges(at[pick], n)], np.concatenate([[0], np.cumsum(n)]))
 
 
 def _sequences(words: np.ndarray, base: int):
@@ -509,23 +594,25 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     equal = materialize(equal.where("low <> high").select("k1", "k2", "first"))
 
     lines = materialize(d.mapInArrow(_line_rows, f"doc_id {kind}, row long, line int, ordinal int, k1 long, k2 long"))
-    met = materialize(tile_meetings(d.select("text").mapInArrow(_band_rows, "tile long, k1 long")))
+    met = materialize(_meetings(d.select("text"), lines.count()))
 
     def arrays_of(keys: DataFrame) -> DataFrame:
         one = lines.join(keys, "k1").groupBy("k1", "k2").agg(F.min("row").alias("row"))
-        rows = materialize(one.select("row").distinct())
-        found = d.join(hint_if_small(rows, 24), "row").select("text").mapInArrow(_array_rows, ARRAYS)
+        rows = materialize(one.groupBy("row").agg(F.collect_set("k1").alias("wanted")))  # a document's own
+        found = d.join(hint_if_small(rows, 200), "row").select("text", "wanted").mapInArrow(_array_rows, ARRAYS)
         return found.join(keys, "k1", "left_semi").dropDuplicates(["k1", "k2"])
 
-    linked = resolve(met, arrays_of, PERCENT)
-    near = materialize(lines.join(linked, ["k1", "k2"]).select("doc_id", "row", "line", "ordinal", "component"))
-    heads = near.groupBy("component").agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high"))
+    with intermediates() as scope:  # the clusters, arrays and rounds of the comparison go with it
+        linked = materialize(lines.join(resolve(met, arrays_of, PERCENT), ["k1", "k2"]).select("doc_id", "row", "line", "ordinal", "component"))
+        scope.keep(linked)
+    heads = linked.groupBy("component").agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high"))
     heads = heads.where("low <> high")
-    near = materialize(near.join(heads, "component").select(F.col("doc_id").alias("n_doc"), F.col("row").alias("n_row"), F.col("line").alias("n_line"), F.col("ordinal").alias("n_ordinal"), "first"))
+    near = materialize(linked.join(heads, "component").select(F.col("doc_id").alias("n_doc"), F.col("row").alias("n_row"), F.col("line").alias("n_line"), F.col("ordinal").alias("n_ordinal"), "first"))
 
     spot = ["doc_id", "row", "ordinal", "word", "word_end", "lo", "hi"]
     by_sentence = again.join(hint_if_small(equal, 64), ["k1", "k2"]).select(
         *spot, (place == F.col("first")).alias("head"), F.col("first.doc_id").alias("home"))
+    release(lines, met, linked)
     # a line's sentences; the first paragraph's line and sentence may both be in its cluster, and both stay
     part = (F.col("n_ordinal") < 0) | (F.col("n_ordinal") == F.col("ordinal"))
     same = (F.col("n_ordinal") < 0) | (F.col("first.ordinal") < 0) | (F.col("n_ordinal") == F.col("first.ordinal"))
@@ -534,7 +621,7 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     marked = (by_sentence.unionByName(by_near).groupBy("doc_id", "row", "ordinal")
               .agg(*[F.min(c).alias(c) for c in ("word", "word_end", "lo", "hi")], F.min("head").alias("kept"), F.min("home").alias("home")))
     marked = materialize(marked)
-    release(sentences, again, equal, lines, met, near)
+    release(sentences, again, equal, near)
     ranges = marked.unionByName(_stretches(d, kind).withColumn("ordinal", F.lit(-1)))
     ranges = ranges.groupBy("doc_id", "row").agg(F.collect_list(F.struct("word", "word_end", "lo", "hi", "kept", "ordinal", "home")).alias("ranges"))  # a document's own
     out = ranges.mapInArrow(_passage_rows(passage_words), f"doc_id {kind}, text_key long, start long, length long, n_words long, kept boolean, homes array<{kind}>")

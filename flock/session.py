@@ -19,6 +19,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Whether Spark deletes a query's shuffle files as soon as the query ends.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -137,11 +139,22 @@ def materialize(df: DataFrame) -> DataFrame:
     (with column pruning, filter pushdown and real size statistics for AQE)
     instead of replaying the upstream plan, and a lost executor only re-reads
     the files.  (An eager ``Dataset.checkpoint`` would compute the plan twice:
-    once for its count and once more to write the checkpoint.)"""
+    once for its count and once more to write the checkpoint.)
+
+    The write is a query of its own, which nothing reads again, so its shuffle files
+    go when it ends and not when the driver next collects garbage."""
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_CONF)
+        else:
+            spark.conf.set(CLEANUP_CONF, before)
     out = spark.read.parquet(path)
     out._flock_table = path
     if (scope := _SCOPE.get()) is not None:
