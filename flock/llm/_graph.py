@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 from ._util import BROADCAST_BYTES
 
 
@@ -17,13 +17,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     then the label of that label (pointer jumping), until no label changes.
     Labels and links are tables; the driver sees whether one changed.  Every
     round is written to the checkpoint folder, so a lost executor costs one
-    round.  Labels are broadcast while their counted rows are small.
+    round, and deleted once the next is there.  Labels are broadcast while
+    their counted rows are small.
     """
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where(F.col("x") != F.col("y"))
     both = materialize(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     labels = materialize(both.groupBy("x").agg(F.min("y").alias("m"))
                          .select(F.col("x").alias("node"), F.least("x", "m").alias("component")))
     small = labels.count() * 64 <= BROADCAST_BYTES
+    last = labels
     while True:
         known = F.broadcast(labels) if small else labels
         offers = both.join(known.select(F.col("node").alias("y"), F.col("component").alias("offer")), "y")
@@ -34,6 +36,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         far = known.select(F.col("node").alias("near"), F.col("component").alias("far"))
         new = materialize(near.join(far, "near").select("node", "old", F.least("near", "far").alias("component")))
         settled = new.where(F.col("old") != F.col("component")).isEmpty()
-        labels = new.select("node", "component")
+        release(last)
+        labels, last = new.select("node", "component"), new
         if settled:
+            release(both)
             return labels

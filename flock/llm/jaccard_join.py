@@ -34,8 +34,9 @@ from ._words import U, _ranges, mix, parity_bitmaps, set_keys, shingle_sets, tex
 SIGNATURE_BITS = 1024
 #: Bytes of sets that one comparing task holds.
 CHUNK_BYTES = 8 << 20
-#: Sets of a cluster up to which it is compared together with others, and members that are intersected at once.
-FEW, MEMBERS = 32, 4 << 20
+#: Sets of a cluster up to which it is compared together with others, by members and by signatures, and members that are
+#: intersected at once.
+FEW, FEW_MARKS, MEMBERS = 32, 128, 1 << 20
 
 
 def bands(percent: int, most: int = 1 << 40) -> np.ndarray:
@@ -266,7 +267,7 @@ def _compare(percent: int, exact: bool):
         counts = np.diff(np.append(starts, len(table)))
         long = pc.binary_length(table.column("marks")).to_numpy() != SIGNATURE_BITS // 8
         apart = (keys[1] != keys[3]) | (keys[2] != keys[4])
-        few = (counts <= FEW) & ~np.logical_or.reduceat(long | apart, starts)
+        few = (counts <= (FEW if exact else FEW_MARKS)) & ~np.logical_or.reduceat(long | apart, starts)
         x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         rows = _ranges(starts[few & (counts > 1)], counts[few & (counts > 1)])
         if len(rows):

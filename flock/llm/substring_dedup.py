@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import intermediates, materialize, release
-from ._util import hint_if_small, unused
+from ._util import BROADCAST_BYTES, hint_if_small, unused
 from ._words import U, _ranges, mix, set_keys, sets_of_words, span_hashes, text_slices, word_spans
 from .jaccard_join import ARRAYS, array_batch, resolve, tile_keys
 
@@ -55,7 +55,7 @@ GRAM_WORDS, WINDOW = 25, 25
 WORD_BYTES, FOLD_ROWS = 6, 100_000
 #: Bytes of a tile's hash that travel (a false meeting is compared like a true one), tiles worked on at once, and
 #: paragraphs whose tiles go to one task.
-TILE_BYTES, PACKED, TASK_PARAGRAPHS = 6, 1 << 20, 200_000
+TILE_BYTES, PACKED, TASK_PARAGRAPHS = 6, 1 << 18, 50_000
 ENDS = ["g", "run", "more", "doc_id", "row", "low", "high"]
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _LOW = 0xFFFFFFFF
@@ -216,7 +216,7 @@ def _meeting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             tile[:, :TILE_BYTES] = raw[:TILE_BYTES * n].reshape(TILE_BYTES, n).T
             pending.append((tile.view(">u8").ravel().astype(U), raw[TILE_BYTES * n:].copy().view(np.int64)))
             rows += n
-            if rows >= PACKED:
+            if rows >= max(PACKED, len(known[0])):
                 yield from work()
     if rows:
         yield from work()
@@ -460,6 +460,12 @@ def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                                   ["doc_id", "row", "line", "ordinal", "word", "word_end", "lo", "hi", "k1", "k2"])
 
 
+def _hint_lists(df: DataFrame, **item_bytes: int) -> DataFrame:
+    """``hint_if_small`` by the items that the rows' lists hold, so many bytes each."""
+    held = df.agg(F.coalesce(F.sum(sum(F.size(c) * n for c, n in item_bytes.items()) + F.lit(40)), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
+
+
 def _stretches(d: DataFrame, kind: str) -> DataFrame:
     """Runs of words that repeat verbatim in another document, those of one ``kept`` that touch as one."""
     place, text = F.struct("doc_id", "row"), ["doc_id", "row"]
@@ -483,13 +489,13 @@ def _stretches(d: DataFrame, kind: str) -> DataFrame:
                                           F.when(F.col("right"), F.struct("word", F.lit(True).alias("right")))), lambda x: x.isNotNull())).alias("spot"))
     spots = materialize(spots.groupBy("row").agg(F.collect_set("spot").alias("spots")))  # a document's own
     release(ends)
-    beyond = d.join(hint_if_small(spots, 200), "row").select(*text, "text", "spots").mapInArrow(
+    beyond = d.join(_hint_lists(spots, spots=32), "row").select(*text, "text", "spots").mapInArrow(
         _end_rows, f"g long, run long, more binary, doc_id {kind}, row long, low long, high long")
     far = beyond.repartition("g").sortWithinPartitions("g", "more").mapInArrow(_reach_rows, "row long, run long, smaller int, other int")
     far = far.groupBy("row").agg(F.collect_set(F.struct("run", "smaller", "other")).alias("far"))  # a document's own
-    both = spots.join(hint_if_small(materialize(far), 200), "row", "left")
+    both = spots.join(_hint_lists(materialize(far), far=40), "row", "left")
     both = materialize(both.withColumn("far", F.coalesce("far", F.array().cast(far.schema["far"].dataType))))
-    longer = d.join(hint_if_small(both, 400), "row").select(*text, "text", "spots", "far").mapInArrow(
+    longer = d.join(_hint_lists(both, spots=32, far=40), "row").select(*text, "text", "spots", "far").mapInArrow(
         _longer_rows, f"doc_id {kind}, row long, kept boolean, word int, word_end int, lo long, hi long, home {kind}")
     columns = [*text, "kept", "word", "word_end", "lo", "hi", "home"]
     ranges = found.select(columns).unionByName(longer.select(columns))
@@ -599,7 +605,7 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     def arrays_of(keys: DataFrame) -> DataFrame:
         one = lines.join(keys, "k1").groupBy("k1", "k2").agg(F.min("row").alias("row"))
         rows = materialize(one.groupBy("row").agg(F.collect_set("k1").alias("wanted")))  # a document's own
-        found = d.join(hint_if_small(rows, 200), "row").select("text", "wanted").mapInArrow(_array_rows, ARRAYS)
+        found = d.join(_hint_lists(rows, wanted=8), "row").select("text", "wanted").mapInArrow(_array_rows, ARRAYS)
         return found.join(keys, "k1", "left_semi").dropDuplicates(["k1", "k2"])
 
     with intermediates() as scope:  # the clusters, arrays and rounds of the comparison go with it

@@ -99,6 +99,14 @@ def test_clusters_compared_together_link_like_one_by_one():
             assert parts(got) == parts(want)
 
 
+def test_long_lists_are_not_broadcast(spark):
+    rows = spark.sql("SELECT id AS row, sequence(1, 20000) AS wanted FROM range(300)")
+    hints = lambda df: df._jdf.queryExecution().logical().toString()
+    assert "broadcast" not in hints(module._hint_lists(rows, wanted=8))
+    assert "broadcast" in hints(module._hint_lists(rows.limit(3), wanted=8))
+    assert "broadcast" in hints(module._hint_lists(rows.limit(0), wanted=8))
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     before = spark.conf.get(CLEANUP_CONF, None)
     files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
