@@ -585,8 +585,9 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     the keys of sentences and of anchors (combined per task, so a hot passage is one row
     per task; an anchor for every 13 words), a row with the next WINDOW - 1 words for an anchor near
     the end of a stretch (equal ones of a task are one; they are dealt by anchor, side and nearest word, so a
-    task holds the different ends that share these), and the tile and band rows of paragraphs, where copies in a task count once.  A band's c paragraphs give
-    c - 1 meetings, and clusters are verified in bounded chunks.
+    task holds the different ends that share these), and the tile and band rows of paragraphs, packed as bytes, where copies in a task count once.  A
+    task keeps one row a tile, however many paragraphs have it.  Arrays exist for paragraphs that meet another one, and clusters
+    are verified in bounded chunks.
     """
     d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
