@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 from ._graph import components
 from ._util import hint_if_small
 from ._words import U, _ranges, mix, parity_bitmaps, set_keys, shingle_sets, text_slices
@@ -37,6 +37,8 @@ CHUNK_BYTES = 8 << 20
 #: Sets of a cluster up to which it is compared together with others, by members and by signatures, and members that are
 #: intersected at once.
 FEW, FEW_MARKS, MEMBERS = 32, 128, 1 << 20
+#: Sets of a cluster beyond which the sets of each tile are compared, not all of the cluster.
+SPREAD = 4096
 
 
 def bands(percent: int, most: int = 1 << 40) -> np.ndarray:
@@ -80,7 +82,9 @@ def tile_keys(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarra
         owner = np.repeat(np.arange(len(rows)), parts)
         number = _ranges(np.zeros(len(rows), np.int64), parts)
         tile = mix(mix(content + count.astype(U), 42) + (number + band[rows][owner] * (1 << 40)).astype(U), 43)
-        order = np.lexsort((tile, -count, owner))
+        # one key of the row, the shingles and half the tile; a tile's number is part of it, so the rest is the same for any set
+        key = np.minimum(count, (1 << 12) - 1)
+        order = np.argsort((owner << 44 | ((1 << 12) - 1 - key) << 32).astype(U) | tile >> U(32), kind="stable")
         rank = _ranges(np.zeros(len(rows), np.int64), parts)
         keep = order[rank < np.repeat(first_n, parts)]
         rows_out.append(rows[owner[keep]])
@@ -227,14 +231,33 @@ def few_links(starts: np.ndarray, counts: np.ndarray, sizes: np.ndarray, marks:
         both = _shared(members, np.concatenate([[0], np.cumsum(sizes)]), x, y)
         linked = 100 * both >= percent * (total - both)
         x, y = x[linked], y[linked]
-    first = np.arange(len(sizes))
+    first = _first(x, y, len(sizes))
+    rows = np.flatnonzero(first != np.arange(len(first)))
+    return first[rows], rows
+
+
+def _first(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the numbers below ``n`` that the links x[i], y[i] connect with each."""
+    first = np.arange(n)
     while (first[x] != first[y]).any():
         low = np.minimum(first[x], first[y])
-        np.minimum.at(first, x, low)
-        np.minimum.at(first, y, low)
+        np.minimum.at(first, first[x], low)
+        np.minimum.at(first, first[y], low)
+        first = first[first]
+    while (first != first[first]).any():
         first = first[first]
+    return first
+
+
+def stars(x: np.ndarray, y: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row of the smallest key, row) that connect the rows that x[i], y[i] connect."""
+    nodes, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    order = np.lexsort((k2[nodes], k1[nodes]))
+    rank = np.empty(len(nodes), np.int64)
+    rank[order] = np.arange(len(nodes))
+    first = _first(rank[ends[:len(x)]], rank[ends[len(x):]], len(nodes))
     rows = np.flatnonzero(first != np.arange(len(first)))
-    return first[rows], rows
+    return nodes[order[first[rows]]], nodes[order[rows]]
 
 
 DEALT = ["cluster", "band", "chunk", "band2", "chunk2"]
@@ -280,8 +303,8 @@ def _compare(percent: int, exact: bool):
             pairs = np.array(one(table.slice(a, c)), np.int64).reshape(-1, 2)
             x.append(a + pairs[:, 0])
             y.append(a + pairs[:, 1])
-        x, y = np.concatenate(x), np.concatenate(y)
         k1, k2 = table.column("k1").to_numpy(), table.column("k2").to_numpy()
+        x, y = stars(np.concatenate(x), np.concatenate(y), k1, k2)
         yield pa.record_batch([pa.array(v) for v in (k1[x], k2[x], k1[y], k2[y])], ["a1", "a2", "b1", "b2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +385,36 @@ def compared(sets: DataFrame, weight: Column, percent: int, exact: bool) -> Data
     return components(materialize(links).select(key("a1", "a2").alias("a"), key("b1", "b2").alias("b")))
 
 
-def resolve(met: DataFrame, arrays_of, percent: int) -> DataFrame:
+def _tiles_of(tiles_of):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sets = _flat(pa.chunked_array([batch.column(2)]))
+                n = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+                rows, tiles = tiles_of(sets, np.concatenate([[0], np.cumsum(n)]))
+                rows = pa.array(rows)
+                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(tiles.view(np.int64))], ["k1", "k2", "tile"])
+    return run
+
+
+def _by_tile(arrays: DataFrame, tiles_of) -> DataFrame:
+    """The sets without their members, those of clusters of more than SPREAD sets once for each tile that another
+    one has too, with the tile for their cluster.  Chance meetings make such a cluster: it grows faster
+    than the table and the pairs in it with its square, but a set shares its tiles with few others."""
+    sizes = arrays.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > SPREAD)
+    large = hint_if_small(materialize(sizes.select("cluster")), 16)
+    if large.isEmpty():
+        return arrays.drop("members")
+    spread = arrays.join(large, "cluster", "left_semi")
+    tiles = materialize(spread.select("k1", "k2", "members").mapInArrow(_tiles_of(tiles_of), "k1 long, k2 long, tile long"))
+    again = materialize(tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("tile"))
+    dealt = materialize(tiles.join(hint_if_small(again, 16), "tile").select("k1", "k2", F.col("tile").alias("cluster")))
+    release(tiles, again)
+    met = spread.drop("members", "cluster").join(hint_if_small(dealt, 40), ["k1", "k2"])
+    return arrays.drop("members").join(large, "cluster", "left_anti").unionByName(met)
+
+
+def resolve(met: DataFrame, arrays_of, percent: int, tiles_of=None) -> DataFrame:
     """(k1, k2, component) of the sets that link with another one.
 
     ``met`` holds pairs (a, b) of first keys: every pair that may link is
@@ -371,10 +423,14 @@ def resolve(met: DataFrame, arrays_of, percent: int) -> DataFrame:
     clusters first: a link's two sets pass the bound, so what passing pairs connect
     holds every link.  Then the arrays of each such part are intersected.
     ``arrays_of(keys)`` gives rows of ARRAYS for a table of first keys.
+
+    With ``tiles_of`` (sets and offsets -> row and tile, like ``tile_keys``; what ``met`` was made of), sets of
+    large clusters are told apart by signature only where they share a tile, not through others.
     """
     clusters = materialize(components(met).select(F.col("node").alias("k1"), F.col("component").alias("cluster")))
     arrays = materialize(arrays_of(clusters.select("k1")).join(clusters, "k1"))
-    passing = compared(arrays.drop("members"), F.length("marks") + 50, percent, False)
+    marks = arrays.drop("members") if tiles_of is None else _by_tile(arrays, tiles_of)
+    passing = compared(marks, F.length("marks") + 50, percent, False)
     passing = passing.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.xxhash64("component").alias("cluster"))
     arrays = arrays.drop("cluster").join(hint_if_small(passing, 40), ["k1", "k2"])
     found = compared(arrays, F.length("members") + F.length("marks") + 50, percent, True)

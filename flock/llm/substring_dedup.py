@@ -95,14 +95,9 @@ def _sentences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np
     return bounds, owner, line - line[head], alone - alone[head]
 
 
-def _paragraphs(data: np.ndarray, offsets: np.ndarray):
+def _paragraph_sets(words: np.ndarray, bounds: np.ndarray, owner: np.ndarray, line: np.ndarray):
     """Sets of the lines of NEAR_WORDS words or more, and of such sentences that are less than a
-    line: sets, offsets, text index, line number, ordinal of the sentence (-1 for a line)."""
-    starts, ends, first = word_spans(data, offsets)
-    if not len(starts):
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, U), np.zeros(1, np.int64), none, none, none
-    bounds, owner, line, ordinal = _sentences(data, starts, ends, first)
+    line: sets, offsets, the first sentence of each, and whether it is a line."""
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])
     head = np.flatnonzero(new)
@@ -110,54 +105,101 @@ def _paragraphs(data: np.ndarray, offsets: np.ndarray):
     low = np.concatenate([bounds[head], bounds[:-1]])
     n = np.concatenate([np.diff(np.append(bounds[head], bounds[-1])), np.where(np.repeat(parts, parts) > 1, np.diff(bounds), 0)])
     pick = np.flatnonzero(n >= NEAR_WORDS)
-    of = np.concatenate([head, np.arange(len(owner))])[pick]
-    words = span_hashes(data, starts, ends)[_ranges(low[pick], n[pick])]
-    sets, at = sets_of_words(words, np.concatenate([[0], np.cumsum(n[pick])]), WIDTH)
-    return sets, at, owner[of], line[of], np.where(pick < len(head), -1, ordinal[of])
+    sets, at = sets_of_words(words[_ranges(low[pick], n[pick])], np.concatenate([[0], np.cumsum(n[pick])]), WIDTH)
+    return sets, at, np.concatenate([head, np.arange(len(owner))])[pick], pick < len(head)
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paragraphs(data: np.ndarray, offsets: np.ndarray):
+    """The paragraphs: sets, offsets, text index, line number, ordinal of the sentence (-1 for a line)."""
+    starts, ends, first = word_spans(data, offsets)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, U), np.zeros(1, np.int64), none, none, none
+    bounds, owner, line, ordinal = _sentences(data, starts, ends, first)
+    sets, at, of, whole = _paragraph_sets(span_hashes(data, starts, ends), bounds, owner, line)
+    return sets, at, owner[of], line[of], np.where(whole, -1, ordinal[of])
+
+
+PARTS = "row long, line int, ordinal int, word int, word_end int, lo long, hi long, k1 long, k2 long, p1 long, p2 long"
+
+
+def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sentences that count alone: their places, keys (k1, k2) and, if they are paragraphs, the keys of their
+    sets (p1, p2); and lines that are paragraphs, without a place or keys and of ordinal -1."""
     for batch in batches:
         for a, data, offsets in text_slices(batch.column(2)):
-            sets, at, owner, line, ordinal = _paragraphs(data, offsets)
-            k1, k2 = set_keys(sets, at)
-            rows = pa.array(owner + a)
-            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line.astype(np.int32)), pa.array(ordinal.astype(np.int32)),
-                                   pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], ["doc_id", "row", "line", "ordinal", "k1", "k2"])
+            starts, ends, first = word_spans(data, offsets)
+            if not len(starts):
+                continue
+            bounds, owner, line, ordinal = _sentences(data, starts, ends, first)
+            # a sentence is the sequence of its words: a polynomial of their hashes, twice
+            words = span_hashes(data, starts, ends)
+            pick = np.flatnonzero(np.diff(bounds) >= SENTENCE_WORDS)
+            sets, at, of, whole = _paragraph_sets(words, bounds, owner, line)
+            lines, place = of[whole], np.searchsorted(pick, of[~whole])
+            sentence = np.arange(len(pick) + len(lines)) < len(pick)
+            near = ~sentence
+            near[place] = True
+            keys = []
+            for k in set_keys(sets, at):
+                key = np.concatenate([np.zeros(len(pick), U), k[whole]])
+                key[place] = k[~whole]
+                keys.append(key.view(np.int64))
+            rows = np.concatenate([owner[pick], owner[lines]])
+            low, high = (np.concatenate([bounds[pick + i], np.zeros(len(lines), np.int64)]) for i in (0, 1))
+            word0 = np.where(sentence, first[rows], 0)
+            ints = [np.concatenate([line[pick], line[lines]]), np.where(sentence, np.concatenate([ordinal[pick], lines]), -1)]
+            text = pa.array(rows + a)
+            of_sentence = [*[(x - word0).astype(np.int32) for x in (low, high)], *_bounds(starts, ends, offsets, rows, low, high),
+                           *[np.concatenate([_sequences(words, base)(bounds[pick], bounds[pick + 1]).view(np.int64), np.zeros(len(lines), np.int64)]) for base in _BASES]]
+            yield pa.record_batch([batch.column(0).take(text), batch.column(1).take(text), *[pa.array(x.astype(np.int32)) for x in ints],
+                                   *[pa.array(x, mask=~sentence) for x in of_sentence], *[pa.array(x, mask=~near) for x in keys]],
+                                  ["doc_id", *[c.split()[0] for c in PARTS.split(", ")]])
+
+
+def meeting_keys(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, tile) for every tile of the small sets and every band of the large ones."""
+    small = np.flatnonzero(np.diff(at) < TILED)
+    n = np.diff(at)[small]
+    which, tile = tile_keys(sets[_ranges(at[small], n)], np.concatenate([[0], np.cumsum(n)]), PERCENT)
+    which, tiles = [small[which]], [tile]
+    rows = np.flatnonzero(np.diff(at) >= BANDED)
+    if len(rows):
+        n = np.diff(at)[rows]
+        members, begin = sets[_ranges(at[rows], n)], np.concatenate([[0], np.cumsum(n)[:-1]])
+        for band in range(BANDS):
+            key = np.full(len(rows), band, U)
+            for factor in _FACTORS[band * BAND_ROWS:(band + 1) * BAND_ROWS]:
+                key = mix(key, 62) + np.minimum.reduceat(members * factor, begin)
+            which.append(rows)
+            tiles.append(mix(key, 63))
+    return np.concatenate(which), np.concatenate(tiles)
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[tuple[int, int]] = set()  # copies in one task make their bands once
+    known, recent = np.zeros(0, U), np.zeros(0, U)  # copies in one task make their bands once
     for batch in batches:
         for _, data, offsets in text_slices(batch.column(0)):
             sets, at, *_ = _paragraphs(data, offsets)
             k1, k2 = set_keys(sets, at)
-            new = []
-            for i, key in enumerate(zip(k1.tolist(), k2.tolist())):
-                if key not in seen:
-                    seen.add(key)
-                    new.append(i)
-            if len(seen) > 300_000:
-                seen.clear()
-            if not new:
-                continue
-            rows = np.array(new)
-            small = rows[np.diff(at)[rows] < TILED]
-            n = np.diff(at)[small]
-            which, tile = tile_keys(sets[_ranges(at[small], n)], np.concatenate([[0], np.cumsum(n)]), PERCENT)
-            yield pa.record_batch([pa.array(tile.view(np.int64)), pa.array(k1[small[which]].view(np.int64))], ["tile", "k1"])
-            rows = rows[np.diff(at)[rows] >= BANDED]
+            key, rows = np.unique(mix(k1, 71) + k2, return_index=True)
+            new = ~(_has(known, key) | _has(recent, key))
+            rows = np.sort(rows[new])
+            recent = np.sort(np.concatenate([recent, key[new]]))
+            if len(recent) > 20_000:
+                known, recent = np.sort(np.concatenate([known, recent])), recent[:0]
+            if len(known) > 300_000:
+                known = known[:0]
             if not len(rows):
                 continue
             n = np.diff(at)[rows]
-            members, begin = sets[_ranges(at[rows], n)], np.concatenate([[0], np.cumsum(n)[:-1]])
-            tiles = []
-            for band in range(BANDS):
-                key = np.full(len(rows), band, U)
-                for factor in _FACTORS[band * BAND_ROWS:(band + 1) * BAND_ROWS]:
-                    key = mix(key, 62) + np.minimum.reduceat(members * factor, begin)
-                tiles.append(mix(key, 63))
-            yield pa.record_batch([pa.array(np.concatenate(tiles).view(np.int64)), pa.array(np.tile(k1[rows], BANDS).view(np.int64))], ["tile", "k1"])
+            which, tile = meeting_keys(sets[_ranges(at[rows], n)], np.concatenate([[0], np.cumsum(n)]))
+            yield pa.record_batch([pa.array(tile.view(np.int64)), pa.array(k1[rows[which]].view(np.int64))], ["tile", "k1"])
+
+
+def _has(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key is among the sorted ones."""
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
 
 
 def _packed_rows(buckets: int):
@@ -439,33 +481,20 @@ def _longer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                       ["doc_id", "row", "kept", "word", "word_end", "lo", "hi", "home"])
 
 
-def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, data, offsets in text_slices(batch.column(2)):
-            starts, ends, first = word_spans(data, offsets)
-            if not len(starts):
-                continue
-            bounds, owner, line, ordinal = _sentences(data, starts, ends, first)
-            n = np.diff(bounds)
-            # a sentence is the sequence of its words: a polynomial of their hashes, twice
-            words = span_hashes(data, starts, ends)
-            keys = [_sequences(words, base)(bounds[:-1], bounds[1:]).view(np.int64) for base in _BASES]
-            pick = np.flatnonzero(n >= SENTENCE_WORDS)
-            rows = pa.array(owner[pick] + a)
-            word0 = first[owner[pick]]
-            ints = [line[pick], ordinal[pick], bounds[pick] - word0, bounds[pick + 1] - word0]
-            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(x.astype(np.int32)) for x in ints],
-                                   *[pa.array(x) for x in _bounds(starts, ends, offsets, owner[pick], bounds[pick], bounds[pick + 1])],
-                                   pa.array(keys[0][pick]), pa.array(keys[1][pick])],
-                                  ["doc_id", "row", "line", "ordinal", "word", "word_end", "lo", "hi", "k1", "k2"])
-
-
 def _hint_lists(df: DataFrame, **item_bytes: int) -> DataFrame:
     """``hint_if_small`` by the items that the rows' lists hold, so many bytes each."""
     held = df.agg(F.coalesce(F.sum(sum(F.size(c) * n for c, n in item_bytes.items()) + F.lit(40)), F.lit(0))).first()[0]
     return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
+def _with_lists(df: DataFrame, lists: DataFrame, **item_bytes: int) -> DataFrame:
+    """``df`` with the lists of its rows.  Where these are too many to broadcast, only the rows that have one are dealt."""
+    hinted = _hint_lists(lists, **item_bytes)
+    if hinted is lists:
+        df = df.join(hint_if_small(lists.select("row"), 16), "row", "left_semi")
+    return df.join(hinted, "row")
+
+
 def _stretches(d: DataFrame, kind: str) -> DataFrame:
     """Runs of words that repeat verbatim in another document, those of one ``kept`` that touch as one."""
     place, text = F.struct("doc_id", "row"), ["doc_id", "row"]
@@ -489,13 +518,13 @@ def _stretches(d: DataFrame, kind: str) -> DataFrame:
                                           F.when(F.col("right"), F.struct("word", F.lit(True).alias("right")))), lambda x: x.isNotNull())).alias("spot"))
     spots = materialize(spots.groupBy("row").agg(F.collect_set("spot").alias("spots")))  # a document's own
     release(ends)
-    beyond = d.join(_hint_lists(spots, spots=32), "row").select(*text, "text", "spots").mapInArrow(
+    beyond = _with_lists(d, spots, spots=32).select(*text, "text", "spots").mapInArrow(
         _end_rows, f"g long, run long, more binary, doc_id {kind}, row long, low long, high long")
     far = beyond.repartition("g").sortWithinPartitions("g", "more").mapInArrow(_reach_rows, "row long, run long, smaller int, other int")
     far = far.groupBy("row").agg(F.collect_set(F.struct("run", "smaller", "other")).alias("far"))  # a document's own
-    both = spots.join(_hint_lists(materialize(far), far=40), "row", "left")
+    both = spots.join(materialize(far), "row", "left")
     both = materialize(both.withColumn("far", F.coalesce("far", F.array().cast(far.schema["far"].dataType))))
-    longer = d.join(_hint_lists(both, spots=32, far=40), "row").select(*text, "text", "spots", "far").mapInArrow(
+    longer = _with_lists(d, both, spots=32, far=40).select(*text, "text", "spots", "far").mapInArrow(
         _longer_rows, f"doc_id {kind}, row long, kept boolean, word int, word_end int, lo long, hi long, home {kind}")
     columns = [*text, "kept", "word", "word_end", "lo", "hi", "home"]
     ranges = found.select(columns).unionByName(longer.select(columns))
@@ -580,7 +609,7 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     * Null and empty texts have no passages.  Null ids sort first.  Documents
       without a repeat give no row.  Other columns are not read.
 
-    Scale: texts are read seven times and not shuffled (unless the documents with
+    Scale: texts are read six times and not shuffled (unless the documents with
     anchors that repeat are too many to broadcast; then they are joined).  Shuffled are
     the keys of sentences and of anchors (combined per task, so a hot passage is one row
     per task; an anchor for every 13 words), a row with the next WINDOW - 1 words for an anchor near
@@ -592,25 +621,25 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     place = F.struct("doc_id", "row", "line", "ordinal")
-    sentences = materialize(d.mapInArrow(
-        _sentence_rows, f"doc_id {kind}, row long, line int, ordinal int, word int, word_end int, lo long, hi long, k1 long, k2 long"))
+    parts = materialize(d.mapInArrow(_sentence_rows, f"doc_id {kind}, {PARTS}"))
+    sentences = parts.where("k1 IS NOT NULL").drop("p1", "p2")
+    lines = parts.where("p1 IS NOT NULL").select("doc_id", "row", "line", "ordinal", F.col("p1").alias("k1"), F.col("p2").alias("k2"))
     # half a key finds what may repeat; whole keys and places of those rows decide
     maybe = sentences.groupBy("k1").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high")
     again = materialize(sentences.join(hint_if_small(materialize(maybe.select("k1")), 16), "k1"))
     equal = again.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high"))
     equal = materialize(equal.where("low <> high").select("k1", "k2", "first"))
 
-    lines = materialize(d.mapInArrow(_line_rows, f"doc_id {kind}, row long, line int, ordinal int, k1 long, k2 long"))
     met = materialize(_meetings(d.select("text"), lines.count()))
 
     def arrays_of(keys: DataFrame) -> DataFrame:
         one = lines.join(keys, "k1").groupBy("k1", "k2").agg(F.min("row").alias("row"))
         rows = materialize(one.groupBy("row").agg(F.collect_set("k1").alias("wanted")))  # a document's own
-        found = d.join(_hint_lists(rows, wanted=8), "row").select("text", "wanted").mapInArrow(_array_rows, ARRAYS)
+        found = _with_lists(d, rows, wanted=8).select("text", "wanted").mapInArrow(_array_rows, ARRAYS)
         return found.join(keys, "k1", "left_semi").dropDuplicates(["k1", "k2"])
 
     with intermediates() as scope:  # the clusters, arrays and rounds of the comparison go with it
-        linked = materialize(lines.join(resolve(met, arrays_of, PERCENT), ["k1", "k2"]).select("doc_id", "row", "line", "ordinal", "component"))
+        linked = materialize(lines.join(resolve(met, arrays_of, PERCENT, meeting_keys), ["k1", "k2"]).select("doc_id", "row", "line", "ordinal", "component"))
         scope.keep(linked)
     heads = linked.groupBy("component").agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high"))
     heads = heads.where("low <> high")
@@ -619,7 +648,7 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     spot = ["doc_id", "row", "ordinal", "word", "word_end", "lo", "hi"]
     by_sentence = again.join(hint_if_small(equal, 64), ["k1", "k2"]).select(
         *spot, (place == F.col("first")).alias("head"), F.col("first.doc_id").alias("home"))
-    release(lines, met, linked)
+    release(met, linked)
     # a line's sentences; the first paragraph's line and sentence may both be in its cluster, and both stay
     part = (F.col("n_ordinal") < 0) | (F.col("n_ordinal") == F.col("ordinal"))
     same = (F.col("n_ordinal") < 0) | (F.col("first.ordinal") < 0) | (F.col("n_ordinal") == F.col("first.ordinal"))
@@ -628,7 +657,7 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     marked = (by_sentence.unionByName(by_near).groupBy("doc_id", "row", "ordinal")
               .agg(*[F.min(c).alias(c) for c in ("word", "word_end", "lo", "hi")], F.min("head").alias("kept"), F.min("home").alias("home")))
     marked = materialize(marked)
-    release(sentences, again, equal, near)
+    release(parts, again, equal, near)
     ranges = marked.unionByName(_stretches(d, kind).withColumn("ordinal", F.lit(-1)))
     ranges = ranges.groupBy("doc_id", "row").agg(F.collect_list(F.struct("word", "word_end", "lo", "hi", "kept", "ordinal", "home")).alias("ranges"))  # a document's own
     out = ranges.mapInArrow(_passage_rows(passage_words), f"doc_id {kind}, text_key long, start long, length long, n_words long, kept boolean, homes array<{kind}>")
