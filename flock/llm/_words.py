@@ -93,7 +93,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
 
 def sets_of_words(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """``shingle_sets`` from word hashes; ``first``: the index of each text's first word, and the end."""
-    counts = np.diff(first)
+    return sets_of_spans(words, first[:-1], np.diff(first), width)
+
+
+def sets_of_spans(words: np.ndarray, low: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of runs of ``counts`` words from ``low``, which may overlap: a shingle's hash is made once."""
     sizes = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
     out = np.empty(int(sizes.sum()), U)
     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -103,14 +107,14 @@ def sets_of_words(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.
         for j in range(1, width):
             chain = mix(chain * U(3), 11 + j) + words[j:len(words) - width + 1 + j]
         chain = mix(chain, 5)
-        here = np.repeat(first[long] - at[long], sizes[long]) + _ranges(at[long], sizes[long])
-        out[_ranges(at[long], sizes[long])] = chain[here]
+        place = _ranges(at[long], sizes[long])
+        out[place] = chain[np.repeat(low[long] - at[long], sizes[long]) + place]
     for c in range(1, width):
         short = np.flatnonzero(counts == c)
         if len(short):
-            chain = words[first[short]].copy()
+            chain = words[low[short]].copy()
             for j in range(1, c):
-                chain = mix(chain * U(3), 11 + j) + words[first[short] + j]
+                chain = mix(chain * U(3), 11 + j) + words[low[short] + j]
             out[at[short]] = mix(chain, 100 + c)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a > 1:

@@ -133,10 +133,13 @@ ARRAYS = "k1 long, k2 long, n long, marks binary, members binary"
 def array_batch(sets: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """Keys, sizes, signatures and sorted arrays of sets, as rows of ARRAYS."""
     k1, k2 = set_keys(sets, at)
-    marks, raw = parity_bitmaps(sets, at, SIGNATURE_BITS), sets.view(np.uint8)
+    marks = parity_bitmaps(sets, at, SIGNATURE_BITS)
+
+    def binary(words: np.ndarray, ends: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, 8 * ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(words))])
     return pa.record_batch([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(at)),
-                            pa.array([m.tobytes() for m in marks], pa.binary()),
-                            pa.array([raw[8 * x:8 * y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())],
+                            binary(np.concatenate([np.zeros(0, U), *marks]), np.cumsum([len(m) for m in marks], dtype=np.int64)),
+                            binary(sets[at[0]:at[-1]], at[1:] - at[0])],
                            ["k1", "k2", "n", "marks", "members"])
 
 
@@ -428,7 +431,7 @@ def resolve(met: DataFrame, arrays_of, percent: int, tiles_of=None) -> DataFrame
     large clusters are told apart by signature only where they share a tile, not through others.
     """
     clusters = materialize(components(met).select(F.col("node").alias("k1"), F.col("component").alias("cluster")))
-    arrays = materialize(arrays_of(clusters.select("k1")).join(clusters, "k1"))
+    arrays = materialize(arrays_of(clusters.select("k1")).join(hint_if_small(clusters, 24), "k1"))
     marks = arrays.drop("members") if tiles_of is None else _by_tile(arrays, tiles_of)
     passing = compared(marks, F.length("marks") + 50, percent, False)
     passing = passing.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.xxhash64("component").alias("cluster"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import intermediates, materialize, release
 from ._util import BROADCAST_BYTES, hint_if_small, unused
-from ._words import U, _ranges, mix, set_keys, sets_of_words, span_hashes, text_slices, word_spans
+from ._words import U, _ranges, mix, set_keys, sets_of_spans, span_hashes, text_slices, word_spans
 from .jaccard_join import ARRAYS, array_batch, resolve, tile_keys
 
 WIDTH, PERCENT = 5, 80
@@ -105,7 +105,7 @@ def _paragraph_sets(words: np.ndarray, bounds: np.ndarray, owner: np.ndarray, li
     low = np.concatenate([bounds[head], bounds[:-1]])
     n = np.concatenate([np.diff(np.append(bounds[head], bounds[-1])), np.where(np.repeat(parts, parts) > 1, np.diff(bounds), 0)])
     pick = np.flatnonzero(n >= NEAR_WORDS)
-    sets, at = sets_of_words(words[_ranges(low[pick], n[pick])], np.concatenate([[0], np.cumsum(n[pick])]), WIDTH)
+    sets, at = sets_of_spans(words, low[pick], n[pick], WIDTH)
     return sets, at, np.concatenate([head, np.arange(len(owner))])[pick], pick < len(head)
 
 
@@ -236,8 +236,12 @@ def meet(tile: np.ndarray, k1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     heads = np.flatnonzero(new)
     low = np.minimum.reduceat(k1, heads)
     a = low[np.cumsum(new) - 1]
-    pairs = np.unique(np.stack([a, k1], 1)[a != k1], axis=0)
-    return tile[heads], low, pairs[:, 0], pairs[:, 1]
+    a, b = a[a != k1], k1[a != k1]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return tile[heads], low, a[new], b[new]
 
 
 def _meeting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,14 +348,14 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ends(data: np.ndarray, offsets: np.ndarray, lists: pa.Array):
-    """The ends of anchors that may go on (``lists``: each text's word and side of them), with the runs of words that are
+    """The ends of anchors that may go on (``lists``: each text's, twice their word and one more to the right), with the runs of words that are
     as much longer as the text allows, WINDOW - 1 words at most: text index, first word of the anchor, whether to the right,
     words to go, key of the longest run, and the arrays of the texts' words."""
     starts, ends, first = word_spans(data, offsets)
     words = span_hashes(data, starts, ends)
     owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    word, right = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    word = word + first[owner]
+    spot = lists.flatten().to_numpy(zero_copy_only=False)
+    word, right = (spot >> 1) + first[owner], (spot & 1).astype(bool)
     n = np.clip(np.where(right, first[owner + 1] - word - GRAM_WORDS, word - first[owner]), 0, WINDOW - 1)
     some = n > 0
     owner, word, right, n = owner[some], word[some], right[some], n[some]
@@ -461,7 +465,9 @@ def _longer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner, word, right, n, run, (starts, ends, first, _) = _ends(data, offsets, batch.column(3).slice(a, len(offsets) - 1))
             known = batch.column(4).slice(a, len(offsets) - 1)
             text = np.repeat(np.arange(len(known)), known.value_lengths().to_numpy(zero_copy_only=False))
-            key, smaller, other = (known.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            key = known.flatten().to_numpy(zero_copy_only=False)
+            reach = batch.column(5).slice(a, len(offsets) - 1).flatten().to_numpy(zero_copy_only=False)
+            smaller, other = reach >> 8, reach & 255
             key = mix(mix(text.astype(U), 69) + key.view(U), 70)
             order = np.argsort(key)
             mine = mix(mix(owner.astype(U), 69) + run, 70)
@@ -514,17 +520,19 @@ def _stretches(d: DataFrame, kind: str) -> DataFrame:
     ends = ends.select("key", (F.col("word") - F.min("word").over(whole) < WINDOW).alias("left"), (F.max("word").over(whole) - F.col("word") < WINDOW).alias("right"))
     ends = materialize(ends.groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left OR right"))
     spots = found.select("row", "word", "key").join(hint_if_small(ends, 24), "key").select(
-        "row", F.explode(F.filter(F.array(F.when(F.col("left"), F.struct("word", F.lit(False).alias("right"))),
-                                          F.when(F.col("right"), F.struct("word", F.lit(True).alias("right")))), lambda x: x.isNotNull())).alias("spot"))
+        "row", F.explode(F.array_compact(F.array(F.when(F.col("left"), 2 * F.col("word")), F.when(F.col("right"), 2 * F.col("word") + 1)))).alias("spot"))
     spots = materialize(spots.groupBy("row").agg(F.collect_set("spot").alias("spots")))  # a document's own
     release(ends)
-    beyond = _with_lists(d, spots, spots=32).select(*text, "text", "spots").mapInArrow(
+    beyond = _with_lists(d, spots, spots=4).select(*text, "text", "spots").mapInArrow(
         _end_rows, f"g long, run long, more binary, doc_id {kind}, row long, low long, high long")
     far = beyond.repartition("g").sortWithinPartitions("g", "more").mapInArrow(_reach_rows, "row long, run long, smaller int, other int")
     far = far.groupBy("row").agg(F.collect_set(F.struct("run", "smaller", "other")).alias("far"))  # a document's own
-    both = spots.join(materialize(far), "row", "left")
-    both = materialize(both.withColumn("far", F.coalesce("far", F.array().cast(far.schema["far"].dataType))))
-    longer = _with_lists(d, both, spots=32, far=40).select(*text, "text", "spots", "far").mapInArrow(
+    # parallel lists: a broadcast of structs would be several times as large
+    far = materialize(far.select("row", F.transform("far", lambda x: x["run"]).alias("runs"), F.transform("far", lambda x: 256 * x["smaller"] + x["other"]).alias("reach")))
+    both = spots.join(far, "row", "left")
+    both = materialize(both.withColumn("runs", F.coalesce("runs", F.array().cast("array<long>"))).withColumn("reach", F.coalesce("reach", F.array().cast("array<int>"))))
+    release(far)
+    longer = _with_lists(d, both, spots=4, runs=8, reach=4).select(*text, "text", "spots", "runs", "reach").mapInArrow(
         _longer_rows, f"doc_id {kind}, row long, kept boolean, word int, word_end int, lo long, hi long, home {kind}")
     columns = [*text, "kept", "word", "word_end", "lo", "hi", "home"]
     ranges = found.select(columns).unionByName(longer.select(columns))
@@ -633,13 +641,17 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, id_co
     met = materialize(_meetings(d.select("text"), lines.count()))
 
     def arrays_of(keys: DataFrame) -> DataFrame:
-        one = lines.join(keys, "k1").groupBy("k1", "k2").agg(F.min("row").alias("row"))
+        keys = hint_if_small(keys, 16)
+        hits.append(materialize(lines.join(keys, "k1")))
+        one = hits[0].groupBy("k1", "k2").agg(F.min("row").alias("row"))
         rows = materialize(one.groupBy("row").agg(F.collect_set("k1").alias("wanted")))  # a document's own
         found = _with_lists(d, rows, wanted=8).select("text", "wanted").mapInArrow(_array_rows, ARRAYS)
         return found.join(keys, "k1", "left_semi").dropDuplicates(["k1", "k2"])
 
     with intermediates() as scope:  # the clusters, arrays and rounds of the comparison go with it
-        linked = materialize(lines.join(resolve(met, arrays_of, PERCENT, meeting_keys), ["k1", "k2"]).select("doc_id", "row", "line", "ordinal", "component"))
+        hits: list[DataFrame] = []  # the paragraphs that meet another one
+        found = resolve(met, arrays_of, PERCENT, meeting_keys)
+        linked = materialize(hits[0].join(found, ["k1", "k2"]).select("doc_id", "row", "line", "ordinal", "component"))
         scope.keep(linked)
     heads = linked.groupBy("component").agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high"))
     heads = heads.where("low <> high")
